@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+# Task functions of this module travel inside the plan: workers need no install.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Failures that block an address, and the window they must fall in.
 LIMIT, WINDOW_SECONDS = 10, 60
 _OUT = "ip string, window_start timestamp, blocked_at timestamp"

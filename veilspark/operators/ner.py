@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veilspark.functions.spans import FINDINGS_TYPE, drop_overlaps, let, resolve_overlaps, union_findings
 from veilspark.operators.scan import decide, words_spans
 
+# Task functions of this module travel inside the plan: workers need no install.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CHUNK_CHARS, MIN_CHARS = 1200, 12
 ENTITIES_TYPE = "array<struct<entity:string,value:string,start:int,end:int,score:double>>"
 RAW_TYPE = "array<struct<group:string,word:string,start:int,end:int,score:double>>"

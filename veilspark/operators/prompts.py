@@ -4,9 +4,11 @@ and writing rewritten prompts back."""
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veilspark import dims
@@ -16,6 +18,9 @@ from veilspark.operators.scan import evaluate
 from veilspark.operators.vault import _exceptions_by_document, anonymize_spans, replace_spans
 from veilspark.rules.model import RuleSet
 
+# Task functions of this module travel inside the plan: workers need no install.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # What a chat endpoint looks like, per service (literal or (?i) pattern).
 ENDPOINTS = {
     "chatgpt": (["/conversation"], None),
@@ -136,11 +141,19 @@ def extract_sites(requests: DataFrame, into: str = "sites") -> DataFrame:
     return requests.withColumn(into, F.coalesce(_by_service(split=True), F.array().cast("array<string>")))
 
 
-def conversation_prompts(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """User turns of a flat chat table as one ordered array per conversation."""
+def user_turns(turns: DataFrame) -> DataFrame:
+    """Prompts of a flat chat table as rows, in place: a conversation of any
+    length stays spread over the tasks that read it."""
     mine = turns.where(F.col("role").isin("user", "human"))
-    grouped = mine.groupBy(conv).agg(F.array_sort(F.collect_list(F.struct(turn, "text"))).alias("t"))
-    return grouped.select(conv, F.col("t")["text"].alias("prompts"))
+    return mine.select("conv_id", "turn", F.col("text").alias("prompt"))
+
+
+def conversation_prompts(turns: DataFrame) -> DataFrame:
+    """User turns as one ordered array per conversation, for conversations short
+    enough to be one request; use :func:`user_turns` for unbounded ones."""
+    grouped = user_turns(turns).groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "prompt"))).alias("t"))
+    return grouped.select("conv_id", F.col("t")["prompt"].alias("prompts"))
 
 
 # ------------------------------------------------------------------ rewriting
@@ -210,7 +223,10 @@ def inject_prompts(requests: DataFrame, sites_col: str, body_col: str = "body",
         return pd.Series([body if service is None or not len(new) else rewrite_body(service, body, list(new))
                           for service, body, new in zip(services, bodies, sites)])
 
-    return requests.withColumn(into, rewrite(F.col("service"), F.col(body_col), F.col(sites_col)))
+    # Using the sites twice also keeps the optimizer from folding the expression
+    # that makes them into the UDF's arguments.
+    return requests.withColumn(into, F.when(F.size(sites_col) == 0, F.col(body_col)).otherwise(
+        rewrite(F.col("service"), F.col(body_col), F.col(sites_col))))
 
 
 def evaluate_prompts(requests: DataFrame, rules: RuleSet) -> DataFrame:

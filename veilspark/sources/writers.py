@@ -8,19 +8,16 @@ from veilspark.operators.compliance import ROPA_COLUMNS
 from veilspark.operators.events import one_per_key
 from veilspark.schema import ddl
 
-FILES_PER_DAY = 16
-
-
-def write_events(df: DataFrame, path: str, files_per_day: int = FILES_PER_DAY) -> None:
+def write_events(df: DataFrame, path: str) -> None:
     """Append to the table partitioned by day.
 
-    Each day is spread over a few writers (a busy day is not one task) and rows
-    are clustered by organisation, so file statistics prune org and time filters.
+    The rebalance lets adaptive execution split a busy day over several writers
+    and merge quiet ones; rows are clustered by organisation, so that file
+    statistics prune organisation and time filters.
     """
     rows = one_per_key(df) if "position" in df.columns else df
     dated = rows.drop("position").withColumn("event_date", F.to_date("timestamp"))
-    spread = F.pmod(F.xxhash64("event_id"), F.lit(files_per_day))
-    (dated.repartition("event_date", spread).sortWithinPartitions("event_date", "org_id", "timestamp")
+    (dated.hint("rebalance", F.col("event_date")).sortWithinPartitions("event_date", "org_id", "timestamp")
      .write.mode("append").partitionBy("event_date").parquet(path))
 
 

@@ -7,9 +7,11 @@ so a batch that is run twice after a failure leaves the same data.
 from __future__ import annotations
 
 import os
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,6 +29,9 @@ from veilspark.operators.vault import anonymize, build_vault, plan, values_to_re
 from veilspark.sources.readers import parse_events, split_valid
 from veilspark.sources.writers import write_events
 
+# Task functions of this module travel inside the plan: workers need no install.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 LATENESS = "30 days"
 
 
