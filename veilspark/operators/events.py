@@ -93,17 +93,20 @@ def validate_events(df: DataFrame) -> DataFrame:
     return df.withColumn("errors", F.array_compact(F.array(*[F.when(bad, F.lit(why)) for why, bad in tests])))
 
 
-def to_stored(df: DataFrame, ingested_at) -> DataFrame:
-    """Wire event → stored row."""
-    back = {wire: stored for stored, wire in schema.WIRE_NAMES.items()}
-    renamed = df.select(*[F.col(wire).alias(stored) for wire, stored in back.items()],
+def to_stored(df: DataFrame, ingested_at, *keep: str) -> DataFrame:
+    """Wire event → stored row (plus the columns in ``keep``)."""
+    renamed = df.select(*[F.col(wire).alias(stored) for stored, wire in schema.WIRE_NAMES.items()], *keep,
                         F.col("orgId").alias("org_id"), F.lit(ingested_at).cast("timestamp").alias("ingested_at"))
-    return renamed.select(*schema.EVENTS)
+    return renamed.select(*schema.EVENTS, *keep)
 
 
 def existing_ids(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """Distinct ids of the batch that are stored already."""
-    return batch.select("event_id").distinct().join(stored.select("event_id"), "event_id", "left_semi")
+    """Distinct ids of the batch that are stored already.
+
+    The stored table is the probing side: when the batch is small its ids are
+    broadcast and the table is read in place instead of being shuffled.
+    """
+    return stored.select("event_id").join(batch.select("event_id").distinct(), "event_id", "left_semi").distinct()
 
 
 def split_new(batch: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -102,7 +102,7 @@ def detect_entities(df: DataFrame, text_col: str, model_factory: Callable[[], Ca
     eligible = (F.length(text) >= min_chars) & (F.trim(text) != "")
     chunks = F.when(eligible, chunk_text(text)).otherwise(
         F.array().cast("array<struct<offset:int,text:string>>"))
-    tagged = df.withColumn("__chunks", chunks).withColumn("__raw", tag(F.col("__chunks")["text"]))
+    tagged = df.withColumn("__chunks", chunks).withColumn("__raw", tag.asNondeterministic()(F.col("__chunks")["text"]))
     return tagged.withColumn(into, normalize_entities(F.col("__chunks"), F.col("__raw"))).drop("__chunks", "__raw")
 
 

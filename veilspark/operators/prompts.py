@@ -17,6 +17,7 @@ from veilspark.functions.spans import let
 from veilspark.operators.scan import evaluate
 from veilspark.operators.vault import _exceptions_by_document, anonymize_spans, replace_spans
 from veilspark.rules.model import RuleSet
+from veilspark.session import store
 
 # Task functions of this module travel inside the plan: workers need no install.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -223,10 +224,10 @@ def inject_prompts(requests: DataFrame, sites_col: str, body_col: str = "body",
         return pd.Series([body if service is None or not len(new) else rewrite_body(service, body, list(new))
                           for service, body, new in zip(services, bodies, sites)])
 
-    # Using the sites twice also keeps the optimizer from folding the expression
-    # that makes them into the UDF's arguments.
-    return requests.withColumn(into, F.when(F.size(sites_col) == 0, F.col(body_col)).otherwise(
-        rewrite(F.col("service"), F.col(body_col), F.col(sites_col))))
+    # Declared nondeterministic so that filters on the result are not pushed below
+    # the call, which would evaluate it twice.
+    return requests.withColumn(into, rewrite.asNondeterministic()(
+        F.col("service"), F.col(body_col), F.col(sites_col)))
 
 
 def evaluate_prompts(requests: DataFrame, rules: RuleSet) -> DataFrame:
@@ -257,7 +258,7 @@ def anonymize_prompts(requests: DataFrame, vault: DataFrame, salt: str, id_col:
     """Replace the values found in the joined prompts wherever they occur in each
     site.  Values are located again by text, because the offsets belong to the
     joined prompts; ``requests`` should be a stored table (it is read twice)."""
-    special = _exceptions_by_document(requests, vault, id_col, session)
+    special = store(_exceptions_by_document(requests, vault, id_col, session), "exceptions")
     joined = requests.join(special, id_col, "left")
     chosen = F.coalesce(F.col("__special"), F.expr("cast(map() AS map<string,string>)"))
     wanted = F.when(F.coalesce(F.col("decision"), F.lit("")) != "block", anonymize_spans(F.col("findings")))

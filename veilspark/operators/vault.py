@@ -14,9 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from veilspark.functions.placeholders import PLACEHOLDER, base_of, compose, mint
+from veilspark.functions.spans import rank_of
 from veilspark.operators.events import newest_per_key
 from veilspark.operators.scan import finding_rollup
+from veilspark.rules.model import SEVERITIES
 from veilspark.schema import FINDING
+from veilspark.session import store
 
 HOT_SHARE = 1000          # a key is hot above 1/1000 of all rows: at most 1000 such keys
 VAULT_CAP = 5000
@@ -165,7 +168,9 @@ def anonymize(docs: DataFrame, vault: DataFrame, salt: str | Column, id_col: str
     for the exceptions and for the texts).
     """
     salt_column = F.lit(salt) if isinstance(salt, str) else salt
-    special = _exceptions_by_document(docs, vault, id_col, session)
+    # Stored, so that its real size decides: a short list is broadcast and the
+    # texts stay in place, only a long one makes them move.
+    special = store(_exceptions_by_document(docs, vault, id_col, session), "exceptions")
     joined = docs.join(special, id_col, "left")
     chosen = F.coalesce(F.col("__special"), F.expr("cast(map() AS map<string,string>)"))
     spans = F.transform(
@@ -189,7 +194,7 @@ def _restored(docs: DataFrame, vault: DataFrame, id_col: str, text_col: str, ses
     found = lookup(tokens, vault.withColumnRenamed("value", "original"), [session, "placeholder"], ["original"], id_col)
     known = found.where(F.col("original").isNotNull()).groupBy(id_col).agg(
         F.map_from_entries(F.collect_list(F.struct("placeholder", "original"))).alias("__known"))
-    return docs.join(known, id_col, "left")
+    return docs.join(store(known, "known"), id_col, "left")
 
 
 def reveal(docs: DataFrame, vault: DataFrame, id_col: str = "doc_id", text_col: str = "anonymized",
@@ -238,9 +243,6 @@ LOG_ACTIONS = {"pseudonymised": "anonymized", "blocked": "blocked", "warned": "w
 def detections(docs: DataFrame, id_col: str = "doc_id", service: Column | None = None, host: Column | None = None,
                source: str = "paste", ts: Column | None = None) -> DataFrame:
     """One activity row per document that was not clean, findings rolled up per rule."""
-    from veilspark.functions.spans import rank_of
-    from veilspark.rules.model import SEVERITIES
-
     names = F.create_map(*[F.lit(x) for pair in LOG_ACTIONS.items() for x in pair])
     ids = F.array_distinct(F.col("findings")["rule_id"])
     rolled = F.transform(ids, lambda r: F.struct(

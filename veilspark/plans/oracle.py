@@ -229,6 +229,19 @@ _EMAILS = f"""SELECT doc_id, v AS value FROM (
   WHERE regexp_matches(v, '^[a-zA-Z0-9._%+-]+@')"""
 
 
+_TAGGED = f"""tagged AS (SELECT doc_id, unnest(string_split_regex(text, '{WORD_SPLIT}')) AS word
+  FROM documents WHERE length(text) >= 12)"""
+_PLACEHOLDER_OF = f"""CASE WHEN contains(v, '.') THEN CASE WHEN {_IP_OK} THEN '[IP_' || {_fnv("('s1:' || v)")} || ']' ELSE v END
+  WHEN {LUHN} THEN '[CARD_' || {_fnv("('s1:' || v)")} || ']' ELSE v END"""
+_TURNS_HIDDEN = f"""turn_pieces AS (
+  SELECT conv_id, turn, regexp_extract_all(text, '{CARD}|{IP}') AS vals, string_split_regex(text, '{CARD}|{IP}') AS gaps
+  FROM {_REQ_TURNS}),
+turns_hidden AS (
+  SELECT conv_id, turn, string_agg(gap || CASE WHEN v IS NULL THEN '' ELSE {_PLACEHOLDER_OF} END, '' ORDER BY n) AS prompt
+  FROM (SELECT conv_id, turn, n, gaps[n] AS gap, vals[n] AS v FROM turn_pieces, unnest(range(1, len(gaps) + 1)) AS r(n))
+  GROUP BY 1, 2)"""
+
+
 def _dpia() -> str:
     residual = " ".join(f"WHEN '{k}' THEN {_lit(v)}" for k, v in co.RESIDUAL_RISK.items())
     score = [("organisation", "'default'"), ("score", "score"), ("grade", "grade"),
@@ -405,11 +418,15 @@ def oracle_sql() -> dict[str, str]:
         "detection_counters": _with(BUILTIN) + """, hit AS (SELECT DISTINCT doc_id FROM found)
             SELECT CAST(DATE '2024-01-01' + CAST(doc_id % 5 AS INTEGER) AS VARCHAR) AS day, 'anonymized' AS action, count(*) AS n FROM hit GROUP BY 1
             UNION ALL SELECT NULL, 'anonymized', count(*) FROM hit""",
+        "entities_merged": _with(BUILTIN, _TAGGED) + """SELECT doc_id, rule_id, count(*) AS n FROM (
+              SELECT doc_id, rule_id FROM found UNION ALL SELECT doc_id, 'ner:ORG' FROM tagged WHERE word = 'the'
+              UNION ALL SELECT doc_id, 'ner:PER' FROM tagged WHERE word = 'les') GROUP BY 1, 2""",
         "texts_chunked": "SELECT doc_id, md5(text) AS digest, true AS short FROM documents",
         "prompts_routed": """SELECT (['chatgpt','claude','gemini','copilot','mistral','perplexity','deepseek','grok'])[(conv_id + turn) % 8 + 1]
             AS service, count(*) AS requests FROM conversations GROUP BY 1""",
         "prompts_extracted": f"SELECT conv_id, turn, text AS prompt FROM {_REQ_TURNS}",
         "prompts_injected": f"SELECT conv_id, turn, '<' || text || '>' AS prompt FROM {_REQ_TURNS}",
+        "prompts_anonymized": _with(_TURNS_HIDDEN) + "SELECT * FROM turns_hidden",
         "prompts_by_conversation": f"""SELECT conv_id, count(*) AS prompts, CAST(sum(length(text)) AS BIGINT) AS chars
             FROM {_REQ_TURNS} GROUP BY 1""",
         "stream_ingest": _with(DET) + f"""SELECT org_id, action, count(*) AS n, CAST(sum(prompt_length) AS BIGINT) AS prompt_length

@@ -367,16 +367,21 @@ def compliance_finding_totals(spark, sf):
     return co.finding_totals(co.finding_rows(_by_type(spark, sf), dims.type_articles(spark)))
 
 
+def _stored_stats(spark, sf):
+    """The statistics row as a table, for reports that read it several times."""
+    return store(_stats(spark, sf), "stats")
+
+
 @query
 def compliance_ropa(spark, sf):
-    frame = co.ropa(_stats(spark, sf), dims.jurisdictions(spark), dims.type_articles(spark), dims.articles(spark), ORG)
+    frame = co.ropa(_stored_stats(spark, sf), dims.jurisdictions(spark), dims.type_articles(spark), dims.articles(spark), ORG)
     plain = ["controller", "purpose", "category", "recipient", "transfer", "basis", "retention", "measures", "articles"]
     return frame.toDF(*plain)
 
 
 @query
 def compliance_ropa_csv(spark, sf):
-    frame = co.ropa(_stats(spark, sf), dims.jurisdictions(spark), dims.type_articles(spark), dims.articles(spark), ORG)
+    frame = co.ropa(_stored_stats(spark, sf), dims.jurisdictions(spark), dims.type_articles(spark), dims.articles(spark), ORG)
     path = new_path(spark, "ropa")
     writers.write_ropa(frame, path, ORG, "2024-01-31")
     return spark.read.text(path).select(F.col("value").alias("line"))
@@ -384,12 +389,12 @@ def compliance_ropa_csv(spark, sf):
 
 @query
 def compliance_ropa_preview(spark, sf):
-    return co.ropa_preview(_stats(spark, sf), dims.jurisdictions(spark), dims.type_articles(spark), dims.articles(spark))
+    return co.ropa_preview(_stored_stats(spark, sf), dims.jurisdictions(spark), dims.type_articles(spark), dims.articles(spark))
 
 
 @query
 def compliance_dpia_facts(spark, sf):
-    return co.dpia_facts(_stats(spark, sf), dims.jurisdictions(spark), dims.type_articles(spark),
+    return co.dpia_facts(_stored_stats(spark, sf), dims.jurisdictions(spark), dims.type_articles(spark),
                          dims.articles(spark), dims.prohibited(spark), dims.risk_tiers(spark), ORG)
 
 
@@ -646,11 +651,14 @@ def prompts_injected(spark, sf):
 
 @query
 def prompts_anonymized(spark, sf):
+    """Scan the joined prompts of a request, replace the values in its body, read the body again."""
     asked = prompts.extract_sites(prompts.extract_prompts(readers.read_requests(_routed(spark, sf))))
-    found = store(prompts.evaluate_prompts(asked.drop("json").withColumn("order", F.col("turn")), default_rules()), "requests")
-    vault = _vault(found)
-    rewritten = prompts.anonymize_prompts(found, vault, SALT)
-    return prompts.inject_prompts(rewritten, "new_sites").select("request_id", F.col("new_body").alias("body"))
+    found = store(prompts.evaluate_prompts(asked.drop("json").withColumn("order", F.col("turn")), builtin_rules()), "requests")
+    rewritten = prompts.anonymize_prompts(found, _vault(found), SALT)
+    written = prompts.inject_prompts(rewritten, "new_sites").select(
+        "conv_id", "turn", "service", F.col("new_body").alias("body"))
+    again = prompts.extract_prompts(readers.read_requests(written))
+    return again.select("conv_id", "turn", F.explode_outer("prompts").alias("prompt")).where(F.col("prompt").isNotNull())
 
 
 @query

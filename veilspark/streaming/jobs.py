@@ -78,11 +78,12 @@ def ingest_stream(lines: DataFrame, paths: dict[str, str], checkpoint: str, inge
     def handle(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         at = ingested_at or pd.Timestamp.now(tz="UTC").to_pydatetime()
-        valid, rejected = split_valid(parse_events(batch))
-        _write_epoch(rejected, paths["rejected"], epoch)
+        # Parsed once, then read back per use.
         staged_path = os.path.join(paths["events"] + "_staged", f"epoch={epoch}")
-        to_stored(valid, at).withColumn("position", F.monotonically_increasing_id()).write.mode("overwrite").parquet(staged_path)
-        staged = spark.read.parquet(staged_path)
+        parse_events(batch).withColumn("position", F.monotonically_increasing_id()).write.mode("overwrite").parquet(staged_path)
+        valid, rejected = split_valid(spark.read.parquet(staged_path))
+        _write_epoch(rejected, paths["rejected"], epoch)
+        staged = to_stored(valid, at, "position")
         stored = read_or_empty(spark, paths["events"], schema.EVENTS)
         new, _ = split_new(staged, stored)
         if "feed" in paths:
