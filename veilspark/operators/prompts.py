@@ -225,9 +225,10 @@ def inject_prompts(requests: DataFrame, sites_col: str, body_col: str = "body",
                           for service, body, new in zip(services, bodies, sites)])
 
     # Declared nondeterministic so that filters on the result are not pushed below
-    # the call, which would evaluate it twice.
-    return requests.withColumn(into, rewrite.asNondeterministic()(
-        F.col("service"), F.col(body_col), F.col(sites_col)))
+    # the call (it would run twice); using the sites twice keeps the expression
+    # that makes them out of the call's arguments.
+    call = rewrite.asNondeterministic()(F.col("service"), F.col(body_col), F.col(sites_col))
+    return requests.withColumn(into, F.when(F.size(sites_col) == 0, F.col(body_col)).otherwise(call))
 
 
 def evaluate_prompts(requests: DataFrame, rules: RuleSet) -> DataFrame:
