@@ -69,9 +69,9 @@ class _Rewriter:
             end = self.src.find("}", self.pos)
             if end < 0:
                 self.fail("invalid unicode escape")
-            code = self.src[self.pos + 1:end]
+            code = int(self.src[self.pos + 1:end], 16)
             self.pos = end + 1
-            return "\\x{%s}" % code
+            return "\\u%04X" % code if code < 0x10000 else chr(code)
         if ch == "k" and self.peek("<"):
             end = self.src.find(">", self.pos)
             name = self.src[self.pos + 1:end]
