@@ -31,14 +31,61 @@ def union_findings(left: Column, right: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda k: k["f"])
 
 
-def overlaps(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+BLOCK = 256
 
 
-def drop_overlaps(candidates: Column, spans: Column) -> Column:
-    """Candidates that touch none of ``spans``."""
+def fold_blocks(source: Column, state: dict[str, Column], out_type: str,
+                step: Callable[[Column, Column], tuple[dict[str, Column], Column]],
+                finish: Callable[[Column, Column], Column] | None = None) -> Column:
+    """Left fold over an array that emits elements.
+
+    ``step(state, element)`` gives the next state and what to emit (NULL for
+    nothing); ``finish(state, emitted)`` makes the result.  Appending to an
+    array copies it, so elements are collected in blocks: a text with very many
+    spans costs its length times the block size, not its length squared.
+    """
+    def opened(values, kind: str) -> Column:
+        return F.struct(*[values[name].alias(name) for name in state], F.array().cast(kind).alias("out"))
+
+    def one(acc: Column, element: Column) -> Column:
+        new, emit = step(acc, element)
+        return F.struct(*[new[name].alias(name) for name in state], F.when(
+            emit.isNull(), acc["out"]).otherwise(F.array_append(acc["out"], emit)).alias("out"))
+
+    def block(acc: Column, elements: Column) -> Column:
+        return let(F.aggregate(elements, opened(acc, f"array<{out_type}>"), one), lambda done: F.struct(
+            *[done[name].alias(name) for name in state], F.array_append(acc["out"], done["out"]).alias("out")))
+
+    def folded(items: Column) -> Column:
+        last = F.floor((F.greatest(F.size(items), F.lit(1)) - 1) / BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
+        end = finish or (lambda _, emitted: emitted)
+        return F.aggregate(blocks, opened(state, f"array<array<{out_type}>>"), block,
+                           lambda acc: end(acc, F.flatten(acc["out"])))
+
+    return let(source, folded)
+
+
+def drop_overlaps(candidates: Column, spans: Column, element_type: str) -> Column:
+    """Candidates that touch none of ``spans`` (ordered by their end).
+
+    One sweep over both lists: a candidate goes when the furthest end among the
+    spans starting before its end lies beyond its start.  ``element_type`` is
+    the DDL of one candidate.
+    """
+    none = F.lit(None).cast(element_type)
+    points = F.concat(
+        F.transform(candidates, lambda c: F.struct(
+            c["end"].alias("at"), F.lit(0).alias("side"), F.lit(-1).alias("reach"), c.alias("span"))),
+        F.transform(spans, lambda s: F.struct(
+            s["start"].alias("at"), F.lit(1).alias("side"), s["end"].alias("reach"), none.alias("span"))))
+
+    def step(acc: Column, p: Column):
+        kept = (p["side"] == 0) & (acc["reach"] <= p["span"]["start"])
+        return {"reach": F.greatest(acc["reach"], p["reach"])}, F.when(kept, p["span"])
+
     return F.when(F.size(spans) == 0, candidates).otherwise(
-        F.filter(candidates, lambda c: ~F.exists(spans, lambda s: overlaps(c, s))))
+        fold_blocks(F.array_sort(points), {"reach": F.lit(-1)}, element_type, step))
 
 
 def resolve_overlaps(spans: Column, element_type: str) -> Column:
@@ -50,16 +97,13 @@ def resolve_overlaps(spans: Column, element_type: str) -> Column:
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(
         s["start"].alias("start"), (s["start"] - s["end"]).alias("minus_length"),
         s["priority"].alias("priority"), s.alias("span"))))
-    none = F.array().cast(f"array<{element_type}>")
-    swept = F.aggregate(
-        ordered,
-        F.struct(F.lit(-1).alias("last"), none.alias("kept")),
-        lambda acc, s: F.when(
-            s["start"] >= acc["last"],
-            F.struct(s["span"]["end"].alias("last"), F.array_append(acc["kept"], s["span"]).alias("kept")),
-        ).otherwise(acc),
-        lambda acc: acc["kept"])
-    return F.when(F.size(spans) == 0, none).otherwise(swept)
+
+    def step(acc: Column, s: Column):
+        kept = s["start"] >= acc["last"]
+        return {"last": F.when(kept, s["span"]["end"]).otherwise(acc["last"])}, F.when(kept, s["span"])
+
+    return F.when(F.size(spans) == 0, F.array().cast(f"array<{element_type}>")).otherwise(
+        fold_blocks(ordered, {"last": F.lit(-1)}, element_type, step))
 
 
 def rank_of(value: Column, scale: tuple[str, ...]) -> Column:

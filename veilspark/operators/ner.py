@@ -126,9 +126,9 @@ def merge_ner(df: DataFrame, text_col: str = "text", entities_col: str = "entiti
         e["start"].alias("start"), e["end"].alias("end"),
         F.floor((1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), e["score"]))) * 1000 + 0.5).cast("int").alias("priority"),
         e["value"].alias("value"), e["entity"].alias("entity")))
-    kept = drop_overlaps(candidates, F.col("findings"))
+    kept = drop_overlaps(candidates, F.col("findings"), _CANDIDATE)
     if whitelist:
-        kept = let(kept, lambda c: let(words_spans(text_col, whitelist), lambda w: drop_overlaps(c, w)))
+        kept = let(kept, lambda c: let(words_spans(text_col, whitelist), lambda w: drop_overlaps(c, w, _CANDIDATE)))
     resolved = let(kept, lambda c: resolve_overlaps(c, _CANDIDATE))
     action, severity, label = setting("action"), setting("severity"), setting("label")
     findings = F.transform(resolved, lambda c: F.struct(

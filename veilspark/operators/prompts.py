@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from veilspark import dims
 from veilspark.functions.placeholders import mint
-from veilspark.functions.spans import let
+from veilspark.functions.spans import fold_blocks, let
 from veilspark.operators.scan import evaluate
 from veilspark.operators.vault import _exceptions_by_document, anonymize_spans, replace_spans
 from veilspark.rules.model import RuleSet
@@ -240,16 +240,16 @@ def _literal_spans(site: Column, values: Column) -> Column:
     """Every occurrence of every value in ``site`` (per value left to right)."""
     def occurrences(v: Column, order: Column) -> Column:
         times = ((F.length(site) - F.length(F.replace(site, v["value"], F.lit("")))) / F.length(v["value"])).cast("int")
-        none = F.array().cast("array<struct<start:int,order:int,end:int,put:string>>")
-        folded = F.aggregate(
-            F.sequence(F.lit(1), times), F.struct(F.lit(1).alias("from"), none.alias("out")),
-            lambda acc, _: let(F.call_function("locate", v["value"], site, acc["from"]), lambda at: F.struct(
-                (at + F.length(v["value"])).alias("from"),
-                F.array_append(acc["out"], F.struct(
-                    (at - 1).alias("start"), order.alias("order"), (at - 1 + F.length(v["value"])).alias("end"),
-                    v["put"].alias("put"))).alias("out"))),
-            lambda acc: acc["out"])
-        return F.when(times > 0, folded).otherwise(none)
+        kind = "struct<start:int,order:int,end:int,put:string>"
+
+        def step(acc: Column, _: Column):
+            start = F.call_function("locate", v["value"], site, acc["from"]) - 1
+            end = start + F.length(v["value"])
+            return {"from": end + 1}, F.struct(start.alias("start"), order.alias("order"), end.alias("end"),
+                                               v["put"].alias("put"))
+
+        found = fold_blocks(F.sequence(F.lit(1), times), {"from": F.lit(1)}, kind, step)
+        return F.when(times > 0, found).otherwise(F.array().cast(f"array<{kind}>"))
 
     return F.flatten(F.transform(values, occurrences))
 

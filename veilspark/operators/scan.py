@@ -5,8 +5,8 @@ join.  Per pattern the work is a literal test, then ``rlike`` (stops at the
 first hit), and only for texts that do match a marking pass whose pieces carry
 the offsets.  Everything after that touches the handful of spans found.
 
-The expression is written as SQL text because it repeats the same small shape
-for a couple of hundred patterns: one parse instead of thousands of calls.
+The part that repeats per pattern is written as SQL text: one parse instead of
+thousands of calls.
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from veilspark.functions.spans import FINDINGS_TYPE, let, max_action, max_severity, rank_of
+from veilspark.functions.spans import (
+    FINDINGS_TYPE, drop_overlaps, fold_blocks, let, max_action, max_severity, rank_of, resolve_overlaps,
+)
 from veilspark.rules.dialect import JS_SPACE, to_java, word_pattern
 from veilspark.rules.model import SEVERITIES, Matcher, RuleSet
 
@@ -23,8 +25,8 @@ MAX_SCAN_CHARS = 200_000
 # Two Unicode noncharacters: MARK is put around matches, SPARE stands in for a
 # MARK already present in the text (same length, same regex properties).
 MARK, SPARE = "\uFDD0", "\uFDD1"
-_SPANS = "array<struct<unit:int,start:int,end:int,value:string>>"
-_KEPT = "array<struct<start:int,minus_length:int,priority:int,value:string>>"
+_SPAN = "struct<unit:int,start:int,end:int,value:string>"
+_CANDIDATE = "struct<start:int,end:int,priority:int,value:string>"
 
 
 @dataclass(frozen=True)
@@ -102,38 +104,38 @@ def _pieces(pattern: str, guards: list[str]) -> str:
     return f"CASE WHEN {tests} THEN split({marked}, {_quote(MARK)}, -1) END"
 
 
-# Spans of one unit from its alternating pieces: offsets are running lengths.
-_SPANS_OF_PIECES = f"""
-  aggregate(
-    pieces,
-    named_struct('at', 0, 'hit', false, 'out', cast(array() AS {_SPANS})),
-    (acc, piece) -> named_struct(
-      'at', acc.at + length(piece),
-      'hit', NOT acc.hit,
-      'out', CASE WHEN acc.hit AND length(piece) > 0 THEN array_append(acc.out, named_struct(
-        'unit', unit, 'start', acc.at, 'end', acc.at + length(piece), 'value', piece))
-        ELSE acc.out END),
-    acc -> acc.out)"""
-
-
-def _located(text: str, pieces: list[str], tokens: list[str] = ()) -> str:
-    """SQL for all spans of all patterns in ``text`` (an SQL expression).
+def _all_pieces(text: str, pieces: list[str], tokens: list[str] = (), gate: str = "true") -> Column:
+    """array<pieces> of all patterns over ``text`` (an SQL expression).
 
     ``aid`` holds what the guards test: the lower-cased text, the tokens of
     interest that occur in it, and whether it has digits or underscores.
     """
     present = ("array_intersect(split(low, '[^\\\\p{L}\\\\p{N}]+'), " + _array(tokens) + ")") if tokens else "array('')"
-    return f"""
+    return F.expr(f"""CASE WHEN {gate} THEN
 element_at(transform(array(replace({text}, {_quote(MARK)}, {_quote(SPARE)})), scan ->
   element_at(transform(transform(array(replace(lower(scan), 'ſ', 's')), low -> named_struct(
       'low', low, 'tokens', {present}, 'digit', scan RLIKE '[0-9]', 'underscore', contains(scan, '_'))), aid ->
-    flatten(transform(array({", ".join(pieces)}), (pieces, unit) ->
-      CASE WHEN pieces IS NULL THEN cast(array() AS {_SPANS}) ELSE {_SPANS_OF_PIECES} END))), 1)), 1)"""
+    array({", ".join(pieces)})), 1)), 1) END""")
+
+
+def _spans_of(pieces: Column, unit: Column) -> Column:
+    """Non-empty matches of one unit: offsets are the running lengths of its pieces."""
+    def step(acc: Column, piece: Column):
+        end = acc["at"] + F.length(piece)
+        span = F.struct(unit.alias("unit"), acc["at"].alias("start"), end.alias("end"), piece.alias("value"))
+        return {"at": end, "hit": ~acc["hit"]}, F.when(acc["hit"] & (F.length(piece) > 0), span)
+
+    return fold_blocks(pieces, {"at": F.lit(0), "hit": F.lit(False)}, _SPAN, step)
+
+
+def _located(all_pieces: Column) -> Column:
+    return F.flatten(F.transform(all_pieces, lambda pieces, unit: F.when(
+        pieces.isNull(), F.array().cast(f"array<{_SPAN}>")).otherwise(_spans_of(pieces, unit))))
 
 
 def _plain_spans(text_col: str, patterns: list[str]) -> Column:
-    spans = _located(f"`{text_col}`", [_pieces(p, []) for p in patterns])
-    return F.expr(f"transform({spans}, s -> named_struct('start', s.start, 'end', s.end, 'value', s.value))")
+    spans = _located(_all_pieces(f"`{text_col}`", [_pieces(p, []) for p in patterns]))
+    return F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["value"]))
 
 
 def regex_spans(text_col: str, pattern: str, rule_id: str = "pattern") -> Column:
@@ -161,50 +163,50 @@ def combination_spans(*conditions: Column) -> Column:
     ).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>")))
 
 
-def _candidate_sql(rules: RuleSet, owners: str) -> str:
+def _by_index(values, index: Column) -> Column:
+    """The entry of a fixed list (written as one SQL literal)."""
+    return F.get(F.expr(_array(values)), index)
+
+
+def _candidates(hits: Column, rules: RuleSet, units: list[_Unit]) -> Column:
     """``hits`` minus unmet combinations and minus anything touching the whitelist."""
-    wanted = f"filter(hits, s -> {owners}[s.unit] >= 0)"
+    def owner(span: Column) -> Column:
+        return _by_index([u.owner for u in units], span["unit"])
+
+    wanted = F.filter(hits, lambda s: owner(s) >= 0)
     combinations = [i for i, m in enumerate(rules.matchers) if m.kind == "combination"]
     if combinations:
-        condition_ids = _array([u.owner * 16 + u.condition for u in _units(rules)])
-        unmet = ", ".join(
-            "CASE WHEN " + " AND ".join(
-                f"array_contains(seen, {i * 16 + c})" for c in range(len(rules.matchers[i].conditions)))
-            + f" THEN -2 ELSE {i} END" for i in combinations)
-        wanted = f"""element_at(transform(array(array_distinct(transform(hits, s -> {condition_ids}[s.unit]))), seen ->
-          element_at(transform(array(array({unmet})), unmet -> filter(hits, s ->
-            {owners}[s.unit] >= 0 AND NOT array_contains(unmet, {owners}[s.unit]))), 1)), 1)"""
+        # A combination counts once every one of its conditions has a hit.
+        conditions = [u.owner * 16 + u.condition for u in units]
+        needed = ", ".join(f"named_struct('rule', {i}, 'all', sequence({i * 16}, {i * 16 + len(rules.matchers[i].conditions) - 1}))"
+                           for i in combinations)
+        wanted = let(F.array_distinct(F.transform(hits, lambda s: _by_index(conditions, s["unit"]))), lambda seen: let(
+            F.filter(F.expr(f"array({needed})"), lambda c: F.size(F.array_except(c["all"], seen)) > 0), lambda unmet: F.filter(
+                hits, lambda s: (owner(s) >= 0) & ~F.array_contains(unmet["rule"], owner(s)))))
     if rules.whitelist:
-        wanted = f"""element_at(transform(array(filter(hits, s -> {owners}[s.unit] < 0)), white ->
-          filter({wanted}, c -> NOT exists(white, w -> c.start < w.end AND w.start < c.end))), 1)"""
-    return wanted
+        allowed = F.filter(hits, lambda s: owner(s) < 0)
+        wanted = let(wanted, lambda c: let(allowed, lambda w: drop_overlaps(c, w, _SPAN)))
+    return F.transform(wanted, lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), owner(s).alias("priority"), s["value"].alias("value")))
 
 
-def _findings_sql(rules: RuleSet, text: str, hits: str) -> str:
-    """Resolve overlaps (earliest, longest, first declared; greedy) and label."""
-    units = _units(rules)
-    owners = _array([u.owner for u in units])
+def _findings(text: Column, hits: Column, rules: RuleSet, units: list[_Unit]) -> Column:
+    """Resolve overlaps and attach what each matcher says."""
     matchers = rules.matchers
-    value = (f"CASE WHEN contains({text}, {_quote(MARK)}) "
-             f"THEN substring({text}, s.start + 1, -s.minus_length) ELSE s.value END")
-    return f"""
-CASE WHEN coalesce(size({hits}), 0) = 0 THEN cast(array() AS {FINDINGS_TYPE}) ELSE
-element_at(transform(array({hits}), hits ->
-  transform(
-    aggregate(
-      array_sort(transform({_candidate_sql(rules, owners)}, s -> named_struct(
-        'start', s.start, 'minus_length', s.start - s.end, 'priority', {owners}[s.unit], 'value', s.value))),
-      named_struct('last', -1, 'kept', cast(array() AS {_KEPT})),
-      (acc, s) -> CASE WHEN s.start >= acc.last
-        THEN named_struct('last', s.start - s.minus_length, 'kept', array_append(acc.kept, s)) ELSE acc END,
-      acc -> acc.kept),
-    s -> named_struct(
-      'rule_id', {_array([m.rule_id for m in matchers])}[s.priority],
-      'start', s.start, 'end', s.start - s.minus_length, 'value', {value},
-      'action', {_array([m.action for m in matchers])}[s.priority],
-      'severity', {_array([m.severity for m in matchers])}[s.priority],
-      'label', {_array([m.placeholder if m.action == "anonymize" else None for m in matchers])}[s.priority]))), 1)
-END"""
+    labels = [m.placeholder if m.action == "anonymize" else None for m in matchers]
+
+    def labelled(s: Column) -> Column:
+        value = F.when(F.contains(text, F.lit(MARK)), F.substring(text, s["start"] + 1, s["end"] - s["start"]))
+        return F.struct(
+            _by_index([m.rule_id for m in matchers], s["priority"]).alias("rule_id"), s["start"].alias("start"),
+            s["end"].alias("end"), value.otherwise(s["value"]).alias("value"),
+            _by_index([m.action for m in matchers], s["priority"]).alias("action"),
+            _by_index([m.severity for m in matchers], s["priority"]).alias("severity"),
+            _by_index(labels, s["priority"]).alias("label"))
+
+    none = F.array().cast(FINDINGS_TYPE)
+    return let(hits, lambda found: F.when(F.coalesce(F.size(found), F.lit(0)) == 0, none).otherwise(F.transform(
+        let(_candidates(found, rules, units), lambda c: resolve_overlaps(c, _CANDIDATE)), labelled).cast(FINDINGS_TYPE)))
 
 
 def _validated(hits: Column, units: list[_Unit]) -> Column:
@@ -231,10 +233,9 @@ def with_findings(df: DataFrame, text_col: str, rules: RuleSet, max_chars: int |
     gate = f"{text} != ''"
     if max_chars is not None:
         gate += f" AND length({text}) <= {int(max_chars)} AND {text} RLIKE {_quote(f'[^{JS_SPACE}]')}"
-    located = _located(text, [_pieces(u.pattern, _guard(u)) for u in units], _wanted_tokens(units))
-    hits = F.expr(f"CASE WHEN {gate} THEN {located} END")
-    return (df.withColumn("__hits", _validated(hits, units))
-            .withColumn(into, F.expr(_findings_sql(rules, text, "`__hits`"))).drop("__hits"))
+    pieces = _all_pieces(text, [_pieces(u.pattern, _guard(u)) for u in units], _wanted_tokens(units), gate)
+    hits = let(pieces, lambda p: F.when(p.isNotNull(), _validated(_located(p), units)))
+    return df.withColumn(into, _findings(F.col(text_col), hits, rules, units))
 
 
 def decide(df: DataFrame, findings_col: str = "findings") -> DataFrame:

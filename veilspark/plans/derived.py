@@ -19,6 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A text table spread for CPU-heavy work.
+
+    Text scans are bound by CPU, so a table stored in fewer splits than there
+    are cores is spread over them; a large table already has more and is read
+    in place, without a shuffle.
+    """
+    rows = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(4 * cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _pick(values: list[str], index: Column) -> Column:
     return F.get(F.array(*map(F.lit, values)), index)
 
@@ -135,8 +147,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as texts of a session (their language) in a stable order."""
-    return table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("session"),
-                                                    F.col("doc_id").alias("order"))
+    return texts(spark, sf_dir, "documents", "doc_id").select(
+        "doc_id", "text", F.col("lang").alias("session"), F.col("doc_id").alias("order"))
 
 
 def auth_log(spark: SparkSession, sf_dir: str) -> DataFrame:

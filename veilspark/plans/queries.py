@@ -443,7 +443,7 @@ def email_rules():
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents")
+    return derived.texts(spark, sf, "documents", "doc_id")
 
 
 @query
@@ -482,7 +482,7 @@ def scan_default_pack(spark, sf):
 
 @query
 def scan_default_pack_pages(spark, sf):
-    found = scan.evaluate(table(spark, sf, "pages").select("page_id", "html"), "html", default_rules())
+    found = scan.evaluate(derived.texts(spark, sf, "pages", "page_id").select("page_id", "html"), "html", default_rules())
     return scan.finding_rollup(found, "page_id")
 
 
