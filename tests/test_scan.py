@@ -172,7 +172,10 @@ def test_rollup_and_rule_ids(spark):
 
 def test_scan_runs_once_per_text(spark):
     """Exploding or deciding must not duplicate the scan below a pushed filter."""
-    df = spark.createDataFrame([("a@x.com",)], "text string")
-    found = scan.explode_findings(scan.evaluate(df, "text", compile_rules({"rules": []})))
-    plan = found._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count(r"eyJ[A-Za-z0-9_-]+\.eyJ") == 2          # one test, one marking pass
+    df = spark.createDataFrame([("a@x.com", 1)], "text string, n int")
+    found = scan.evaluate(df, "text", compile_rules({"rules": []}))
+    for later in (scan.explode_findings(found), found.where("decision = 'anonymize'"), found.where("n = 2")):
+        plan = later._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(r"eyJ[A-Za-z0-9_-]+\.eyJ") == 2          # one test, one marking pass
+    lines = plan.splitlines()
+    assert "Filter" not in lines[0] and any("Filter" in x for x in lines[-2:])      # n = 2 went below the scan

@@ -235,7 +235,10 @@ def with_findings(df: DataFrame, text_col: str, rules: RuleSet, max_chars: int |
         gate += f" AND length({text}) <= {int(max_chars)} AND {text} RLIKE {_quote(f'[^{JS_SPACE}]')}"
     pieces = _all_pieces(text, [_pieces(u.pattern, _guard(u)) for u in units], _wanted_tokens(units), gate)
     hits = let(pieces, lambda p: F.when(p.isNotNull(), _validated(_located(p), units)))
-    return df.withColumn(into, _findings(F.col(text_col), hits, rules, units))
+    # Unfolding a one-element array keeps the scan where it is: a later filter on
+    # findings is not pushed below it (running every pattern twice), while
+    # filters on other columns still reach the source.
+    return df.select("*", F.explode_outer(F.array(_findings(F.col(text_col), hits, rules, units))).alias(into))
 
 
 def decide(df: DataFrame, findings_col: str = "findings") -> DataFrame:
@@ -253,10 +256,8 @@ def evaluate(df: DataFrame, text_col: str, rules: RuleSet, max_chars: int | None
 
 
 def explode_findings(df: DataFrame, *keep: str, findings_col: str = "findings") -> DataFrame:
-    """One row per finding.  ``explode_outer`` keeps Spark from inferring a size
-    filter below the scan, which would run every pattern twice."""
-    rows = df.select(*keep, F.posexplode_outer(findings_col).alias("position", "f"))
-    return rows.where(F.col("position").isNotNull()).select(*keep, "position", "f.*")
+    """One row per finding."""
+    return df.select(*keep, F.posexplode(findings_col).alias("position", "f")).select(*keep, "position", "f.*")
 
 
 def finding_rollup(df: DataFrame, *keys: str) -> DataFrame:

@@ -38,12 +38,9 @@ def outcome(decision: Column, findings: Column) -> Column:
 
 
 def values_to_replace(docs: DataFrame, *keep: str) -> DataFrame:
-    """One row per finding to replace; blocked documents contribute nothing.
-
-    The decision is tested inside the array, not by a filter below the scan.
-    """
-    spans = F.when(F.coalesce(F.col("decision"), F.lit("")) != "block", anonymize_spans(F.col("findings")))
-    rows = docs.select(*keep, F.explode_outer(spans).alias("f")).where(F.col("f").isNotNull())
+    """One row per finding to replace; blocked documents contribute nothing."""
+    kept = docs.where(F.coalesce(F.col("decision"), F.lit("")) != "block")
+    rows = kept.select(*keep, F.explode(anonymize_spans(F.col("findings"))).alias("f"))
     return rows.select(*keep, "f.start", "f.end", "f.value", "f.label")
 
 

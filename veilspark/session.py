@@ -23,6 +23,7 @@ def local_session(cores: int | str = 8, memory: str = "12g", partitions: int = 8
                .config("spark.driver.memory", memory)
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false")   # no call-site lookup per column
                .config("spark.sql.shuffle.partitions", str(partitions)))
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)

@@ -21,14 +21,17 @@ def parse_events(lines: DataFrame, column: str = "value") -> DataFrame:
     """JSON text → wire event columns plus ``errors`` (closed schema: a field
     nobody declared is an error, at the top, in findings and in the attachment)."""
     raw = F.col(column)
+    # One parse for the values, one for the members as they are written: the
+    # names at the top come from the latter, deeper names from its short parts.
     parsed = lines.withColumns({
-        "e": F.from_json(raw, schema.ddl(schema.WIRE_EVENT)),
-        "__keys": F.json_object_keys(raw),
+        "e": F.from_json(raw, schema.ddl(schema.WIRE_EVENT)), "__members": F.from_json(raw, "map<string,string>")})
+    members = F.col("__members")
+    named = parsed.withColumns({
+        "__keys": F.map_keys(members),
         "__finding_keys": F.flatten(F.transform(
-            F.from_json(F.get_json_object(raw, "$.findings"), "array<map<string,string>>"), lambda m: F.map_keys(m))),
-        "__attachment_keys": F.json_object_keys(F.get_json_object(raw, "$.attachment")),
-    })
-    checked = validate_events(parsed.select("*", "e.*").drop("e"))
+            F.from_json(members["findings"], "array<map<string,string>>"), lambda m: F.map_keys(m))),
+        "__attachment_keys": F.json_object_keys(members["attachment"])}).drop("__members")
+    checked = validate_events(named.select("*", "e.*").drop("e"))
     extra = F.array_compact(F.array(
         F.when(F.col("__keys").isNull(), F.lit("not a JSON object")),
         F.when(_unknown(F.col("__keys"), _ALLOWED), F.lit("unknown field")),
