@@ -137,10 +137,20 @@ def test_existing_vault_keeps_placeholders(spark):
     first = spark.createDataFrame([("s", 1, 0, "v1", "A"), ("s", 2, 0, "v2", "A")], shape)
     old = store(vt.build_vault(first, "z"), "v")
     again = spark.createDataFrame([("s", 0, 0, "v3", "A"), ("s", 0, 1, "v1", "B")], shape)
-    new = vt.build_vault(again, "z", existing=old)
+    new = vt.extend_vault(again, "z", old, 1)
     before, after = ({r.value: r.placeholder for r in v.collect()} for v in (old, new))
-    assert {k: after[k] for k in before} == before and set(after) == {"v1", "v2", "v3"}
-    assert {r.value: r.generation for r in new.collect()} == {"v1": 1, "v2": 1, "v3": 2}
+    assert set(after) == {"v1", "v3"} and after["v1"] == before["v1"]
+    assert {r.value: r.generation for r in new.collect()} == {"v1": 0, "v3": 1}
+
+
+def test_new_values_are_numbered_after_the_taken_ones(spark, monkeypatch):
+    monkeypatch.setattr(vt, "base_of", lambda value, salt: F.lit("abcdef"))
+    shape = "session string, `order` int, start int, value string, label string"
+    old = store(vt.build_vault(spark.createDataFrame([("s", 1, 0, "v1", "A"), ("s", 2, 0, "v2", "A")], shape), "z"), "v")
+    new = vt.extend_vault(spark.createDataFrame([("s", 9, 0, "v4", "A"), ("s", 8, 0, "v3", "A"), ("s", 8, 1, "v2", "B"),
+                                                 ("s", 8, 2, "v5", "B")], shape), "z", old, 1)
+    assert {r.value: r.placeholder for r in new.collect()} == {
+        "v2": "[A_abcdef_2]", "v3": "[A_abcdef_3]", "v4": "[A_abcdef_4]", "v5": "[B_abcdef]"}
 
 
 def test_cap_keeps_newest(spark):

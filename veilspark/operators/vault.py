@@ -64,37 +64,49 @@ def number_collisions(entries: DataFrame, session: str = "session") -> DataFrame
     return entries.withColumn("number", F.row_number().over(shared))
 
 
-def build_vault(found: DataFrame, salt: str | Column, session: str = "session", order: str = "order",
-                existing: DataFrame | None = None) -> DataFrame:
-    """(session, value, label, base, number, placeholder, labels, uses, first_seen).
+def _entries(numbered: DataFrame, session: str, generation: int) -> DataFrame:
+    return numbered.select(session, "value", "label", "base", "number",
+                           compose(F.col("label"), F.col("base"), F.col("number")).alias("placeholder"),
+                           "labels", "uses", "first_seen", F.lit(generation).alias("generation"))
+
+
+def _salted(salt: str | Column) -> Column:
+    return F.lit(salt) if isinstance(salt, str) else salt
+
+
+def build_vault(found: DataFrame, salt: str | Column, session: str = "session", order: str = "order") -> DataFrame:
+    """(session, value, label, base, number, placeholder, labels, uses, first_seen, generation).
 
     ``found`` holds ``session``, ``order``, ``start``, ``value``, ``label``.
-    With ``existing`` its entries keep their placeholders and new values are
-    numbered after them.
     """
-    salt_column = F.lit(salt) if isinstance(salt, str) else salt
+    fresh = first_label(found, session, order).withColumn("base", base_of(F.col("value"), _salted(salt)))
+    return _entries(number_collisions(fresh, session), session, 0)
+
+
+def extend_vault(found: DataFrame, salt: str | Column, existing: DataFrame, generation: int,
+                 session: str = "session", order: str = "order") -> DataFrame:
+    """Vault rows for the values of a new batch (a stored ``found``).
+
+    Known values come back with the placeholder they have; rows of the given
+    ``generation`` are new and numbered after those taken: append only these.
+    The vault is probed in place (the batch is the small side), not rewritten.
+    """
     fresh = first_label(found, session, order)
-    if existing is not None:
-        known = existing.select(session, "value", F.col("label").alias("k_label"),
-                                F.col("first_seen").alias("k_seen"), F.col("labels").alias("k_labels"),
-                                F.col("uses").alias("k_uses"), F.col("generation"))
-        fresh = fresh.join(known, [session, "value"], "full_outer").select(
-            session, "value", F.coalesce("k_label", "label").alias("label"),
-            F.coalesce("k_seen", "first_seen").alias("first_seen"),
-            F.array_union(F.coalesce("labels", F.array().cast("array<string>")),
-                          F.coalesce("k_labels", F.array().cast("array<string>"))).alias("labels"),
-            (F.coalesce("uses", F.lit(0)) + F.coalesce("k_uses", F.lit(0))).alias("uses"), "generation")
-        latest = existing.agg(F.coalesce(F.max("generation"), F.lit(0))).scalar()
-        fresh = fresh.withColumn("generation", F.coalesce("generation", latest + 1))
-    else:
-        fresh = fresh.withColumn("generation", F.lit(1))
-    based = fresh.withColumn("base", base_of(F.col("value"), salt_column))
-    shared = W.partitionBy(session, "label", "base").orderBy("generation", "first_seen", "value")
-    numbered = (based.withColumn("number", F.row_number().over(shared)) if existing is not None
-                else number_collisions(based, session))
-    return numbered.select(session, "value", "label", "base", "number",
-                           compose(F.col("label"), F.col("base"), F.col("number")).alias("placeholder"),
-                           "labels", "uses", "first_seen", "generation")
+    keys = [session, "value"]
+    known = existing.join(fresh.select(*keys), keys, "left_semi").select(
+        *keys, F.col("label").alias("k_label"), F.col("first_seen").alias("k_seen"), "base", "number",
+        F.col("generation").alias("k_generation"))
+    seen = fresh.join(known, keys).select(
+        *keys, F.col("k_label").alias("label"), "base", "number",
+        compose(F.col("k_label"), F.col("base"), F.col("number")).alias("placeholder"), "labels", "uses",
+        F.col("k_seen").alias("first_seen"), F.col("k_generation").alias("generation"))
+    new = fresh.join(known.select(*keys), keys, "left_anti").withColumn("base", base_of(F.col("value"), _salted(salt)))
+    group = [session, "label", "base"]
+    taken = existing.join(new.select(*group).distinct(), group, "left_semi").groupBy(*group).agg(
+        F.max("number").alias("taken"))
+    numbered = number_collisions(new, session).join(taken, group, "left").withColumn(
+        "number", F.col("number") + F.coalesce("taken", F.lit(0)))
+    return seen.unionByName(_entries(numbered, session, generation))
 
 
 def cap_vault(vault: DataFrame, n: int = VAULT_CAP, session: str = "session") -> DataFrame:
@@ -163,7 +175,7 @@ def anonymize(docs: DataFrame, vault: DataFrame, salt: str | Column, id_col: str
     ``docs`` carries ``findings`` and ``decision`` (store it first: it is read
     for the exceptions and for the texts).
     """
-    salt_column = F.lit(salt) if isinstance(salt, str) else salt
+    salt_column = _salted(salt)
     # Stored, so that its real size decides: a short list is broadcast and the
     # texts stay in place, only a long one makes them move.
     special = store(_exceptions_by_document(docs, vault, id_col, session), "exceptions")

@@ -401,7 +401,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT *, unnest(['blacklist', 'articles', 'near']) AS rule_id, unnest([black, arts, near]) AS n FROM counted) WHERE n > 0""",
         "scan_emails": _EMAILS,
         "scan_gated": _with(BUILTIN) + """SELECT f.doc_id, CAST(count(*) AS INTEGER) AS n FROM found f JOIN documents d USING (doc_id)
-            WHERE length(d.text) <= 2000 GROUP BY 1""",
+            WHERE length(d.text) <= 20000 GROUP BY 1""",
         "scan_rollup_per_rule": _with(BUILTIN) + """SELECT doc_id, rule_id AS type, max(severity) AS severity, count(*) AS "count"
             FROM found GROUP BY 1, 2""",
         "scan_overlap_anti_join": _EMAILS,

@@ -489,7 +489,7 @@ def scan_default_pack_pages(spark, sf):
 @query
 def scan_gated(spark, sf):
     """Interactive gates: blank texts and texts over the limit stay unscanned."""
-    found = scan.evaluate(_docs(spark, sf).select("doc_id", "text"), "text", builtin_rules(), max_chars=2000)
+    found = scan.evaluate(_docs(spark, sf).select("doc_id", "text"), "text", builtin_rules(), max_chars=20_000)
     return found.where(F.size("findings") > 0).select("doc_id", F.size("findings").alias("n"))
 
 
@@ -703,7 +703,7 @@ def stream_devices_and_feed(spark, sf):
     root = new_path(spark, "ingest")
     paths = {name: f"{root}/{name}" for name in ("events", "rejected", "devices", "feed")}
     _finish(jobs.ingest_stream(spark.readStream.text(source), paths, f"{root}/checkpoint", ingested_at=NOW))
-    devices = spark.read.parquet(paths["devices"]).agg(F.count("*").alias("n")).withColumn("what", F.lit("devices"))
+    devices = jobs.latest_rows(spark, paths["devices"], "id").agg(F.count("*").alias("n")).withColumn("what", F.lit("devices"))
     feed = jobs.live_feed(spark, paths["feed"], "acme").agg(F.count("*").alias("n")).withColumn("what", F.lit("feed"))
     rejected = spark.read.parquet(paths["rejected"]).agg(F.count("*").alias("n")).withColumn("what", F.lit("rejected"))
     return devices.unionByName(feed).unionByName(rejected)

@@ -25,7 +25,8 @@ from veilspark.operators.events import (
     keep_newest, latest_by, latest_per_device, one_per_key, split_new, to_stored,
 )
 from veilspark.operators.scan import evaluate
-from veilspark.operators.vault import anonymize, build_vault, plan, values_to_replace
+from veilspark.operators.vault import anonymize, build_vault, extend_vault, plan, values_to_replace
+from veilspark.session import store
 from veilspark.sources.readers import parse_events, split_valid
 from veilspark.sources.writers import write_events
 
@@ -51,20 +52,13 @@ def _write_epoch(df: DataFrame, path: str, epoch: int, partition_by: list[str] |
     df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(os.path.join(path, f"epoch={epoch}"))
 
 
-def _newest_epoch(spark: SparkSession, path: str, shape: dict[str, str], before: int) -> DataFrame:
-    """The snapshot written by the last epoch before ``before`` (snapshots are whole tables)."""
-    table = read_or_empty(spark, path, shape, epoch="bigint")
-    older = table.where(F.col("epoch") < before)
-    return older.where(F.col("epoch") == older.agg(F.max("epoch")).scalar()).drop("epoch")
-
-
 def ingest_stream(lines: DataFrame, paths: dict[str, str], checkpoint: str, ingested_at=None,
                   dedup_within: str | None = None, every: str | None = None) -> StreamingQuery:
     """Idempotent ingest of event JSON (``value`` column).
 
     ``paths``: ``events`` (day-partitioned table), ``rejected``, and optionally
-    ``devices`` (snapshot per epoch) and ``feed`` (accepted events per
-    organisation).  Ids are checked against everything stored;
+    ``devices`` (changed rows per epoch, read with :func:`latest_rows`) and
+    ``feed`` (accepted events per organisation).  Ids are checked against everything stored;
     ``dedup_within`` adds stream-side de-duplication, which drops events later
     than that bound.
     """
@@ -90,8 +84,12 @@ def ingest_stream(lines: DataFrame, paths: dict[str, str], checkpoint: str, inge
             # Before the append: afterwards the new ids count as stored.
             _write_epoch(one_per_key(new).drop("position"), paths["feed"], epoch, ["org_id"])
         if "devices" in paths:
-            known = _newest_epoch(spark, paths["devices"], schema.DEVICES, epoch)
-            _write_epoch(upsert_devices(known, latest_per_device(staged), at), paths["devices"], epoch)
+            # Only the devices of this batch are read, merged and written.
+            latest = latest_per_device(staged)
+            versions = read_or_empty(spark, paths["devices"], schema.DEVICES, epoch="bigint").where(F.col("epoch") < epoch)
+            touched = versions.join(latest.select(F.col("device_id").alias("id")), "id", "left_semi")
+            known = latest_by(touched, ["id"], F.col("epoch")).drop("epoch")
+            _write_epoch(upsert_devices(known, latest, at), paths["devices"], epoch)
         write_events(new, paths["events"])
 
     return _start(source, checkpoint, handle, every=every)
@@ -193,8 +191,8 @@ def scan_stream(docs: DataFrame, rules, paths: dict[str, str], checkpoint: str,
                 every: str | None = None) -> StreamingQuery:
     """Scan and pseudonymise a stream of texts.
 
-    The scan needs no state.  The vault is a table with one snapshot per epoch:
-    values keep their placeholder across batches.
+    The scan needs no state.  The vault is an append-only table: a batch adds its
+    new values (as ``epoch=N``), and known ones keep their placeholder.
     """
     def handle(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
@@ -203,15 +201,13 @@ def scan_stream(docs: DataFrame, rules, paths: dict[str, str], checkpoint: str,
         found = spark.read.parquet(found_path)
         values = values_to_replace(found, session, order)
         try:
-            history = spark.read.parquet(paths["vault"])
-            older = history.where(F.col("epoch") < epoch)
-            existing = older.where(F.col("epoch") == older.agg(F.max("epoch")).scalar()).drop("epoch")
-        except AnalysisException:
+            existing = spark.read.parquet(paths["vault"]).where(F.col("epoch") < epoch).drop("epoch")
+        except AnalysisException:                                   # the first batch: no vault yet
             existing = None
-        vault_path = os.path.join(paths["vault"], f"epoch={epoch}")
-        build_vault(values, salt, session, order, existing).write.mode("overwrite").parquet(vault_path)
-        vault = spark.read.parquet(vault_path)
-        planned = plan(anonymize(found, vault, salt, id_col, text_col, session), text_col)
+        known = store(build_vault(values, salt, session, order).withColumn("generation", F.lit(epoch))
+                      if existing is None else extend_vault(values, salt, existing, epoch, session, order), "vault")
+        _write_epoch(known.where(F.col("generation") == epoch), paths["vault"], epoch)
+        planned = plan(anonymize(found, known, salt, id_col, text_col, session), text_col)
         _write_epoch(planned.select(id_col, session, "decision", "outcome", "result"), paths["out"], epoch)
 
     return _start(docs, checkpoint, handle, every=every)
