@@ -30,7 +30,8 @@ def has_severity(df: DataFrame, severity: str) -> DataFrame:
 
 def to_wire(df: DataFrame) -> DataFrame:
     """The 15 fields a reader gets (organisation and ingest time stay inside)."""
-    have = {name: F.col(name) if name in df.columns else F.lit(None) for name in schema.WIRE_NAMES}
+    have = {name: F.col(name) if name in df.columns else F.lit(None).cast(schema.EVENTS[name])
+            for name in schema.WIRE_NAMES}
     return df.select(*[column.alias(schema.WIRE_NAMES[name]) for name, column in have.items()])
 
 

@@ -15,7 +15,6 @@ ACTION_OF = {"view": "CLEAN", "click": "ANONYMIZED", "purchase": "PII_DETECTED",
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

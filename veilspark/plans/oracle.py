@@ -274,8 +274,8 @@ def oracle_sql() -> dict[str, str]:
             AND "timestamp" >= {_NOW} - INTERVAL 7 DAYS""",
         "events_has_severity": _with(DET) + "SELECT event_id, org_id FROM det WHERE f_severity = 'critical'",
         "events_wire_projection": _with(DET) + """SELECT event_id AS "eventId", epoch_us("timestamp") AS "timestamp",
-            device_id AS "deviceId", NULL AS "userHint", NULL AS hostname, llm, action, NULL AS endpoint, mode,
-            prompt_length AS "promptLength", coalesce(f_count, 0) AS "mappingsCount", NULL AS "anonymizedPreview",
+            device_id AS "deviceId", CAST(NULL AS VARCHAR) AS "userHint", CAST(NULL AS VARCHAR) AS hostname, llm, action, CAST(NULL AS VARCHAR) AS endpoint, mode,
+            prompt_length AS "promptLength", coalesce(f_count, 0) AS "mappingsCount", CAST(NULL AS VARCHAR) AS "anonymizedPreview",
             f_type AS finding_type, f_severity AS finding_severity, f_count AS finding_count,
             extension_version AS "extensionVersion" FROM det""",
         "events_page": _with(SCOPE) + """SELECT event_id, epoch_us("timestamp") AS "timestamp", action FROM (
