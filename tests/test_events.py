@@ -114,8 +114,11 @@ def test_write_purge(spark):
     rows = ev.to_stored(readers.generate_events(spark, 200), "2024-02-01")
     writers.write_events(rows, path)
     assert spark.read.parquet(path).count() == 200
-    plan = spark.read.parquet(path).where("event_date = '2024-01-10'")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(event_date" in plan
+    week = ev.since(ev.for_org(spark.read.parquet(path), "default"), "7d", "2024-01-31")
+    scan = [x for x in week._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x][0]
+    assert "PartitionFilters: [isnotnull(event_date" in scan and ">= 2024-01-24" in scan
+    assert "EqualTo(org_id,default)" in scan and "GreaterThanOrEqual(timestamp" in scan
+    assert 0 < week.count() == ev.since(rows, "7d", "2024-01-31").count() < 200
     flat = new_path(spark, "dev")
     spark.createDataFrame([("a",)], "id string").write.parquet(flat)
     writers.purge(spark, {flat: {"id": "string"}})

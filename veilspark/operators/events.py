@@ -13,11 +13,16 @@ UUID = r"\A[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\z"
 
 def since(df: DataFrame, time_range: str = "24h", now: datetime | str | None = None,
           ts: str = "timestamp") -> DataFrame:
-    """Rows at or after ``now - range`` (no upper bound); unknown ranges are an error."""
+    """Rows at or after ``now - range`` (no upper bound); unknown ranges are an error.
+
+    On the day-partitioned event table the bound also prunes partitions.
+    """
     if time_range not in schema.RANGES:
         raise ValueError(f"range must be one of {', '.join(schema.RANGES)}")
     at = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
-    return df.where(F.col(ts) >= at - F.expr(f"INTERVAL {schema.RANGES[time_range]}"))
+    bound = at - F.expr(f"INTERVAL {schema.RANGES[time_range]}")
+    rows = df.where(F.col("event_date") >= F.to_date(bound)) if "event_date" in df.columns else df
+    return rows.where(F.col(ts) >= bound)
 
 
 def for_org(df: DataFrame, org: str) -> DataFrame:

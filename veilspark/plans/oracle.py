@@ -229,6 +229,7 @@ _EMAILS = f"""SELECT doc_id, v AS value FROM (
   WHERE regexp_matches(v, '^[a-zA-Z0-9._%+-]+@')"""
 
 
+_NUMBERS = _matches("numbers", r"\b[0-9]{3,}\b", "true")
 _TAGGED = f"""tagged AS (SELECT doc_id, unnest(string_split_regex(text, '{WORD_SPLIT}')) AS word
   FROM documents WHERE length(text) >= 12)"""
 _PLACEHOLDER_OF = f"""CASE WHEN contains(v, '.') THEN CASE WHEN {_IP_OK} THEN '[IP_' || {_fnv("('s1:' || v)")} || ']' ELSE v END
@@ -297,6 +298,9 @@ def oracle_sql() -> dict[str, str]:
         "events_table_round_trip": _with(DET) + """SELECT org_id, CAST(CAST("timestamp" AS DATE) AS VARCHAR) AS event_date,
             count(*) AS n, CAST(sum(prompt_length) AS BIGINT) AS prompt_length FROM det
             WHERE CAST("timestamp" AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-14' GROUP BY 1, 2""",
+        "events_stored_range": _with(DET) + f"""SELECT f_type AS type, CAST(sum(f_count) AS BIGINT) AS "count" FROM det
+            WHERE has_finding AND org_id = 'default' AND "timestamp" >= {_NOW} - INTERVAL 7 DAYS GROUP BY 1""",
+        "events_purged": "SELECT count(*) AS before, CAST(0 AS BIGINT) AS after FROM events",
         "events_newest_500": """SELECT event_id, epoch_us(ts) AS "timestamp" FROM events ORDER BY ts DESC, event_id LIMIT 500""",
         "events_recent_10": _with(DET) + """SELECT event_id, action FROM det ORDER BY "timestamp" DESC, event_id LIMIT 10""",
         "events_newest_20_per_org": _with(DET) + """SELECT org_id, event_id FROM (SELECT *, row_number() OVER (
@@ -404,6 +408,11 @@ def oracle_sql() -> dict[str, str]:
             WHERE length(d.text) <= 20000 GROUP BY 1""",
         "scan_rollup_per_rule": _with(BUILTIN) + """SELECT doc_id, rule_id AS type, max(severity) AS severity, count(*) AS "count"
             FROM found GROUP BY 1, 2""",
+        "scan_regex_spans": _with(_NUMBERS) + """SELECT doc_id, "start", "end", v AS value FROM numbers""",
+        "scan_custom_validator": _with(_NUMBERS) + """SELECT doc_id, v AS value, 'warn' AS action, CAST(NULL AS VARCHAR) AS label
+            FROM numbers WHERE regexp_matches(v, '[02468]$')""",
+        "scan_rule_ids": _with(BUILTIN) + """SELECT doc_id, string_agg(rule_id, ',' ORDER BY at_) AS rule_ids FROM (
+            SELECT doc_id, rule_id, min("start") AS at_ FROM found GROUP BY 1, 2) GROUP BY 1""",
         "scan_overlap_anti_join": _EMAILS,
         "values_masked": _with(BUILTIN) + f"SELECT doc_id, value, {_MASK} AS masked FROM found",
         "values_hashed": f"SELECT DISTINCT c_name, {_fnv("('s1:' || c_name)")} AS hash FROM customer",

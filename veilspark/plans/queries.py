@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Callable
+from dataclasses import replace
 from functools import lru_cache, wraps
 
 from pyspark import cloudpickle
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veilspark import dims
 from veilspark.functions.placeholders import fnv1a6
+from veilspark.functions.spans import rule_ids
 from veilspark.functions.validators import mask_value
 from veilspark.operators import audit, compliance as co, devices as dv, events as ev, limiter, ner, prompts, scan, stats as st, vault as vt
 from veilspark.plans import derived
@@ -136,6 +138,25 @@ def events_table_round_trip(spark, sf):
         F.count("*").alias("n"), F.sum("prompt_length").alias("prompt_length"))
 
 
+@query
+def events_stored_range(spark, sf):
+    """Statistics of the last week from the day-partitioned table (prunes partitions)."""
+    path = new_path(spark, "events")
+    writers.write_events(_det(spark, sf), path)
+    return st.count_by_finding_type(spark.read.parquet(path), ORG, "7d", NOW)
+
+
+@query
+def events_purged(spark, sf):
+    """Purge leaves an empty table of the same shape."""
+    path = new_path(spark, "events")
+    rows = _det(spark, sf).select("event_id", "org_id", "action")
+    rows.write.parquet(path)
+    before = spark.read.parquet(path).agg(F.count("*").alias("before")).first()["before"]
+    writers.purge(spark, {path: dict(rows.dtypes)})
+    return spark.read.parquet(path).agg(F.lit(before).cast("bigint").alias("before"), F.count("org_id").alias("after"))
+
+
 @query
 def events_newest_500(spark, sf):
     return ev.keep_newest(_det(spark, sf), 500, "timestamp", "event_id").select("event_id", _us("timestamp"))
@@ -505,6 +526,29 @@ def scan_rollup_per_rule(spark, sf):
     return scan.finding_rollup(found, "doc_id")
 
 
+@query
+def scan_regex_spans(spark, sf):
+    spans = _docs(spark, sf).select("doc_id", scan.regex_spans("text", r"\b\d{3,}\b").alias("spans"))
+    return spans.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.end", "s.value")
+
+
+@query
+def scan_custom_validator(spark, sf):
+    """A rule with a caller's own check: numbers of three digits or more that are even."""
+    rules = compile_rules({"rules": [{"id": "even", "kind": "regex", "action": "warn", "pattern": r"\b\d{3,}\b"}]}, builtins=False)
+    even = replace(rules.matchers[0], validate=lambda value: F.right(value, F.lit(1)).isin(list("02468")))
+    found = scan.evaluate(_docs(spark, sf).select("doc_id", "text"), "text", replace(rules, matchers=(even,)))
+    return scan.explode_findings(found, "doc_id").select("doc_id", "value", "action", "label")
+
+
+@query
+def scan_rule_ids(spark, sf):
+    """Distinct rule ids per document, in match order."""
+    found = scan.evaluate(_docs(spark, sf).select("doc_id", "text"), "text", builtin_rules())
+    return found.where(F.col("decision").isNotNull()).select(
+        "doc_id", F.array_join(rule_ids(F.col("findings")), ",").alias("rule_ids"))
+
+
 @query
 def scan_overlap_anti_join(spark, sf):
     """Email spans that touch no card or address span (exploded form)."""
