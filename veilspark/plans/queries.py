@@ -116,7 +116,7 @@ def events_new_and_duplicate(spark, sf):
     stored = det.where(F.col("timestamp") < "2024-01-15")
     batch = det.where(F.col("timestamp") >= "2024-01-10").withColumn("position", F.col("event_id"))
     batch = batch.unionByName(batch.where(F.col("event_id") % 7 == 0).withColumn("position", F.col("event_id") + 1))
-    new, known = ev.split_new(batch, stored)
+    new, known = (store(df, "split") for df in ev.split_new(store(batch, "batch"), stored))
     return new.agg(F.count("*").alias("n")).withColumn("what", F.lit("accepted")).unionByName(
         known.agg(F.count("*").alias("n")).withColumn("what", F.lit("duplicates"))).unionByName(
         ev.one_per_key(new).agg(F.count("*").alias("n")).withColumn("what", F.lit("stored")))

@@ -79,10 +79,10 @@ def ingest_stream(lines: DataFrame, paths: dict[str, str], checkpoint: str, inge
         _write_epoch(rejected, paths["rejected"], epoch)
         staged = to_stored(valid, at, "position")
         stored = read_or_empty(spark, paths["events"], schema.EVENTS)
-        new, _ = split_new(staged, stored)
+        # Settled before the append: afterwards the new ids count as stored.
+        new = store(one_per_key(split_new(staged, stored)[0]).drop("position"), "new")
         if "feed" in paths:
-            # Before the append: afterwards the new ids count as stored.
-            _write_epoch(one_per_key(new).drop("position"), paths["feed"], epoch, ["org_id"])
+            _write_epoch(new, paths["feed"], epoch, ["org_id"])
         if "devices" in paths:
             # Only the devices of this batch are read, merged and written.
             latest = latest_per_device(staged)
