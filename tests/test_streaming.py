@@ -1,4 +1,5 @@
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -32,6 +33,21 @@ def test_ingest_over_several_batches(spark):
     assert [(d.id, d.user_hint) for d in latest] == [(VALID["deviceId"], "zoe")]
 
 
+def test_ingest_batch_repeated_after_a_crash(spark):
+    """Forget that batch 0 was committed: it runs again and leaves the same data."""
+    root, source = new_path(spark, "i"), new_path(spark, "src")
+    paths = {n: f"{root}/{n}" for n in ("events", "rejected", "devices", "feed")}
+    spark.createDataFrame([(json.dumps(VALID),)], "value string").write.text(source)
+    for attempt in (1, 2):
+        jobs.ingest_stream(spark.readStream.text(source), paths, f"{root}/cp", ingested_at="2024-02-01").awaitTermination()
+        assert spark.read.parquet(paths["events"]).count() == 1
+        assert jobs.live_feed(spark, paths["feed"], "acme").count() == 1
+        assert jobs.latest_rows(spark, paths["devices"], "id").count() == 1
+        if attempt == 1:
+            for name in os.listdir(f"{root}/cp/commits"):
+                os.remove(f"{root}/cp/commits/{name}")
+
+
 def test_ingest_with_stream_side_dedup(spark):
     root, source = new_path(spark, "i"), new_path(spark, "src")
     paths = {n: f"{root}/{n}" for n in ("events", "rejected")}

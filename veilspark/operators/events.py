@@ -99,10 +99,11 @@ def validate_events(df: DataFrame) -> DataFrame:
     return df.withColumn("errors", F.array_compact(F.array(*[F.when(bad, F.lit(why)) for why, bad in tests])))
 
 
-def to_stored(df: DataFrame, ingested_at, *keep: str) -> DataFrame:
+def to_stored(df: DataFrame, ingested_at, *keep: str, ingest_id: str | None = None) -> DataFrame:
     """Wire event → stored row (plus the columns in ``keep``)."""
     renamed = df.select(*[F.col(wire).alias(stored) for stored, wire in schema.WIRE_NAMES.items()], *keep,
-                        F.col("orgId").alias("org_id"), F.lit(ingested_at).cast("timestamp").alias("ingested_at"))
+                        F.col("orgId").alias("org_id"), F.lit(ingested_at).cast("timestamp").alias("ingested_at"),
+                        F.lit(ingest_id).cast("string").alias("ingest_id"))
     return renamed.select(*schema.EVENTS, *keep)
 
 

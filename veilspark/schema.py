@@ -34,7 +34,7 @@ EVENTS = {
     "user_hint": "string", "hostname": "string", "llm": "string", "action": "string", "endpoint": "string",
     "mode": "string", "prompt_length": "int", "mappings_count": "int", "anonymized_preview": "string",
     "findings": f"array<{FINDING}>", "attachment": ATTACHMENT, "extension_version": "string",
-    "ingested_at": "timestamp",
+    "ingested_at": "timestamp", "ingest_id": "string",       # which micro-batch wrote the row
 }
 DEVICES = {
     "id": "string", "org_id": "string", "user_hint": "string", "extension_version": "string",

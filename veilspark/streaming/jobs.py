@@ -77,10 +77,12 @@ def ingest_stream(lines: DataFrame, paths: dict[str, str], checkpoint: str, inge
         parse_events(batch).withColumn("position", F.monotonically_increasing_id()).write.mode("overwrite").parquet(staged_path)
         valid, rejected = split_valid(spark.read.parquet(staged_path))
         _write_epoch(rejected, paths["rejected"], epoch)
-        staged = to_stored(valid, at, "position")
+        tag = f"{checkpoint}#{epoch}"
+        staged = to_stored(valid, at, "position", ingest_id=tag)
         stored = read_or_empty(spark, paths["events"], schema.EVENTS)
-        # Settled before the append: afterwards the new ids count as stored.
-        new = store(one_per_key(split_new(staged, stored)[0]).drop("position"), "new")
+        # Rows an earlier attempt of this very batch appended do not count as stored.
+        mine = F.coalesce("ingest_id", F.lit("")) == tag
+        new = store(one_per_key(split_new(staged, stored.where(~mine))[0]).drop("position"), "new")
         if "feed" in paths:
             _write_epoch(new, paths["feed"], epoch, ["org_id"])
         if "devices" in paths:
@@ -90,7 +92,8 @@ def ingest_stream(lines: DataFrame, paths: dict[str, str], checkpoint: str, inge
             touched = versions.join(latest.select(F.col("device_id").alias("id")), "id", "left_semi")
             known = latest_by(touched, ["id"], F.col("epoch")).drop("epoch")
             _write_epoch(upsert_devices(known, latest, at), paths["devices"], epoch)
-        write_events(new, paths["events"])
+        done = stored.where(mine).select("event_id", "timestamp")
+        write_events(new.join(done, ["event_id", "timestamp"], "left_anti"), paths["events"])
 
     return _start(source, checkpoint, handle, every=every)
 
