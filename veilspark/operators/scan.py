@@ -12,6 +12,7 @@ thousands of calls.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -25,6 +26,7 @@ MAX_SCAN_CHARS = 200_000
 # Two Unicode noncharacters: MARK is put around matches, SPARE stands in for a
 # MARK already present in the text (same length, same regex properties).
 MARK, SPARE = "\uFDD0", "\uFDD1"
+_EXPRESSIONS: WeakKeyDictionary = WeakKeyDictionary()
 _SPAN = "struct<unit:int,start:int,end:int,value:string>"
 _CANDIDATE = "struct<start:int,end:int,priority:int,value:string>"
 
@@ -233,12 +235,16 @@ def with_findings(df: DataFrame, text_col: str, rules: RuleSet, max_chars: int |
     gate = f"{text} != ''"
     if max_chars is not None:
         gate += f" AND length({text}) <= {int(max_chars)} AND {text} RLIKE {_quote(f'[^{JS_SPACE}]')}"
-    pieces = _all_pieces(text, [_pieces(u.pattern, _guard(u)) for u in units], _wanted_tokens(units), gate)
-    hits = let(pieces, lambda p: F.when(p.isNotNull(), _validated(_located(p), units)))
+    # The expression is built once per session: it costs more to write than to plan.
+    built = _EXPRESSIONS.setdefault(df.sparkSession, {})
+    if (text_col, rules, gate) not in built:
+        pieces = _all_pieces(text, [_pieces(u.pattern, _guard(u)) for u in units], _wanted_tokens(units), gate)
+        hits = let(pieces, lambda p: F.when(p.isNotNull(), _validated(_located(p), units)))
+        built[text_col, rules, gate] = _findings(F.col(text_col), hits, rules, units)
     # Unfolding a one-element array keeps the scan where it is: a later filter on
     # findings is not pushed below it (running every pattern twice), while
     # filters on other columns still reach the source.
-    return df.select("*", F.explode_outer(F.array(_findings(F.col(text_col), hits, rules, units))).alias(into))
+    return df.select("*", F.explode_outer(F.array(built[text_col, rules, gate])).alias(into))
 
 
 def decide(df: DataFrame, findings_col: str = "findings") -> DataFrame:
