@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import line_dedup, packing, secret_scan
-from veilspark.llm.tables import table
+from veilspark.llm import decontamination, language_id, line_dedup, packing, secret_scan, toxicity
+from veilspark.llm.tables import bucket, table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document after line dedup: its remaining text and how many lines went."""
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_deleted_lines")
@@ -20,10 +24,51 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from labelled documents outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", bucket("doc_id", 5) == 0)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    training = docs.where("NOT held_out").select("doc_id", "text", "lang").join(labels, "doc_id")
+    return toxicity.score_documents(docs, training).select("doc_id", "held_out", "score", "predicted")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from the languages of documents outside the held-out quarter."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", bucket("doc_id", 4) == 2)
+    training = docs.where("NOT held_out").select("doc_id", "text", "lang")
+    return language_id.identify(docs, training).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op5_best_fit_packing, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_line_dedup, op5_best_fit_packing, op7_toxicity, op8_language_id, op10_secret_scan)}
+
+_OP2 = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(len(w), 13) AS n FROM b WHERE len(w) > 0),
+windows AS (
+    SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS span
+    FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM sized)),
+lengths AS (SELECT DISTINCT n FROM windows),
+found AS (
+    SELECT DISTINCT g.doc_id, g.p, g.n, windows.item_id
+    FROM (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS span
+          FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, lengths WHERE len(w) >= n)) g
+    JOIN windows USING (n, span)),
+words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS listed
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_decontamination": _OP2}

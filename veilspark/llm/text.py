@@ -50,11 +50,17 @@ class Words:
     end: np.ndarray       # byte after each word
     bounds: np.ndarray    # words of text i: bounds[i]:bounds[i + 1]
     hash: np.ndarray      # 64 bits for each word
+    total: np.ndarray     # hash sums up to each byte
 
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.bounds)
 
+    def prefix(self, n: int) -> np.ndarray:
+        """A hash of the first n bytes of each word (of all, if it is shorter)."""
+        end = np.minimum(self.end, self.start + n)
+        return mix((self.total[end] - self.total[self.start]) * powers(_INVERSE, len(self.bytes) + 1)[self.start])
+
     def word(self, i: int) -> str:
         return self.bytes[self.start[i]:self.end[i]].tobytes().decode("utf-8", "replace")
 
@@ -71,12 +77,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0]:at[-1]] if len(at) else raw[:0], at - (at[0] if len(at) else 0)
 
 
-def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, bytes, offsets) of pieces of a column, each of whole texts."""
+def chunks(column: pa.Array, limit: int = CHUNK, most: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, bytes, offsets) of pieces of a column, each of whole texts, at most ``most`` of them."""
     raw, at = buffers(column)
     first = 0
     while first < len(column):
         last = max(first + 1, int(np.searchsorted(at, at[first] + limit, side="right")) - 1)
+        last = min(last, first + (most or last))
         yield first, last, raw[at[first]:at[last]], at[first:last + 1] - at[first]
         first = last
 
@@ -99,7 +106,7 @@ def words(column: pa.Array) -> Iterator[Words]:
         total = np.zeros(len(low) + 1, dtype=np.uint64)
         np.cumsum((low.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(low)), out=total[1:])
         value = (total[end] - total[start]) * powers(_INVERSE, len(low) + 1)[start]
-        yield Words(np.arange(first, last), low, start, end, np.searchsorted(start, at), mix(value))
+        yield Words(np.arange(first, last), low, start, end, np.searchsorted(start, at), mix(value), total)
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
