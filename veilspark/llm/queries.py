@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import decontamination, language_id, line_dedup, packing, secret_scan, toxicity
+from veilspark.llm import decontamination, language_id, line_dedup, near_dedup, packing, secret_scan, toxicity
 from veilspark.llm.tables import bucket, table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
 
@@ -43,7 +47,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_line_dedup, op5_best_fit_packing, op7_toxicity, op8_language_id, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_line_dedup, op5_best_fit_packing, op7_toxicity, op8_language_id, op10_secret_scan)}
 
 _OP2 = r"""
 WITH d AS (
