@@ -5,7 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import decontamination, language_id, line_dedup, near_dedup, packing, secret_scan, toxicity
+from veilspark.llm import (
+    decontamination,
+    html_extraction,
+    language_id,
+    line_dedup,
+    near_dedup,
+    packing,
+    secret_scan,
+    toxicity,
+    url_filter,
+    vector_dedup,
+)
 from veilspark.llm.tables import bucket, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -24,10 +35,18 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_deleted_lines")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learned from labelled documents outside the held-out fifth."""
     docs = table(spark, sf_dir, "documents").withColumn("held_out", bucket("doc_id", 5) == 0)
@@ -43,11 +62,17 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, training).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_line_dedup, op5_best_fit_packing, op7_toxicity, op8_language_id, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (
+    op1_near_dedup, op2_decontamination, op3_line_dedup, op4_html_extraction, op5_best_fit_packing, op6_url_filter, op7_toxicity,
+    op8_language_id, op9_vector_dedup, op10_secret_scan)}
 
 _OP2 = r"""
 WITH d AS (
