@@ -6,12 +6,14 @@ Method: ``pivots`` vectors, chosen by a hash from all of them, serve as
 reference points. A vector is described by its nearest pivots in order, of which
 the first ``nearest`` are indexed. Two vectors are candidates if they share at
 least ``shared`` of them: the inverted lists are kept for every set of
-``shared`` pivots, so that a list holds just the vectors that share those. Each
-candidate pair is verified once, in the list of its first shared pivots.
-
-Long lists are cut into blocks, and each pair of blocks is one unit of work, so
-a group of any size spreads over many tasks; a unit returns how many links each
-vector has in it and a spanning forest of the links, never the pairs.
+``shared`` pivots, so that a list holds just the vectors that share those.
+Candidates are verified, which gives the connected groups; within a group every
+pair is verified once more to count its links, so a pair that the index missed
+is counted too if its ends are connected otherwise.
+
+Long lists and groups are cut into blocks, and each pair of blocks is one unit
+of work, so a group of any size spreads over many tasks; a unit returns a
+spanning forest of its links, or how many each vector has, never the pairs.
 """
 
 from __future__ import annotations
@@ -27,47 +29,29 @@ from veilspark.llm.components import components
 from veilspark.session import store
 
 COSINE = 0.98
-PIVOTS, NEAREST, SHARED = 128, 6, 3
+PIVOTS, NEAREST, SHARED = 192, 7, 4
 BLOCK = 512
 
 
 def _describe(pivots: np.ndarray, nearest: int, shared: int):
-    """For each vector its nearest pivots as two 64-bit sets, and the lists it stands in."""
-    picks = np.array(list(combinations(range(min(nearest, len(pivots))), min(shared, len(pivots)))), dtype=np.int64)
+    """For each vector the lists it stands in: numbers made of ``shared`` of its nearest pivots."""
+    picks = np.array(list(combinations(range(min(nearest, len(pivots))), shared)), dtype=np.int64)
 
-    def run(vectors: pd.Series) -> pd.DataFrame:
-        x = np.array(vectors.tolist(), dtype=np.float64).reshape(len(vectors), -1)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    def run(vectors: pd.Series) -> pd.Series:
+        x = _unit_length(vectors)
         close = np.sort(np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :nearest], axis=1)
         keys = np.zeros((len(x), len(picks)), dtype=np.int64)
-        for column in range(picks.shape[1]):
+        for column in range(shared):
             keys = keys * 256 + close[:, picks[:, column]] + 1
-        sets = np.zeros((len(x), 4), dtype=np.uint64)
-        for column in range(close.shape[1]):
-            p = close[:, column]
-            sets[np.arange(len(x)), p // 64] |= np.uint64(1) << (p % 64).astype(np.uint64)
-        return pd.DataFrame({"lists": list(keys), "sets": list(sets.view(np.int64))})
-
-    run.__annotations__ = {"vectors": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(run, "lists array<bigint>, sets array<bigint>")
-
+        return pd.Series(list(keys))
 
-def _unpack(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    x = np.array(frame["vector"].tolist(), dtype=np.float64).reshape(len(frame), -1)
-    return (frame["id"].to_numpy(), frame["copies"].to_numpy(), x / np.linalg.norm(x, axis=1, keepdims=True),
-            np.array(frame["sets"].tolist(), dtype=np.int64).view(np.uint64).reshape(len(frame), -1))
+    run.__annotations__ = {"vectors": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "array<bigint>")
 
 
-def _first_list(a: np.ndarray, b: np.ndarray, key: int, shared: int) -> np.ndarray:
-    """Which pairs of a and b have the list's pivots as their first shared ones."""
-    last = key % 256 - 1
-    total = np.zeros((len(a), len(b)), dtype=np.uint8)
-    for word in range(last // 64 + 1):
-        both = a[:, word, None] & b[None, :, word]
-        if word == last // 64:
-            both &= np.uint64(2 ** 64 - 1) >> np.uint64(63 - last % 64)
-        total += np.bitwise_count(both)
-    return total == shared
+def _unit_length(vectors: pd.Series) -> np.ndarray:
+    x = np.array(vectors.tolist(), dtype=np.float64).reshape(len(vectors), -1)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,23 +70,38 @@ def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np
         a, b = new_a, new_b
 
 
-def _unit(threshold: float, shared: int):
+def _unit(threshold: float, count: bool):
+    """Links between two blocks: how many each vector has (u = v), or a spanning forest."""
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        _, code, first, second = key
-        own, other = frame[frame["block"] == first], frame[frame["block"] == second]
-        ids, copies, x, sets = _unpack(own)
-        ids2, copies2, x2, sets2 = (ids, copies, x, sets) if first == second else _unpack(other)
-        mine = _first_list(sets, sets2, code, shared)
+        first, second = key[-2:]
+        own = frame[frame["block"] == first]
+        other = own if first == second else frame[frame["block"] == second]
+        linked = _unit_length(own["vector"]) @ _unit_length(other["vector"]).T >= threshold
         if first == second:
-            np.fill_diagonal(mine, False)
-        linked = mine & (x @ x2.T >= threshold) if mine.any() else mine
-        out = [(ids, linked @ copies2)] + ([] if first == second else [(ids2, linked.T @ copies)])
-        u, v = _forest(linked, ids, ids2)
-        parts = [pd.DataFrame({"u": i, "v": i, "links": n})[n > 0] for i, n in out] + [pd.DataFrame({"u": u, "v": v, "links": 0})[u != v]]
-        return pd.concat(parts).astype({"u": "int64", "v": "int64", "links": "int64"})
+            np.fill_diagonal(linked, False)
+        ids, ids2 = own["id"].to_numpy(), other["id"].to_numpy()
+        if not count:
+            u, v = _forest(linked, ids, ids2)
+            return pd.DataFrame({"u": u, "v": v, "links": 0})[u != v]
+        parts = [(ids, linked @ other["copies"].to_numpy())]
+        if first != second:
+            parts.append((ids2, linked.T @ own["copies"].to_numpy()))
+        found = pd.concat([pd.DataFrame({"u": i, "v": i, "links": n}) for i, n in parts])
+        return found[found["links"] > 0].astype("int64")
     return run
 
 
+def _by_block(entries: DataFrame, key: list[str], vectors: DataFrame, threshold: float, count: bool) -> DataFrame:
+    """Every pair of entries (key…, id) of one key, as units of two blocks; keys of one entry are left out."""
+    sizes = entries.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+    sizes = store(sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n"), "sizes")
+    placed = entries.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    units = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = units.select(*key, "id", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
+    return (units.join(vectors.select("id", "copies", "vector"), "id")
+            .groupBy(*key, "first", "second").applyInPandas(_unit(threshold, count), "u long, v long, links long"))
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
                  threshold: float = COSINE, pivots: int = PIVOTS, nearest: int = NEAREST, shared: int = SHARED) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
@@ -124,13 +123,14 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                  .withColumn("label", F.concat_ws("/", "label", F.size("vector"))), "vectors")
     # Equal vectors are one entry with their number.
     classes = store(good.groupBy("label", "vector").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "vector-classes")
-    links = _class_links(classes, threshold, pivots, nearest, shared)
-    degree = links.groupBy("u").agg(F.sum("links").alias("n"))
+    forest = _forests(classes, threshold, pivots, nearest, shared)
+    joined = components(forest).withColumnRenamed("component", "label")
+    degree = _by_block(joined, ["label"], classes, threshold, True).groupBy("u").agg(F.sum("links").alias("n"))
     members = good.join(classes.select("label", "vector", F.col("id").alias("first"), "copies"), ["label", "vector"]).select("id", "first", "copies")
     members = store(members.join(degree, F.col("first") == F.col("u"), "left")
                     .groupBy("id").agg(F.sum(F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.min("first").alias("first")), "members")
-    joined = links.where("u != v").select("u", "v").union(members.where("id != first").select(F.col("id").alias("u"), F.col("first").alias("v")))
-    groups = components(joined).select(F.col("id").alias("member"), "component")
+    links = forest.union(members.where("id != first").select(F.col("id").alias("u"), F.col("first").alias("v")))
+    groups = components(links).select(F.col("id").alias("member"), "component")
     component = F.coalesce("component", F.col("row_id"))
     return (rows.select(F.col("id").alias("row_id")).join(members.select("id", "n"), F.col("row_id") == F.col("id"), "left")
             .join(groups, F.col("row_id") == F.col("member"), "left")
@@ -138,27 +138,16 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                     F.coalesce(component == F.col("row_id"), F.lit(True)).alias("kept")))
 
 
-def _class_links(classes: DataFrame, threshold: float, pivots: int, nearest: int, shared: int) -> DataFrame:
-    """(u, v, links): rows with u = v count links of u, the others connect what is linked."""
-    out = "u long, v long, links long"
+def _forests(classes: DataFrame, threshold: float, pivots: int, nearest: int, shared: int) -> DataFrame:
+    """Links (u, v) that connect the vectors whose cosine reaches the threshold, as far as the index finds them."""
     sizes = [r["n"] for r in classes.select(F.size("vector").alias("n")).distinct().collect()]     # dimensions in use, one as a rule
-    found = classes.sparkSession.createDataFrame([], out)
+    found = None
     for n in sizes:
         some = classes.where(F.size("vector") == n)
         sample = some.orderBy(F.xxhash64("id"), "id").limit(pivots).select("vector").collect()
-        points = np.array([r["vector"] for r in sample], dtype=np.float64)
-        points /= np.linalg.norm(points, axis=1, keepdims=True)
-        use = min(shared, len(points))
-        described = some.withColumn("d", _describe(points, nearest, use)(F.col("vector"))).select("label", "id", "copies", "vector", "d.*")
-        entries = described.select("label", "id", "copies", "vector", "sets", F.explode("lists").alias("list"))
-        counts = described.select("label", F.explode("lists").alias("list")).groupBy("label", "list").agg(F.count("*").alias("n")).where("n > 1")
-        counts = store(counts.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).select("label", "list", "blocks"), "pivot-lists")
-        placed = (entries.join(counts, ["label", "list"])
-                  .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
-        # A vector goes to every pair of blocks with its own: (own, other) and (other, own), each pair once.
-        units = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        units = units.withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other"))
-        made = units.select("label", "list", "first", "second", "block", "id", "copies", "vector", "sets").groupBy(
-            "label", "list", "first", "second").applyInPandas(_unit(threshold, use), out)
-        found = found.union(made)
-    return store(found.groupBy("u", "v").agg(F.sum("links").alias("links")), "vector-links")
+        points = _unit_length(pd.Series([r["vector"] for r in sample]))
+        lists = F.explode(_describe(points, nearest, min(shared, len(points)))(F.col("vector"))).alias("list")
+        entries = store(some.select("label", "id", lists), "pivot-lists")
+        links = _by_block(entries, ["label", "list"], some, threshold, False).select("u", "v")
+        found = links if found is None else found.union(links)
+    return store(found.distinct() if found is not None else classes.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0), "forest")
