@@ -101,8 +101,7 @@ FINDING_TYPES = [
     ("ip", "low", 25), ("iban", "high", 10), ("credit_card", "critical", 5), ("ssn", "critical", 3),
     ("password", "critical", 4), ("health", "critical", 8), ("biometric", "critical", 2),
     ("emotion_workplace", "critical", 1)]
-_USERS = ["alice@example.fr", "bob@example.fr", "carole.dupont@example.fr", "david@example.fr",
-          "marketing-1@example.fr", "legal-1@example.fr"]
+_DEVICES = 6
 
 
 def _weighted(draw, values, weights):
@@ -130,7 +129,7 @@ def generate_events(spark: SparkSession, n: int, seed: int = 42, now="2024-01-31
     severity_of = F.create_map(*[F.lit(x) for t, s in zip(types, severities) for x in (t, s)])
     base = spark.range(n).select(
         "id", _weighted(draw("llm"), *zip(*[(x[0], x[1]) for x in _LLMS])).alias("llm"),
-        _weighted(draw("action"), *zip(*_ACTIONS)).alias("action"), F.floor(draw("device") * 6).cast("int").alias("d"),
+        _weighted(draw("action"), *zip(*_ACTIONS)).alias("action"), F.floor(draw("device") * _DEVICES).cast("int").alias("d"),
         F.floor(draw("picks") * 3).cast("int").alias("more"))
     picks = F.array(*[F.struct(_weighted(draw(f"type{i}"), types, weights).alias("type"),
                                (F.floor(draw(f"count{i}") * 3) + 1).cast("int").alias("count")) for i in range(3)])
@@ -146,15 +145,14 @@ def generate_events(spark: SparkSession, n: int, seed: int = 42, now="2024-01-31
     return rows.select(
         _uuid_from(F.lit(str(seed)), F.lit("event"), "id").alias("eventId"),
         _uuid_from(F.lit(str(seed)), F.lit("device"), "d").alias("deviceId"), F.lit(org).alias("orgId"),
-        F.get(F.array(*map(F.lit, _USERS)), F.col("d")).alias("userHint"),
+        F.format_string("user-%d@example.org", F.col("d")).alias("userHint"),
         (F.lit(now).cast("timestamp") - F.make_dt_interval(secs=seconds)).alias("timestamp"),
         host[F.col("llm")].alias("hostname"), "llm", "action",
         F.concat(F.lit("/backend-api/conversation/"), _uuid_from(F.lit(str(seed)), F.lit("path"), "id")).alias("endpoint"),
         F.when(F.col("action") == "BLOCKED", "block").otherwise("anonymize").alias("mode"),
         (F.floor(draw("length") * 1800) + 80).cast("int").alias("promptLength"),
         F.aggregate("findings", F.lit(0), lambda acc, f: acc + f["count"]).alias("mappingsCount"),
-        F.when(clean, "Bonjour, peux-tu m'aider à rédiger…").otherwise(
-            "Bonjour [NAME_1], voici le récapitulatif pour [EMAIL_1]…").alias("anonymizedPreview"),
+        F.when(clean, "no finding").otherwise(F.concat(F.lit("found: "), F.array_join("findings.type", ", "))).alias("anonymizedPreview"),
         "findings", F.lit(None).cast(schema.ATTACHMENT).alias("attachment"),
         F.lit(version).alias("extensionVersion"), F.lit(1).alias("schemaVersion"))
 
