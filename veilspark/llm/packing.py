@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from contextlib import suppress
 from functools import lru_cache
 
 import numpy as np
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veilspark.llm import text as T
 from veilspark.session import store
 
 LENGTH = 2048
@@ -53,32 +55,43 @@ class Encoder:
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
-        self.tokenizer, self.cached, self.known = _tokenizer(path), cached, {}
-
-    def _learn(self, new: list[str]) -> None:
+        self.tokenizer, self.cached = _tokenizer(path), cached
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}      # the table that was full last; words still in use move on from it
+
+    def _learn(self, words: set[str]) -> None:
+        known, before = self.known, self.before
+        new = []
+        for word in words:
+            ids = before.get(word)
+            if ids is None:
+                new.append(word)
+            else:
+                known[word] = ids
         for at in range(0, len(new), 512):
             part = new[at:at + 512]
             starts = np.concatenate([[0], np.cumsum([len(w) + 1 for w in part])])
             encoded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(encoded.ids, dtype="<u4")
-            offsets = np.fromiter((a for a, _ in encoded.offsets), dtype=np.int64, count=len(ids))
-            cuts = np.searchsorted(offsets, starts)
-            for word, a, b in zip(part, cuts[:-1], cuts[1:], strict=True):
-                self.known[word] = ids[a:b].tobytes()
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+            ids = np.array(encoded.ids, dtype="<u4").tobytes()
+            offsets = np.fromiter((a for a, _ in encoded.offsets), dtype=np.int64, count=len(ids) // 4)
+            cuts = (4 * np.searchsorted(offsets, starts)).tolist()
+            known.update(zip(part, map(ids.__getitem__, map(slice, cuts[:-1], cuts[1:])), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of some texts; hand over a few at a time."""
+        split = []
         for text in texts:
+            with suppress(UnicodeEncodeError):
+                text.encode("latin-1")          # where lower-casing is beyond doubt, do it first: fewer words to know
+                text = text.lower()
             # Only these four are white space to every part of the tokenizer; anything else stays in a word.
-            parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            try:
-                yield b"".join(map(self.known.__getitem__, parts))
-            except KeyError:
-                new = list(dict.fromkeys(p for p in parts if p not in self.known))
-                if len(self.known) + len(new) > self.cached:
-                    self.known.clear()
-                    new = list(dict.fromkeys(parts))
-                self._learn(new)
-                yield b"".join(map(self.known.__getitem__, parts))
+            split.append(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+        if len(self.known) > self.cached:
+            self.known, self.before = {}, self.known
+        missing = set().union(*split).difference(self.known)
+        if missing:
+            self._learn(missing)
+        return [b"".join(map(self.known.__getitem__, parts)) for parts in split]
 
 
 def _pieces(path: str, end_id: int, size: int):
@@ -86,12 +99,14 @@ def _pieces(path: str, end_id: int, size: int):
         encoder = Encoder(path)
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
-            rows = []
-            for i, row, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                ids = next(encoder.encode([text or ""])) + end
-                for piece, at in enumerate(range(0, len(ids), 4 * size)):
-                    part = ids[at:at + 4 * size]
-                    rows.append((i, row, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+            rows, keys, rank = [], batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for first, last, _, _ in T.chunks(batch.column(2), 1 << 18):
+                texts = [text or "" for text in batch.column(2).slice(first, last - first).to_pylist()]
+                for k, ids in enumerate(encoder.encode(texts), first):
+                    ids += end
+                    for piece, at in enumerate(range(0, len(ids), 4 * size)):
+                        part = ids[at:at + 4 * size]
+                        rows.append((keys[k], rank[k], piece, at // 4, len(part) // 4, zlib.crc32(part)))
             columns = zip(*rows, strict=True) if rows else [[]] * len(_SCHEMA)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
     return run
