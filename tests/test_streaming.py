@@ -93,7 +93,7 @@ def test_breach_and_counters(spark):
                         ("2024-01-30 10:00:00", "p", [("health", "critical", 19)]), ("2024-01-30 09:00:00", "o", [("email", "low", 50)])], shape)
     stream = spark.readStream.schema(shape).parquet(source).withColumn("timestamp", F.col("t").cast("timestamp"))
     jobs.breach_stream(stream, f"{root}/out", f"{root}/cp").awaitTermination()
-    clocks = {r.org_id: r for r in jobs.breach_clocks(jobs.latest_rows(spark, f"{root}/out", "hour", "org_id"), "2024-01-31 00:00:00").collect()}
+    clocks = {r.org_id: r for r in jobs.breach_clocks(jobs.latest_rows(spark, f"{root}/out", "second", "org_id"), "2024-01-31 00:00:00").collect()}
     assert clocks["o"].active and clocks["o"].critical == 20 and str(clocks["o"].triggered_at) == "2024-01-30 10:00:00"
     assert not clocks["p"].active
 

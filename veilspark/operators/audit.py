@@ -10,4 +10,4 @@ def audit_rollup(audit: DataFrame, *by: str) -> DataFrame:
     return audit.groupBy(*by).agg(
         F.count("*").alias("requests"), F.count_if(F.col("status") >= 400).alias("errors"),
         F.sum("latency_ms").alias("total_latency_ms"), F.max("latency_ms").alias("max_latency_ms"),
-        F.percentile_approx("latency_ms", 0.95, 10000).alias("p95_latency_ms"))
+        F.percentile("latency_ms", 0.95).alias("p95_latency_ms"))

@@ -30,6 +30,20 @@ TIER_REASONS = {
 }
 ROPA_COLUMNS = ["Responsable", "Finalité", "Catégorie de données", "Destinataire", "Transfert hors UE",
                 "Base légale", "Durée de conservation", "Mesures de sécurité", "Articles"]
+SCORE_PARTS = {
+    "coverage": ("Couverture anonymisation / blocage", " anonymisés, ", " bloqués"),
+    "critical": ("Exposition de données critiques", " détections santé/biométrie/SSN/CB/mdp"),
+    "transfer": ("Risque de transfert hors UE", " du trafic vers juridictions non-adéquates"),
+    "hygiene": ("Hygiène globale", "% de prompts propres"),
+}
+BREACH_REASON = " détections de catégories particulières (Art. 9 RGPD) dépassant le seuil de "
+ROPA_PURPOSE, ROPA_PREVIEW_PURPOSE = "Assistance IA (%s)", "Assistance IA via %s"
+ROPA_CATEGORY, ROPA_VOLUME = "%s (%s occurrences)", "Volume : %s"
+ROPA_UNKNOWN, ROPA_NO_TRANSFER = "inconnu", "Non"
+ROPA_BASIS = ("Intérêt légitime", "Intérêt légitime (Art. 6(1)(f))")
+ROPA_RETENTION = ("30 jours", "30 jours (télémétrie)")
+ROPA_MEASURES = "Anonymisation "
+TRANSFER_LABELS = {"inside": "Intra-UE", "no_adequate": "Hors UE — non adéquat", "dpf": "Hors UE — DPF", "other": "Hors UE — SCC"}
 RESIDUAL_RISK = {"A": "acceptable", "B": "acceptable", "C": "modéré — plan d'action recommandé"}
 RESIDUAL_RISK_OTHER = "élevé — mesures correctives requises"
 
@@ -128,14 +142,14 @@ def score_details(stats: DataFrame, jurisdictions: DataFrame) -> DataFrame:
         return F.concat(half_up(F.col(name) * 100).cast("string"), F.lit("%"))
 
     rows = [
-        ("Couverture anonymisation / blocage", "coverage_points", WEIGHTS["coverage"],
-         F.concat(pct("anonymization_rate"), F.lit(" anonymisés, "), pct("block_rate"), F.lit(" bloqués"))),
-        ("Exposition de données critiques", "critical_points", WEIGHTS["critical"],
-         F.concat(F.col("critical").cast("string"), F.lit(" détections santé/biométrie/SSN/CB/mdp"))),
-        ("Risque de transfert hors UE", "transfer_points", WEIGHTS["transfer"],
-         F.concat(pct("transfer_risk"), F.lit(" du trafic vers juridictions non-adéquates"))),
-        ("Hygiène globale", "hygiene_points", WEIGHTS["hygiene"],
-         F.concat(F.col("clean_pct").cast("string"), F.lit("% de prompts propres"))),
+        (SCORE_PARTS["coverage"][0], "coverage_points", WEIGHTS["coverage"],
+         F.concat(pct("anonymization_rate"), F.lit(SCORE_PARTS["coverage"][1]), pct("block_rate"), F.lit(SCORE_PARTS["coverage"][2]))),
+        (SCORE_PARTS["critical"][0], "critical_points", WEIGHTS["critical"],
+         F.concat(F.col("critical").cast("string"), F.lit(SCORE_PARTS["critical"][1]))),
+        (SCORE_PARTS["transfer"][0], "transfer_points", WEIGHTS["transfer"],
+         F.concat(pct("transfer_risk"), F.lit(SCORE_PARTS["transfer"][1]))),
+        (SCORE_PARTS["hygiene"][0], "hygiene_points", WEIGHTS["hygiene"],
+         F.concat(F.col("clean_pct").cast("string"), F.lit(SCORE_PARTS["hygiene"][1]))),
     ]
     parts = F.array(*[F.struct(F.lit(label).alias("label"), F.col(points).alias("points"),
                                F.lit(weight).alias("weight"), note.alias("note"))
@@ -172,7 +186,7 @@ def breach_status(stats: DataFrame, first: DataFrame, now, threshold: int = BREA
     left = F.coalesce(F.greatest(F.lit(0), F.unix_millis("deadline") - F.unix_millis(F.lit(now).cast("timestamp"))),
                       F.lit(0))
     reason = F.concat(F.col("critical").cast("string"),
-                      F.lit(f" détections de catégories particulières (Art. 9 RGPD) dépassant le seuil de {threshold}"))
+                      F.lit(f"{BREACH_REASON}{threshold}"))
 
     def two(x: Column) -> Column:
         return F.lpad(x.cast("string"), 2, "0")
@@ -277,17 +291,17 @@ def ropa(stats: DataFrame, jurisdictions: DataFrame, type_dim: DataFrame, articl
     named = with_article_numbers(pairs, type_dim, article_dim).join(
         F.broadcast(jurisdictions.select("llm", "company", "country", "region", "basis")), "llm", "left")
     has_type = F.col("type").isNotNull()
-    transfer = F.when(F.col("region") != "EU", F.concat_ws(" — ", "country", "basis")).otherwise("Non")
+    transfer = F.when(F.col("region") != "EU", F.concat_ws(" — ", "country", "basis")).otherwise(ROPA_NO_TRANSFER)
     cells = [
         F.lit(org),
-        F.format_string("Assistance IA (%s)", "llm"),
-        F.when(has_type, F.format_string("%s (%s occurrences)", "type", "type_count"))
-        .otherwise(F.format_string("Volume : %s", "llm_count")),
-        F.when(has_type, F.concat_ws(" — ", "llm", F.coalesce("company", F.lit("inconnu")))).otherwise(F.col("llm")),
+        F.format_string(ROPA_PURPOSE, "llm"),
+        F.when(has_type, F.format_string(ROPA_CATEGORY, "type", "type_count"))
+        .otherwise(F.format_string(ROPA_VOLUME, "llm_count")),
+        F.when(has_type, F.concat_ws(" — ", "llm", F.coalesce("company", F.lit(ROPA_UNKNOWN)))).otherwise(F.col("llm")),
         transfer,
-        F.when(has_type, "Intérêt légitime (Art. 6(1)(f))").otherwise("Intérêt légitime"),
-        F.when(has_type, "30 jours (télémétrie)").otherwise("30 jours"),
-        F.lit(f"Anonymisation {product}"),
+        F.when(has_type, ROPA_BASIS[1]).otherwise(ROPA_BASIS[0]),
+        F.when(has_type, ROPA_RETENTION[1]).otherwise(ROPA_RETENTION[0]),
+        F.lit(f"{ROPA_MEASURES}{product}"),
         F.when(has_type, F.concat_ws("; ", "numbers")).otherwise(""),
     ]
     return named.orderBy("llm", "type").select(*[c.alias(n) for n, c in zip(ROPA_COLUMNS, cells)])
@@ -302,10 +316,10 @@ def ropa_preview(stats: DataFrame, jurisdictions: DataFrame, type_dim: DataFrame
     named = with_article_numbers(pairs, type_dim, article_dim).join(F.broadcast(
         with_jurisdiction(llms.select("llm"), jurisdictions)), "llm")
     outside = F.col("region") != "EU"
-    label = (F.when(~outside, "Intra-UE").when(F.col("adequacy") == "no_adequate", "Hors UE — non adéquat")
-             .when(F.col("adequacy") == "dpf", "Hors UE — DPF").otherwise("Hors UE — SCC"))
+    label = (F.when(~outside, TRANSFER_LABELS["inside"]).when(F.col("adequacy") == "no_adequate", TRANSFER_LABELS["no_adequate"])
+             .when(F.col("adequacy") == "dpf", TRANSFER_LABELS["dpf"]).otherwise(TRANSFER_LABELS["other"]))
     return named.select(
-        F.format_string("Assistance IA via %s", "llm").alias("purpose"),
+        F.format_string(ROPA_PREVIEW_PURPOSE, "llm").alias("purpose"),
         F.format_string("%s (%s)", "type", "type_count").alias("category"),
         F.concat_ws(" — ", "company", "country").alias("recipient"), label.alias("transfer"),
         outside.alias("is_transfer"), F.concat_ws(", ", "numbers").alias("articles"),

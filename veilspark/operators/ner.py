@@ -80,20 +80,26 @@ def normalize_entities(chunks: Column, raw: Column) -> Column:
 
 
 def detect_entities(df: DataFrame, text_col: str, model_factory: Callable[[], Callable[[str], list[dict]]],
-                    min_chars: int = MIN_CHARS, into: str = "entities") -> DataFrame:
-    """Add model entities.  The model is built once per Python worker and called
-    per chunk; a failing call yields no entities.  Texts stay where they are."""
+                    min_chars: int = MIN_CHARS, into: str = "entities", fail: bool = False) -> DataFrame:
+    """Add model entities, and ``<into>_failed``: how many calls of the model failed.
+
+    The model is built once per Python worker and called per chunk.  A failed
+    call yields no entities, so a text with failed calls is incomplete; with
+    ``fail`` the first one ends the job.  Texts stay where they are.
+    """
 
     @F.pandas_udf(f"array<{RAW_TYPE}>")
     def tag(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = model_factory()
 
-        def safe(chunk: str) -> list[dict]:
+        def safe(chunk: str) -> list[dict] | None:
             try:
                 return [{"group": e.get("entity_group") or e.get("entity"), "word": e.get("word"),
                          "start": e.get("start"), "end": e.get("end"), "score": e.get("score")} for e in model(chunk)]
             except Exception:
-                return []
+                if fail:
+                    raise
+                return None
 
         for batch in batches:
             yield batch.map(lambda chunks: [safe(c) for c in chunks])
@@ -103,7 +109,8 @@ def detect_entities(df: DataFrame, text_col: str, model_factory: Callable[[], Ca
     chunks = F.when(eligible, chunk_text(text)).otherwise(
         F.array().cast("array<struct<offset:int,text:string>>"))
     tagged = df.withColumn("__chunks", chunks).withColumn("__raw", tag.asNondeterministic()(F.col("__chunks")["text"]))
-    return tagged.withColumn(into, normalize_entities(F.col("__chunks"), F.col("__raw"))).drop("__chunks", "__raw")
+    failed = F.size(F.filter("__raw", lambda entities: entities.isNull()))
+    return tagged.withColumns({into: normalize_entities(F.col("__chunks"), F.col("__raw")), f"{into}_failed": failed}).drop("__chunks", "__raw")
 
 
 def merge_ner(df: DataFrame, text_col: str = "text", entities_col: str = "entities", policy: dict | None = None,

@@ -235,8 +235,9 @@ def with_findings(df: DataFrame, text_col: str, rules: RuleSet, max_chars: int |
     gate = f"{text} != ''"
     if max_chars is not None:
         gate += f" AND length({text}) <= {int(max_chars)} AND {text} RLIKE {_quote(f'[^{JS_SPACE}]')}"
-    # The expression is built once per session: it costs more to write than to plan.
-    built = _EXPRESSIONS.setdefault(df.sparkSession, {})
+    # The expression is built once per application: it costs more to write than to plan,
+    # and streams hand over a new session object with every batch.
+    built = _EXPRESSIONS.setdefault(df.sparkSession.sparkContext, {})
     if (text_col, rules, gate) not in built:
         pieces = _all_pieces(text, [_pieces(u.pattern, _guard(u)) for u in units], _wanted_tokens(units), gate)
         hits = let(pieces, lambda p: F.when(p.isNotNull(), _validated(_located(p), units)))
@@ -256,9 +257,13 @@ def evaluate(df: DataFrame, text_col: str, rules: RuleSet, max_chars: int | None
     """Add ``findings``, ``decision`` and ``max_severity``.
 
     ``max_chars`` switches on the interactive gates: blank texts and texts
-    longer than the limit are left unscanned (no findings).
+    longer than the limit are left unscanned (no findings), and ``scanned`` says so.
     """
-    return decide(with_findings(df, text_col, rules, max_chars))
+    found = decide(with_findings(df, text_col, rules, max_chars))
+    if max_chars is None:
+        return found
+    gated = (F.length(text_col) <= max_chars) & F.col(text_col).rlike(f"[^{JS_SPACE}]")
+    return found.withColumn("scanned", F.coalesce(gated, F.lit(False)))
 
 
 def explode_findings(df: DataFrame, *keep: str, findings_col: str = "findings") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from veilspark.operators.events import for_org, since
 
@@ -26,11 +26,11 @@ def count_by_device(ev, org=None, time_range=None, now=None) -> DataFrame:
     return _scope(ev, org, time_range, now).groupBy("device_id").agg(F.count("*").alias("count"))
 
 
-def count_by_finding_type(ev, org=None, time_range=None, now=None, limit: int = TOP_TYPES) -> DataFrame:
-    """Occurrences per finding type, most frequent first."""
+def count_by_finding_type(ev, org=None, time_range=None, now=None, limit: int | None = TOP_TYPES) -> DataFrame:
+    """Occurrences per finding type, most frequent first; ``limit`` None lists every type."""
     rows = _scope(ev, org, time_range, now).select(F.explode("findings").alias("f"))
     totals = rows.groupBy(F.col("f.type").alias("type")).agg(F.sum("f.count").alias("count"))
-    return totals.orderBy(F.desc("count"), "type").limit(limit)
+    return totals if limit is None else totals.orderBy(F.desc("count"), "type").limit(limit)
 
 
 def daily_rollup(ev: DataFrame) -> DataFrame:
@@ -41,7 +41,8 @@ def daily_rollup(ev: DataFrame) -> DataFrame:
 def stats(ev, org=None, time_range=None, now=None) -> DataFrame:
     """One row: totals, four action buckets, ``by_llm`` and ``by_type`` maps.
 
-    ``total`` covers every action, also those without a bucket.  Two scans that
+    ``total`` covers every action, also those without a bucket, and ``by_type``
+    every finding type: scores and reports are computed from it.  Two scans that
     read disjoint columns (action and service; findings), each aggregated to a
     handful of rows before anything is put side by side.
     """
@@ -54,7 +55,7 @@ def stats(ev, org=None, time_range=None, now=None) -> DataFrame:
     by_llm = cells.groupBy("llm").agg(
         F.sum("n").alias("n"), *[bucket(a).alias(b) for a, b in (
             ("CLEAN", "clean"), ("PII_DETECTED", "flagged"), ("BLOCKED", "blocked"), ("ANONYMIZED", "anonymized"))])
-    by_type = count_by_finding_type(ev, org, time_range, now).agg(F.map_from_entries(
+    by_type = count_by_finding_type(ev, org, time_range, now, None).agg(F.map_from_entries(
         F.collect_list(F.struct("type", "count"))).alias("by_type"))
     whole = [F.coalesce(F.sum(name), F.lit(0).cast("bigint")).alias(alias) for name, alias in (
         ("n", "total"), ("clean", "clean"), ("flagged", "flagged"), ("blocked", "blocked"),
@@ -77,17 +78,16 @@ def percent_1dp(part, whole):
 
 
 def llm_shares(by_llm: DataFrame) -> DataFrame:
-    """Share per service; the input has one row per service, so the total over
-    all rows is a window over a handful."""
-    total = F.sum("count").over(W.partitionBy())
+    """Share per service."""
+    total = by_llm.agg(F.sum("count")).scalar()
     return by_llm.withColumn("total", total).where(F.col("total") > 0).select(
         "llm", "count", percent_1dp(F.col("count"), F.col("total")).alias("pct")
     ).orderBy(F.desc("count"), "llm")
 
 
 def scale_to_max(df: DataFrame, column: str, into: str = "pct") -> DataFrame:
-    """Bar lengths: percent of the largest value (of an aggregate's few rows)."""
-    largest = F.greatest(F.max(column).over(W.partitionBy()), F.lit(1))
+    """Bar lengths: percent of the largest value."""
+    largest = F.greatest(df.agg(F.max(column)).scalar(), F.lit(1))
     return df.withColumn(into, F.col(column) / largest * 100)
 
 

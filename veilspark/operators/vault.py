@@ -31,9 +31,10 @@ def anonymize_spans(findings: Column) -> Column:
     return F.filter(findings, lambda f: f["action"] == "anonymize")
 
 
-def outcome(decision: Column, findings: Column) -> Column:
-    """clean / blocked / warned / pseudonymised."""
-    return (F.when(decision.isNull() | (F.size(findings) == 0), "clean").when(decision == "block", "blocked")
+def outcome(decision: Column, findings: Column, scanned: Column | None = None) -> Column:
+    """clean / blocked / warned / pseudonymised; unscanned where ``scanned`` is false."""
+    start = F.when(F.lit(False) if scanned is None else ~scanned, "unscanned")
+    return (start.when(decision.isNull() | (F.size(findings) == 0), "clean").when(decision == "block", "blocked")
             .when(F.size(anonymize_spans(findings)) == 0, "warned").otherwise("pseudonymised"))
 
 
@@ -229,8 +230,8 @@ def reveal_counts(docs: DataFrame, vault: DataFrame, id_col: str = "doc_id", tex
 # ------------------------------------------------------------------ reports
 
 def plan(docs: DataFrame, text_col: str = "text", anonymized_col: str = "anonymized") -> DataFrame:
-    """Add ``outcome`` and ``result`` (empty when blocked, rewritten when pseudonymised)."""
-    what = outcome(F.col("decision"), F.col("findings"))
+    """Add ``outcome`` and ``result`` (empty when blocked, rewritten when pseudonymised, as it came when unscanned)."""
+    what = outcome(F.col("decision"), F.col("findings"), F.col("scanned") if "scanned" in docs.columns else None)
     return docs.withColumn("outcome", what).withColumn("result", F.when(F.col("outcome") == "blocked", "").when(
         F.col("outcome") == "pseudonymised", F.col(anonymized_col)).otherwise(F.col(text_col)))
 

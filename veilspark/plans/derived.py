@@ -19,15 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A text table spread for CPU-heavy work.
-
-    Text scans are bound by CPU, so a table stored in fewer splits than there
-    are cores is spread over them; a large table already has more and is read
-    in place, without a shuffle.
-    """
-    rows = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(4 * cores, key) if rows.rdd.getNumPartitions() < cores else rows
+    """A text table spread over the cluster: its CPU-heavy scans would otherwise
+    run in as many tasks as the table happens to have splits.  Rows are dealt
+    by their key, so a retried task gets the same rows."""
+    return table(spark, sf_dir, name).repartition(F.col(key))
 
 
 def _pick(values: list[str], index: Column) -> Column:
@@ -80,15 +75,18 @@ def wire_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("/conversation").alias("endpoint"), "mode",
         F.when(broken(59), F.lit(-5)).otherwise(F.col("prompt_length").cast("int")).alias("promptLength"),
         F.col("mappings_count").alias("mappingsCount"), F.lit(None).cast("string").alias("anonymizedPreview"),
-        "findings", F.lit(None).cast(schema.ATTACHMENT).alias("attachment"),
+        F.when(broken(79), F.array(F.struct(F.lit("email").alias("type"), F.lit("fatal").alias("severity"), F.lit(1).alias("count"))))
+        .otherwise(F.col("findings")).cast(f"array<{schema.FINDING}>").alias("findings"),
+        F.when(broken(83), F.from_json(F.lit('{"sha256":"XYZ"}'), schema.ATTACHMENT)).alias("attachment"),
         F.when(broken(61), "2.0").otherwise(F.col("extension_version")).alias("extensionVersion"),
         F.when(broken(67), 2).otherwise(1).alias("schemaVersion"))
 
 
 def wire_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as JSON text; some records carry a field nobody declared."""
+    """The same as JSON text; some records carry a field nobody declared, some a time without an offset."""
     wire = wire_events(spark, sf_dir)
     text = F.to_json(F.struct(*[c for c in wire.columns if c != "event_id"]))
+    text = F.when(F.col("event_id") % 73 == 1, F.regexp_replace(text, r'("timestamp":"[^"]*)Z"', '$1"')).otherwise(text)
     return wire.select("event_id", F.when(
         F.col("event_id") % 71 == 1, F.concat(F.lit('{"promptPreview":"x",'), F.substring(text, 2, 1 << 30))
     ).otherwise(text).alias("value"))

@@ -166,17 +166,17 @@ def _breach(select: str) -> str:
 
 _PCT = "CAST(floor({0} * 100 + 0.5) AS BIGINT) || '%'"
 _FLAWS = [(41, "eventId: not a uuid"), (43, "orgId: malformed"), (47, "llm: not allowed"), (53, "action: not allowed"),
-          (59, "promptLength: must be at least 0"), (61, "extensionVersion: malformed"), (67, "schemaVersion: must be 1")]
+          (59, "promptLength: must be at least 0"), (79, "findings: bad element"), (83, "attachment: malformed"), (61, "extensionVersion: malformed"), (67, "schemaVersion: must be 1")]
 _ERRORS = "list_filter([" + ", ".join(
-    ["CASE WHEN event_id % 71 = 1 THEN 'unknown field' END"]
+    ["CASE WHEN event_id % 71 = 1 THEN 'unknown field' END", "CASE WHEN event_id % 73 = 1 THEN 'timestamp: no date, time and offset' END"]
     + [f"CASE WHEN event_id % {n} = 1 THEN '{e}' END" for n, e in _FLAWS]) + "], lambda e: e IS NOT NULL)"
-_VALID = " AND ".join(f"event_id % {n} <> 1" for n, _ in [*_FLAWS, (71, "")])
+_VALID = " AND ".join(f"event_id % {n} <> 1" for n, _ in [*_FLAWS, (71, ""), (73, "")])
 _HALVES = f"""{DET}, halves AS (
   SELECT *, CASE WHEN device_id % 4 = 0 THEN 'user' || event_id END AS user_hint FROM det),
 early AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY "timestamp" DESC, event_id) AS rn
-  FROM halves WHERE "timestamp" < TIMESTAMP '2024-01-15' AND device_id % 6 <> 0) WHERE rn = 1),
+  FROM halves WHERE "timestamp" < TIMESTAMP '2024-01-02') WHERE rn = 1),
 late AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY "timestamp" DESC, event_id) AS rn
-  FROM halves WHERE "timestamp" >= TIMESTAMP '2024-01-15' AND device_id % 5 <> 0) WHERE rn = 1),
+  FROM halves WHERE "timestamp" >= TIMESTAMP '2024-01-02') WHERE rn = 1),
 merged AS (
   SELECT coalesce(e.device_id, l.device_id) AS id, coalesce(e.org_id, l.org_id) AS org_id,
     coalesce(l.user_hint, e.user_hint) AS user_hint, coalesce(l.extension_version, e.extension_version) AS extension_version,
@@ -200,7 +200,7 @@ _AUDIT = """audit AS (SELECT *, (['/v1/stats','/v1/events','/v1/devices','/v1/he
   CASE WHEN event_type = 'error' THEN 429 ELSE 200 END AS status, 'jwt:user' || user_id AS principal,
   event_id % 97 AS latency FROM events WHERE event_id % 5 < 3)"""
 _AUDIT_AGG = """count(*) AS requests, count(*) FILTER (status >= 400) AS errors, CAST(sum(latency) AS BIGINT) AS total_latency_ms,
-  max(latency) AS max_latency_ms"""
+  max(latency) AS max_latency_ms, round(quantile_cont(latency, 0.95), 6) AS p95_latency_ms"""
 _ROPA_CELLS = f"""'default' AS controller, 'Assistance IA (' || llm || ')' AS purpose,
   type || ' (' || type_count || ' occurrences)' AS category, llm || ' — ' || coalesce(company, 'inconnu') AS recipient,
   CASE WHEN region <> 'EU' THEN country || ' — ' || basis ELSE 'Non' END AS transfer,
@@ -283,7 +283,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT * FROM scope WHERE llm = 'ChatGPT' ORDER BY "timestamp" DESC, event_id LIMIT 50 OFFSET 50)
             WHERE f_severity = 'critical'""",
         "events_validation_errors": "SELECT event_id, unnest(" + _ERRORS.replace(
-            "CASE WHEN event_id % 71 = 1 THEN 'unknown field' END, ", "") + ") AS error FROM events",
+            "CASE WHEN event_id % 71 = 1 THEN 'unknown field' END, CASE WHEN event_id % 73 = 1 THEN 'timestamp: no date, time and offset' END, ", "") + ") AS error FROM events",
         "events_read_closed_schema": f"""SELECT array_to_string({_ERRORS}, '; ') AS errors, count(*) AS n,
             CAST(sum(CASE WHEN event_id % 59 = 1 THEN -5 ELSE 80 + (event_id * 7919) % 1800 END) AS BIGINT) AS prompt_length
             FROM events GROUP BY 1""",
@@ -294,13 +294,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT count(*) FILTER (ts >= TIMESTAMP '2024-01-15') AS n, 'accepted' AS what FROM batch
             UNION ALL SELECT count(DISTINCT event_id) FILTER (ts < TIMESTAMP '2024-01-15'), 'duplicates' FROM batch
             UNION ALL SELECT count(DISTINCT event_id) FILTER (ts >= TIMESTAMP '2024-01-15'), 'stored' FROM batch""",
-        "events_existing_ids": "SELECT event_id FROM events WHERE event_id % 5 = 0 AND event_type = 'view'",
+        "events_existing_ids": "SELECT event_id FROM events WHERE event_type = 'view'",
         "events_table_round_trip": _with(DET) + """SELECT org_id, CAST(CAST("timestamp" AS DATE) AS VARCHAR) AS event_date,
             count(*) AS n, CAST(sum(prompt_length) AS BIGINT) AS prompt_length FROM det
             WHERE CAST("timestamp" AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-14' GROUP BY 1, 2""",
         "events_stored_range": _with(DET) + f"""SELECT f_type AS type, CAST(sum(f_count) AS BIGINT) AS "count" FROM det
             WHERE has_finding AND org_id = 'default' AND "timestamp" >= {_NOW} - INTERVAL 7 DAYS GROUP BY 1""",
-        "events_purged": "SELECT count(*) AS before, CAST(0 AS BIGINT) AS after FROM events",
+        "events_purged": "SELECT count(*) AS before, CAST(0 AS BIGINT) AS after, true AS same_columns FROM events",
         "events_newest_500": """SELECT event_id, epoch_us(ts) AS "timestamp" FROM events ORDER BY ts DESC, event_id LIMIT 500""",
         "events_recent_10": _with(DET) + """SELECT event_id, action FROM det ORDER BY "timestamp" DESC, event_id LIMIT 10""",
         "events_newest_20_per_org": _with(DET) + """SELECT org_id, event_id FROM (SELECT *, row_number() OVER (
@@ -313,8 +313,8 @@ def oracle_sql() -> dict[str, str]:
             FROM early e LEFT JOIN (SELECT device_id, count(*) AS n FROM det WHERE org_id = 'default'
               AND "timestamp" >= {_NOW} - INTERVAL 1 DAY GROUP BY 1) c USING (device_id) WHERE e.org_id = 'default'""",
         "devices_by_recency": _with(_HALVES) + "SELECT id, last_seen_at FROM merged WHERE org_id = 'default'",
-        "devices_revoked": _with(_HALVES) + """, asked AS (SELECT DISTINCT user_id AS id FROM events WHERE user_id % 7 = 0)
-            SELECT org_id, CAST(device_id % 7 = 0 AND org_id = 'default' AS VARCHAR) AS state, count(*) AS n FROM early GROUP BY 1, 2
+        "devices_revoked": _with(_HALVES) + """, asked AS (SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'signup')
+            SELECT org_id, CAST(device_id IN (SELECT id FROM asked) AND org_id = 'default' AS VARCHAR) AS state, count(*) AS n FROM early GROUP BY 1, 2
             UNION ALL SELECT 'default', 'not found', count(*) FROM asked
             WHERE id NOT IN (SELECT device_id FROM early WHERE org_id = 'default')""".replace(") , asked", "), asked"),
         "orgs_ensured": f"""SELECT 'default' AS id, 'Default Organization' AS name, epoch_us(TIMESTAMP '2024-01-01') AS created_at
@@ -325,6 +325,8 @@ def oracle_sql() -> dict[str, str]:
         "stats_count_by_device": _with(DET) + f"""SELECT device_id, count(*) AS "count" FROM det WHERE org_id = 'default'
             AND "timestamp" >= {_NOW} - INTERVAL 1 DAY GROUP BY 1""",
         "stats_daily_rollup": _ROLLUP,
+        "stats_every_type": _with(SCOPE) + """SELECT 't' || (event_id % 80) AS type, CAST(sum(f_count) AS BIGINT) AS "count" FROM scope
+            WHERE has_finding GROUP BY 1""",
         "stats_summary": _with(STATS) + " UNION ALL ".join(
             [f"""SELECT 'total' AS kind, '{c}' AS key, {c} AS "count" FROM totals"""
              for c in ("total", "clean", "flagged", "blocked", "anonymized")]
@@ -404,6 +406,16 @@ def oracle_sql() -> dict[str, str]:
               ELSE 'warn' END AS decision, n FROM (
             SELECT *, unnest(['blacklist', 'articles', 'near']) AS rule_id, unnest([black, arts, near]) AS n FROM counted) WHERE n > 0""",
         "scan_emails": _EMAILS,
+        "scan_whitelisted": f"""SELECT doc_id, CASE WHEN lower(t) = 'les' THEN 'articles' ELSE 'letters' END AS rule_id, count(*) AS n
+            FROM (SELECT doc_id, unnest(string_split_regex(text, '{WORD_SPLIT}')) AS t FROM documents)
+            WHERE lower(t) = 'les' OR (regexp_matches(t, '^th[a-z]$') AND t <> 'the') GROUP BY 1, 2""",
+        "scan_tokens": """SELECT doc_id, 'eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.' || md5(CAST(doc_id AS VARCHAR)) AS value, 'JWT' AS label
+            FROM documents WHERE doc_id % 2 = 0""",
+        "scan_overlaps": """SELECT doc_id, CASE WHEN regexp_matches(value, '[.-]') THEN 'wide' ELSE 'digits' END AS rule_id, value FROM (
+            SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{3,}(?:[.-][0-9]+)?')) AS value FROM documents)""",
+        "texts_outcomes": _with(_WORDS) + """SELECT CASE WHEN length(text) > 20000 OR NOT regexp_matches(text, '[^\\s]') THEN 'unscanned'
+              WHEN black > 0 THEN 'blocked' WHEN near > 0 THEN 'pseudonymised' WHEN arts > 0 THEN 'warned' ELSE 'clean' END AS outcome,
+            count(*) AS docs FROM counted JOIN documents USING (doc_id) GROUP BY 1""",
         "scan_gated": _with(BUILTIN) + """SELECT f.doc_id, CAST(count(*) AS INTEGER) AS n FROM found f JOIN documents d USING (doc_id)
             WHERE length(d.text) <= 20000 GROUP BY 1""",
         "scan_rollup_per_rule": _with(BUILTIN) + """SELECT doc_id, rule_id AS type, max(severity) AS severity, count(*) AS "count"
@@ -448,7 +460,8 @@ def oracle_sql() -> dict[str, str]:
         "stream_breach_clock": _with(DET) + f"""SELECT org_id, CAST(critical AS BIGINT) AS critical, critical >= 20 AND f IS NOT NULL AS active,
             CASE WHEN critical >= 20 THEN epoch_us(f) END AS triggered_at,
             CASE WHEN critical >= 20 THEN epoch_us(f + INTERVAL 72 HOURS) END AS deadline FROM (
-              SELECT org_id, sum(f_count) AS critical, min("timestamp") FILTER ("timestamp" >= {_NOW} - INTERVAL 72 HOURS) AS f
+              SELECT org_id, coalesce(sum(f_count) FILTER ("timestamp" >= TIMESTAMP '2024-01-30 12:30:07' - INTERVAL 7 DAYS), 0) AS critical,
+                min("timestamp") FILTER ("timestamp" >= TIMESTAMP '2024-01-30 12:30:07' - INTERVAL 72 HOURS) AS f
               FROM det WHERE f_type IN ({_lit(co.BREACH_TYPES)[1:-1]}) GROUP BY 1)""",
         "stream_auth_blocks": _BLOCKS,
         "stream_scan": _with(HIDDEN) + "SELECT doc_id, md5(anonymized) AS digest FROM hidden",

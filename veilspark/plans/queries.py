@@ -125,7 +125,7 @@ def events_new_and_duplicate(spark, sf):
 @query
 def events_existing_ids(spark, sf):
     det = _det(spark, sf)
-    return ev.existing_ids(det.where(F.col("event_id") % 5 == 0), det.where(F.col("action") == "CLEAN"))
+    return ev.existing_ids(det, det.where(F.col("action") == "CLEAN"))
 
 
 @query
@@ -148,13 +148,15 @@ def events_stored_range(spark, sf):
 
 @query
 def events_purged(spark, sf):
-    """Purge leaves an empty table of the same shape."""
+    """Purge leaves an empty day-partitioned table of the same shape."""
     path = new_path(spark, "events")
-    rows = _det(spark, sf).select("event_id", "org_id", "action")
-    rows.write.parquet(path)
-    before = spark.read.parquet(path).agg(F.count("*").alias("before")).first()["before"]
-    writers.purge(spark, {path: dict(rows.dtypes)})
-    return spark.read.parquet(path).agg(F.lit(before).cast("bigint").alias("before"), F.count("org_id").alias("after"))
+    writers.write_events(_det(spark, sf), path)
+    full = spark.read.parquet(path)
+    before = store(full.agg(F.count("*").alias("before")), "count")
+    writers.purge(spark, {path: dict(full.dtypes)}, {path: "event_date"})
+    left = spark.read.parquet(path)
+    same = set(left.columns) == set(full.columns) and dict(left.drop("event_date").dtypes) == dict(full.drop("event_date").dtypes)
+    return left.agg(F.count("*").alias("after")).select(before.scalar().alias("before"), "after", F.lit(same).alias("same_columns"))
 
 
 @query
@@ -176,12 +178,12 @@ def events_newest_20_per_org(spark, sf):
 # ------------------------------------------------------------ orgs and devices
 
 def _device_tables(spark, sf):
-    """Devices known from the first half of the month, and the second half's batch."""
+    """Devices known from the first day, and the batch of all later days."""
     det = _det(spark, sf).withColumns({
         "position": F.col("event_id"),
         "user_hint": F.when(F.col("device_id") % 4 == 0, F.concat(F.lit("user"), F.col("event_id").cast("string")))})
-    first = ev.latest_per_device(det.where((F.col("timestamp") < "2024-01-15") & (F.col("device_id") % 6 != 0)))
-    second = ev.latest_per_device(det.where((F.col("timestamp") >= "2024-01-15") & (F.col("device_id") % 5 != 0)))
+    first = ev.latest_per_device(det.where(F.col("timestamp") < "2024-01-02"))
+    second = ev.latest_per_device(det.where(F.col("timestamp") >= "2024-01-02"))
     none = spark.createDataFrame([], "id bigint, org_id string, user_hint string, extension_version string, "
                                      "token_hash string, created_at timestamp, last_seen_at timestamp, revoked boolean")
     return dv.upsert_devices(none, first, "2024-01-15 00:00:00"), second
@@ -216,7 +218,7 @@ def devices_by_recency(spark, sf):
 @query
 def devices_revoked(spark, sf):
     known, _ = _device_tables(spark, sf)
-    asked = table(spark, sf, "events").where(F.col("user_id") % 7 == 0).select(
+    asked = table(spark, sf, "events").where(F.col("event_type") == "signup").select(
         F.col("user_id").alias("id"), F.lit(ORG).alias("org_id"))
     after, missing = dv.revoke(known, asked)
     return after.groupBy("org_id", F.col("revoked").cast("string").alias("state")).agg(F.count("*").alias("n")).unionByName(
@@ -270,6 +272,14 @@ def stats_summary(spark, sf):
     return row.select(F.inline(F.concat(singles, entries("by_llm"), entries("by_type"))))
 
 
+@query
+def stats_every_type(spark, sf):
+    """More finding types than the list of the most frequent ones shows: the statistics hold them all."""
+    kind = F.concat(F.lit("t"), (F.col("event_id") % 80).cast("string"))
+    det = _det(spark, sf).withColumn("findings", F.transform("findings", lambda f: F.struct(kind.alias("type"), f["severity"], f["count"])))
+    return st.by_type_rows(st.stats(det, ORG, RANGE, NOW))
+
+
 @query
 def stats_llm_shares(spark, sf):
     return st.llm_shares(_by_llm(spark, sf))
@@ -427,12 +437,12 @@ def compliance_dpia_facts(spark, sf):
 
 @query
 def audit_by_path(spark, sf):
-    return audit.audit_rollup(readers.read_audit(derived.audit_lines(spark, sf)), "path", "status").drop("p95_latency_ms")
+    return audit.audit_rollup(readers.read_audit(derived.audit_lines(spark, sf)), "path", "status").withColumn("p95_latency_ms", F.round("p95_latency_ms", 6))
 
 
 @query
 def audit_by_principal(spark, sf):
-    return audit.audit_rollup(readers.read_audit(derived.audit_lines(spark, sf)), "principal").drop("p95_latency_ms")
+    return audit.audit_rollup(readers.read_audit(derived.audit_lines(spark, sf)), "principal").withColumn("p95_latency_ms", F.round("p95_latency_ms", 6))
 
 
 @query
@@ -515,11 +525,39 @@ def scan_default_pack_pages(spark, sf):
 
 @query
 def scan_gated(spark, sf):
-    """Interactive gates: blank texts and texts over the limit stay unscanned."""
+    """Interactive gates: blank texts and texts over the caller's limit stay unscanned."""
     found = scan.evaluate(_docs(spark, sf).select("doc_id", "text"), "text", builtin_rules(), max_chars=20_000)
     return found.where(F.size("findings") > 0).select("doc_id", F.size("findings").alias("n"))
 
 
+@query
+def scan_whitelisted(spark, sf):
+    """Whitelisted words are no findings, whatever rule finds them."""
+    rules = compile_rules({"whitelist": ["the", "der"], "rules": [
+        {"id": "articles", "kind": "words", "action": "warn", "words": ["the", "les", "der"]},
+        {"id": "letters", "kind": "regex", "action": "warn", "pattern": r"\bth[a-z]\b"}]}, builtins=False)
+    found = scan.evaluate(_docs(spark, sf).select("doc_id", "text"), "text", rules)
+    return scan.explode_findings(found, "doc_id").groupBy("doc_id", "rule_id").agg(F.count("*").alias("n"))
+
+
+@query
+def scan_tokens(spark, sf):
+    """A web token at the end of every text: one with a header, or one whose header is no JSON."""
+    head = F.when(F.col("doc_id") % 2 == 0, "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.").otherwise("eyJhbGciOiJIUzI1NiJ8.eyJzdWIiOiIxIn0.")
+    planted = _docs(spark, sf).select("doc_id", F.concat("text", F.lit(" "), head, F.md5(F.col("doc_id").cast("string"))).alias("text"))
+    found = scan.evaluate(planted, "text", builtin_rules())
+    return scan.explode_findings(found, "doc_id").where(F.col("rule_id") == "builtin-jwt").select("doc_id", "value", "label")
+
+
+@query
+def scan_overlaps(spark, sf):
+    """Where rules overlap, the earliest and longest match stays."""
+    rules = compile_rules({"rules": [{"id": "digits", "kind": "regex", "action": "warn", "pattern": r"\d{3,}"},
+                                     {"id": "wide", "kind": "regex", "action": "block", "pattern": r"\d{3,}[.-]\d+"}]}, builtins=False)
+    found = scan.evaluate(_docs(spark, sf).select("doc_id", "text"), "text", rules)
+    return scan.explode_findings(found, "doc_id").select("doc_id", "rule_id", "value")
+
+
 @query
 def scan_rollup_per_rule(spark, sf):
     found = scan.evaluate(_docs(spark, sf).select("doc_id", "text"), "text", builtin_rules())
@@ -627,6 +665,13 @@ def texts_planned(spark, sf):
         (F.col("result") != F.col("text")).cast("int")).alias("changed"))
 
 
+@query
+def texts_outcomes(spark, sf):
+    """All outcomes, texts over the limit among them."""
+    found = scan.evaluate(_docs(spark, sf).select("doc_id", "text"), "text", word_rules(), max_chars=20_000)
+    return found.groupBy(vt.outcome(F.col("decision"), F.col("findings"), F.col("scanned")).alias("outcome")).agg(F.count("*").alias("docs"))
+
+
 @query
 def texts_replacements(spark, sf):
     found = _found(spark, sf)
@@ -779,8 +824,8 @@ def stream_action_counters(spark, sf):
 def stream_breach_clock(spark, sf):
     root = new_path(spark, "breach")
     _finish(jobs.breach_stream(_det_stream(spark, sf), f"{root}/out", f"{root}/checkpoint"))
-    hourly = jobs.latest_rows(spark, f"{root}/out", "hour", "org_id")
-    return jobs.breach_clocks(hourly, NOW).select("org_id", "critical", "active", _us("triggered_at"), _us("deadline"))
+    counted = jobs.latest_rows(spark, f"{root}/out", "second", "org_id")
+    return jobs.breach_clocks(counted, "2024-01-30 12:30:07", time_range="7d").select("org_id", "critical", "active", _us("triggered_at"), _us("deadline"))
 
 
 @query

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -35,10 +36,14 @@ def local_session(cores: int | str = 8, memory: str = "12g", partitions: int = 8
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: the session's ``spark.checkpoint.dir``.
 
-    Only where none is configured (tests) is a local one chosen.
+    Where none is configured, a session on one machine gets a folder of its own;
+    on a cluster that would lose rows, so it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir is not set: {master or 'this cluster'} needs a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

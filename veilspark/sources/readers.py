@@ -13,6 +13,10 @@ _ATTACHMENT_KEYS = ["sha256", "mimeType", "sizeBytes", "extractedChars", "trunca
                     "unavailable", "passwordProtected"]
 
 
+#: A time names a moment only with its offset.
+_TIME = r"\A[+-]?\d{4,9}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?(Z|[+-]\d{2}(:\d{2}){0,2})\z"
+
+
 def _unknown(keys, allowed):
     return F.size(F.array_except(keys, F.array(*map(F.lit, allowed)))) > 0
 
@@ -30,15 +34,16 @@ def parse_events(lines: DataFrame, column: str = "value") -> DataFrame:
         "__keys": F.map_keys(members),
         "__finding_keys": F.flatten(F.transform(
             F.from_json(members["findings"], "array<map<string,string>>"), lambda m: F.map_keys(m))),
-        "__attachment_keys": F.json_object_keys(members["attachment"])}).drop("__members")
+        "__attachment_keys": F.json_object_keys(members["attachment"]), "__time": members["timestamp"]}).drop("__members")
     checked = validate_events(named.select("*", "e.*").drop("e"))
     extra = F.array_compact(F.array(
         F.when(F.col("__keys").isNull(), F.lit("not a JSON object")),
         F.when(_unknown(F.col("__keys"), _ALLOWED), F.lit("unknown field")),
+        F.when(~F.col("__time").rlike(_TIME), F.lit("timestamp: no date, time and offset")),
         F.when(_unknown(F.col("__finding_keys"), _FINDING_KEYS), F.lit("findings: unknown field")),
         F.when(_unknown(F.col("__attachment_keys"), _ATTACHMENT_KEYS), F.lit("attachment: unknown field"))))
     return checked.withColumn("errors", F.concat(extra, "errors")).drop(
-        "__keys", "__finding_keys", "__attachment_keys")
+        "__keys", "__finding_keys", "__attachment_keys", "__time")
 
 
 def split_valid(parsed: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:

@@ -41,7 +41,14 @@ def write_ropa(ropa: DataFrame, path: str, org: str, day: str, product: str = "v
      .write.mode("overwrite").text(path))
 
 
-def purge(spark: SparkSession, tables: dict[str, dict[str, str]]) -> None:
-    """Empty every table (path → schema) but keep it readable."""
+def purge(spark: SparkSession, tables: dict[str, dict[str, str]], partition_by: dict[str, str] | None = None) -> None:
+    """Empty every table (path → schema) but keep it readable, with its partition column (path → name) if it has one."""
     for path, shape in tables.items():
-        spark.createDataFrame([], ddl(shape)).write.mode("overwrite").parquet(path)
+        nothing = spark.createDataFrame([], ddl(shape))
+        by = (partition_by or {}).get(path)
+        if by is None:
+            nothing.write.mode("overwrite").parquet(path)
+            continue
+        nothing.write.mode("overwrite").partitionBy(by).parquet(path)
+        # An empty file in the partition of nulls carries the columns and the layout.
+        nothing.drop(by).write.parquet(f"{path}/{by}=__HIVE_DEFAULT_PARTITION__")

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -36,11 +36,20 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LATENESS = "30 days"
 
 
-def read_or_empty(spark: SparkSession, path: str, shape: dict[str, str], **more: str) -> DataFrame:
+def read_or_none(spark: SparkSession, path: str, ddl: str | None = None) -> DataFrame | None:
+    """A table, or None if it was never written; any other problem is an error."""
     try:
-        return spark.read.schema(schema.ddl(shape, **more)).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema.ddl(shape, **more))
+        return (spark.read.schema(ddl) if ddl else spark.read).parquet(path)
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def read_or_empty(spark: SparkSession, path: str, shape: dict[str, str], **more: str) -> DataFrame:
+    ddl = schema.ddl(shape, **more)
+    found = read_or_none(spark, path, ddl)
+    return spark.createDataFrame([], ddl) if found is None else found
 
 
 def _start(stream: DataFrame, checkpoint: str, handle, mode: str = "append", every: str | None = None) -> StreamingQuery:
@@ -123,34 +132,51 @@ def daily_rollup_stream(ev: DataFrame, path: str, checkpoint: str, every: str |
     return _upserted(rolled, path, checkpoint, every)
 
 
-def counters_stream(detections: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Detections per day and action."""
-    counted = (detections.withWatermark("ts", LATENESS).groupBy(F.window("ts", "1 day"), "action")
+def _bounded(stream: DataFrame, ts: str, lateness: str | None) -> DataFrame:
+    return stream if lateness is None else stream.withWatermark(ts, lateness)
+
+
+def counters_stream(detections: DataFrame, path: str, checkpoint: str, every: str | None = None,
+                    lateness: str | None = None) -> StreamingQuery:
+    """Detections per day and action.  With a ``lateness``, later rows are dropped and old days leave the state."""
+    counted = (_bounded(detections, "ts", lateness).groupBy(F.window("ts", "1 day"), "action")
                .agg(F.count("*").alias("n")).select(F.col("window.start").alias("day"), "action", "n"))
     return _upserted(counted, path, checkpoint, every)
 
 
-def breach_stream(ev: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Critical findings per organisation and hour: count and earliest time.
+def breach_stream(ev: DataFrame, path: str, checkpoint: str, every: str | None = None,
+                  lateness: str | None = None) -> StreamingQuery:
+    """Critical findings per organisation and second.
 
     Kept as a partial aggregate rather than per-organisation state, so that the
-    largest organisation is summed by every task instead of by one.
+    largest organisation is summed by every task instead of by one.  Seconds are
+    fine enough that a look-back never cuts one.  With a ``lateness``, later rows are dropped.
     """
     critical = F.filter("findings", lambda f: F.lower(f["type"]).isin(BREACH_TYPES))
     rows = ev.select("timestamp", "org_id", critical.alias("critical")).where(F.size("critical") > 0)
     weight = F.aggregate("critical", F.lit(0).cast("bigint"), lambda acc, f: acc + f["count"])
-    hourly = (rows.withWatermark("timestamp", LATENESS).groupBy(F.window("timestamp", "1 hour"), "org_id")
-              .agg(F.sum(weight).alias("critical"), F.min("timestamp").alias("first"))
-              .select(F.col("window.start").alias("hour"), "org_id", "critical", "first"))
-    return _upserted(hourly, path, checkpoint, every)
+    counted = (_bounded(rows, "timestamp", lateness).groupBy(F.window("timestamp", "1 second"), "org_id")
+               .agg(F.sum(weight).alias("critical"), F.min("timestamp").alias("first"))
+               .select(F.col("window.start").alias("second"), "org_id", "critical", "first"))
+    return _upserted(counted, path, checkpoint, every)
+
 
+def breach_clocks(counted: DataFrame, now, threshold: int = BREACH_THRESHOLD, time_range: str = "30d") -> DataFrame:
+    """Per organisation: is the clock running at ``now`` (a whole second), and its deadline.
 
-def breach_clocks(hourly: DataFrame, now, threshold: int = BREACH_THRESHOLD) -> DataFrame:
-    """Per organisation: is the clock running at ``now``, and its deadline."""
+    Critical findings count from ``now - time_range`` on; the clock starts at
+    the first one of the last 72 hours.
+    """
+    if pd.Timestamp(now).microsecond:
+        raise ValueError("now must be a whole second")
     at = F.lit(now).cast("timestamp")
-    recent = F.col("first") >= at - F.expr(f"INTERVAL {BREACH_WINDOW}")
-    grouped = hourly.groupBy("org_id").agg(F.sum("critical").alias("critical"),
-                                           F.min(F.when(recent, F.col("first"))).alias("first"))
+
+    def within(span: str) -> Column:
+        return F.col("second") >= at - F.expr(f"INTERVAL {span}")
+
+    grouped = counted.groupBy("org_id").agg(
+        F.coalesce(F.sum(F.when(within(schema.RANGES[time_range]), F.col("critical"))), F.lit(0).cast("bigint")).alias("critical"),
+        F.min(F.when(within(BREACH_WINDOW), F.col("first"))).alias("first"))
     active = (F.col("critical") >= threshold) & F.col("first").isNotNull()
     return grouped.select("org_id", "critical", active.alias("active"),
                           F.when(active, F.col("first")).alias("triggered_at"),
@@ -203,10 +229,8 @@ def scan_stream(docs: DataFrame, rules, paths: dict[str, str], checkpoint: str,
         evaluate(batch, text_col, rules).write.mode("overwrite").parquet(found_path)
         found = spark.read.parquet(found_path)
         values = values_to_replace(found, session, order)
-        try:
-            existing = spark.read.parquet(paths["vault"]).where(F.col("epoch") < epoch).drop("epoch")
-        except AnalysisException:                                   # the first batch: no vault yet
-            existing = None
+        vault = read_or_none(spark, paths["vault"])                  # the first batch has no vault yet
+        existing = None if vault is None else vault.where(F.col("epoch") < epoch).drop("epoch")
         known = store(build_vault(values, salt, session, order).withColumn("generation", F.lit(epoch))
                       if existing is None else extend_vault(values, salt, existing, epoch, session, order), "vault")
         _write_epoch(known.where(F.col("generation") == epoch), paths["vault"], epoch)
