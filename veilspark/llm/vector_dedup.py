@@ -2,8 +2,8 @@
 
 Vectors are compared within a label by cosine in double precision.
 
-Method: ``pivots`` vectors, chosen by a hash from all of them, serve as
-reference points. A vector is described by its nearest pivots in order, of which
+Method: ``pivots`` vectors, taken from a bounded sample (eight times as many,
+chosen by a hash of the id) so that no two are close, serve as reference points. A vector is described by its nearest pivots in order, of which
 the first ``nearest`` are indexed. Two vectors are candidates if they share at
 least ``shared`` of them: the inverted lists are kept for every set of
 ``shared`` pivots, so that a list holds just the vectors that share those.
@@ -30,6 +30,7 @@ from veilspark.session import store
 
 COSINE = 0.98
 PIVOTS, NEAREST, SHARED = 192, 7, 4
+SAMPLED, CLOSE_PIVOTS = 8, 0.8      # pivots are taken from so many times their number of vectors; none closer than this cosine
 BLOCK = 512
 
 
@@ -49,6 +50,18 @@ def _describe(pivots: np.ndarray, nearest: int, shared: int):
     return F.pandas_udf(run, "array<bigint>")
 
 
+def _apart(sample: np.ndarray, most: int) -> np.ndarray:
+    """Pivots that are not close to each other: a group of near copies, however large, has one, or its vectors would
+    be told apart by noise alone."""
+    chosen = sample[:0]
+    for x in sample:
+        if len(chosen) == most:
+            break
+        if not len(chosen) or (chosen @ x).max() < CLOSE_PIVOTS:
+            chosen = np.concatenate([chosen, x[None]])
+    return chosen
+
+
 def _unit_length(vectors: pd.Series) -> np.ndarray:
     x = np.array(vectors.tolist(), dtype=np.float64).reshape(len(vectors), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -144,8 +157,8 @@ def _forests(classes: DataFrame, threshold: float, pivots: int, nearest: int, sh
     found = None
     for n in sizes:
         some = classes.where(F.size("vector") == n)
-        sample = some.orderBy(F.xxhash64("id"), "id").limit(pivots).select("vector").collect()
-        points = _unit_length(pd.Series([r["vector"] for r in sample]))
+        sample = some.orderBy(F.xxhash64("id"), "id").limit(SAMPLED * pivots).select("vector").collect()
+        points = _apart(_unit_length(pd.Series([r["vector"] for r in sample])), pivots)
         lists = F.explode(_describe(points, nearest, min(shared, len(points)))(F.col("vector"))).alias("list")
         entries = store(some.select("label", "id", lists), "pivot-lists")
         links = _by_block(entries, ["label", "list"], some, threshold, False).select("u", "v")
