@@ -125,3 +125,21 @@ def max_severity(findings: Column) -> Column:
 
 def rule_ids(findings: Column) -> Column:
     return F.array_distinct(findings["rule_id"])
+
+
+PAGE = 512
+
+
+def pages_of(text: Column) -> Column:
+    """A text as pieces of ``PAGE`` code points, so that a part of it is found without counting from its start."""
+    return F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % PAGE), F.lit(0))
+
+
+def paged_substring(pages: Column, start: Column, end: Column) -> Column:
+    """The code points from start to end (exclusive) of a text given as its pages."""
+    first, last = F.floor(start / PAGE).cast("int"), F.floor(end / PAGE).cast("int")
+    page, offset = F.coalesce(F.get(pages, first), F.lit("")), (start - first * PAGE).cast("int")
+    tail = F.substring(F.coalesce(F.get(pages, last), F.lit("")), F.lit(1), (end - last * PAGE).cast("int"))
+    between = F.array_join(F.slice(pages, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    return F.when(first == last, F.substring(page, offset + 1, (end - start).cast("int"))).otherwise(
+        F.concat(F.substring(page, offset + 1, F.lit(PAGE)), between, tail))

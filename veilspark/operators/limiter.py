@@ -37,24 +37,24 @@ def _chains(log: DataFrame, window_seconds: int) -> DataFrame:
 
     State never crosses a success or a silence longer than the window, so such
     points cut an address's history into independent chains.  They are found
-    per (address, day); what a day inherits comes from a table with one row per
-    address and day, so no task holds the whole history of a busy address.
+    per (address, hour); what an hour inherits comes from a table with one row
+    per address and hour, so no task holds the history of a busy address.
     """
-    day = log.withColumn("day", F.to_date("ts"))
-    ends = day.groupBy("ip", "day").agg(F.max("ts").alias("last"), F.max_by("success", "ts").alias("last_success"))
-    by_ip = W.partitionBy("ip").orderBy("day")
-    before = ends.select("ip", "day", F.lag("last").over(by_ip).alias("day_prev"),
-                         F.lag("last_success").over(by_ip).alias("day_prev_success"))
-    in_day = W.partitionBy("ip", "day").orderBy("ts")
-    rows = day.withColumns({"prev": F.lag("ts").over(in_day), "prev_success": F.lag("success").over(in_day)})
-    rows = rows.join(before, ["ip", "day"])
-    prev, prev_success = F.coalesce("prev", "day_prev"), F.coalesce("prev_success", "day_prev_success")
+    cut_up = log.withColumn("hour", F.date_trunc("hour", "ts"))
+    ends = cut_up.groupBy("ip", "hour").agg(F.max("ts").alias("last"), F.max_by("success", "ts").alias("last_success"))
+    by_ip = W.partitionBy("ip").orderBy("hour")
+    before = ends.select("ip", "hour", F.lag("last").over(by_ip).alias("hour_prev"),
+                         F.lag("last_success").over(by_ip).alias("hour_prev_success"))
+    in_hour = W.partitionBy("ip", "hour").orderBy("ts")
+    rows = cut_up.withColumns({"prev": F.lag("ts").over(in_hour), "prev_success": F.lag("success").over(in_hour)})
+    rows = rows.join(before, ["ip", "hour"])
+    prev, prev_success = F.coalesce("prev", "hour_prev"), F.coalesce("prev_success", "hour_prev_success")
     silent = F.unix_micros("ts") - F.unix_micros(prev) > window_seconds * 1_000_000
     rows = rows.withColumn("cut", F.when(prev.isNull() | silent | prev_success, F.col("ts")))
-    local = F.max("cut").over(in_day.rowsBetween(W.unboundedPreceding, W.currentRow))
-    carried = rows.groupBy("ip", "day").agg(F.max("cut").alias("day_cut")).select(
-        "ip", "day", F.max("day_cut").over(by_ip.rowsBetween(W.unboundedPreceding, -1)).alias("inherited"))
-    return rows.withColumn("local", local).join(carried, ["ip", "day"]).select(
+    local = F.max("cut").over(in_hour.rowsBetween(W.unboundedPreceding, W.currentRow))
+    carried = rows.groupBy("ip", "hour").agg(F.max("cut").alias("hour_cut")).select(
+        "ip", "hour", F.max("hour_cut").over(by_ip.rowsBetween(W.unboundedPreceding, -1)).alias("inherited"))
+    return rows.withColumn("local", local).join(carried, ["ip", "hour"]).select(
         "ip", F.coalesce("local", "inherited").alias("chain"), "ts", "failures", "success")
 
 
@@ -66,7 +66,11 @@ def auth_blocks(log: DataFrame, limit: int = LIMIT, window_seconds: int = WINDOW
     """
     counted = log.groupBy("ip", "ts").agg(
         F.count_if(F.col("failed")).alias("failures"), F.max(~F.col("failed")).alias("success"))
-    chains = _chains(counted, window_seconds)
+    # Only addresses, and then chains, with enough failures can reach the limit; the others never leave the engine.
+    likely = counted.groupBy("ip").agg(F.sum("failures").alias("n")).where(F.col("n") >= limit).select("ip")
+    chains = _chains(counted.join(likely, "ip", "left_semi"), window_seconds)
+    enough = chains.groupBy("ip", "chain").agg(F.sum("failures").alias("n")).where(F.col("n") >= limit).select("ip", "chain")
+    chains = chains.join(enough, ["ip", "chain"], "left_semi")
     span = window_seconds * 1_000_000
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -197,8 +197,8 @@ def _findings(text: Column, hits: Column, rules: RuleSet, units: list[_Unit]) ->
     matchers = rules.matchers
     labels = [m.placeholder if m.action == "anonymize" else None for m in matchers]
 
-    def labelled(s: Column) -> Column:
-        value = F.when(F.contains(text, F.lit(MARK)), F.substring(text, s["start"] + 1, s["end"] - s["start"]))
+    def labelled(s: Column, marked: Column) -> Column:
+        value = F.when(marked, F.substring(text, s["start"] + 1, s["end"] - s["start"]))
         return F.struct(
             _by_index([m.rule_id for m in matchers], s["priority"]).alias("rule_id"), s["start"].alias("start"),
             s["end"].alias("end"), value.otherwise(s["value"]).alias("value"),
@@ -207,8 +207,10 @@ def _findings(text: Column, hits: Column, rules: RuleSet, units: list[_Unit]) ->
             _by_index(labels, s["priority"]).alias("label"))
 
     none = F.array().cast(FINDINGS_TYPE)
-    return let(hits, lambda found: F.when(F.coalesce(F.size(found), F.lit(0)) == 0, none).otherwise(F.transform(
-        let(_candidates(found, rules, units), lambda c: resolve_overlaps(c, _CANDIDATE)), labelled).cast(FINDINGS_TYPE)))
+    # Whether the text holds the marker itself is asked once a text, not once a finding.
+    return let(hits, lambda found: F.when(F.coalesce(F.size(found), F.lit(0)) == 0, none).otherwise(let(
+        F.contains(text, F.lit(MARK)), lambda marked: F.transform(
+            let(_candidates(found, rules, units), lambda c: resolve_overlaps(c, _CANDIDATE)), lambda s: labelled(s, marked)).cast(FINDINGS_TYPE))))
 
 
 def _validated(hits: Column, units: list[_Unit]) -> Column:

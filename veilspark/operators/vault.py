@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from veilspark.functions.placeholders import PLACEHOLDER, base_of, compose, mint
-from veilspark.functions.spans import fold_blocks, rank_of
+from veilspark.functions.spans import fold_blocks, let, paged_substring, pages_of, rank_of
 from veilspark.operators.events import newest_per_key
 from veilspark.operators.scan import finding_rollup
 from veilspark.rules.model import SEVERITIES
@@ -159,14 +159,16 @@ def _exceptions_by_document(docs: DataFrame, vault: DataFrame, id_col: str, sess
 def replace_spans(text: Column, spans: Column) -> Column:
     """Rebuild ``text`` with each span's ``put`` in place of it, left to right;
     a span that starts before the last replaced end is skipped."""
-    def step(acc: Column, s: Column):
-        kept = s["start"] >= acc["at"]
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return {"at": F.when(kept, s["end"]).otherwise(acc["at"])}, F.when(kept, F.concat(gap, s["put"]))
-
-    done = fold_blocks(F.array_sort(spans), {"at": F.lit(0)}, "string", step, lambda acc, pieces: F.concat(
-        F.array_join(pieces, ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) == 0, text).otherwise(done)
+    def rebuilt(pages: Column) -> Column:
+        def step(acc: Column, s: Column):
+            kept = s["start"] >= acc["at"]
+            gap = paged_substring(pages, acc["at"], s["start"])
+            return {"at": F.when(kept, s["end"]).otherwise(acc["at"])}, F.when(kept, F.concat(gap, s["put"]))
+
+        return fold_blocks(F.array_sort(spans), {"at": F.lit(0)}, "string", step, lambda acc, pieces: F.concat(
+            F.array_join(pieces, ""), paged_substring(pages, acc["at"], F.length(text))))
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(pages_of(text), rebuilt))
 
 
 def anonymize(docs: DataFrame, vault: DataFrame, salt: str | Column, id_col: str = "doc_id", text_col: str = "text",

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -26,7 +27,6 @@ from veilspark.operators.events import (
 )
 from veilspark.operators.scan import evaluate
 from veilspark.operators.vault import anonymize, build_vault, extend_vault, plan, values_to_replace
-from veilspark.session import store
 from veilspark.sources.readers import parse_events, split_valid
 from veilspark.sources.writers import write_events
 
@@ -62,12 +62,14 @@ def _write_epoch(df: DataFrame, path: str, epoch: int, partition_by: list[str] |
 
 
 def ingest_stream(lines: DataFrame, paths: dict[str, str], checkpoint: str, ingested_at=None,
-                  dedup_within: str | None = None, every: str | None = None) -> StreamingQuery:
+                  dedup_within: str | None = None, every: str | None = None, resent_within_days: int | None = None) -> StreamingQuery:
     """Idempotent ingest of event JSON (``value`` column).
 
     ``paths``: ``events`` (day-partitioned table), ``rejected``, and optionally
     ``devices`` (changed rows per epoch, read with :func:`latest_rows`) and
     ``feed`` (accepted events per organisation).  Ids are checked against everything stored;
+    with ``resent_within_days``, against the days of the batch and so many before and after
+    them, which prunes the table's partitions: an event keeps its time when it is sent again.
     ``dedup_within`` adds stream-side de-duplication, which drops events later
     than that bound.
     """
@@ -81,17 +83,27 @@ def ingest_stream(lines: DataFrame, paths: dict[str, str], checkpoint: str, inge
     def handle(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         at = ingested_at or pd.Timestamp.now(tz="UTC").to_pydatetime()
-        # Parsed once, then read back per use.
-        staged_path = os.path.join(paths["events"] + "_staged", f"epoch={epoch}")
+        # Parsed once, then read back per use; the next batch overwrites it.
+        staged_path = paths["events"] + "_staged"
         parse_events(batch).withColumn("position", F.monotonically_increasing_id()).write.mode("overwrite").parquet(staged_path)
         valid, rejected = split_valid(spark.read.parquet(staged_path))
         _write_epoch(rejected, paths["rejected"], epoch)
         tag = f"{checkpoint}#{epoch}"
         staged = to_stored(valid, at, "position", ingest_id=tag)
         stored = read_or_empty(spark, paths["events"], schema.EVENTS)
+        days = staged.agg(F.min(F.to_date("timestamp")), F.max(F.to_date("timestamp"))).first()      # two dates
+
+        def around(more: int) -> DataFrame:
+            if days[0] is None or "event_date" not in stored.columns:
+                return stored
+            return stored.where(F.col("event_date").between(days[0] - timedelta(more), days[1] + timedelta(more)))
+
         # Rows an earlier attempt of this very batch appended do not count as stored.
         mine = F.coalesce("ingest_id", F.lit("")) == tag
-        new = store(one_per_key(split_new(staged, stored.where(~mine))[0]).drop("position"), "new")
+        known_ids = stored if resent_within_days is None else around(resent_within_days)
+        fresh = one_per_key(split_new(staged, known_ids.where(~mine))[0]).drop("position")
+        fresh.write.mode("overwrite").parquet(paths["events"] + "_new")
+        new = spark.read.schema(fresh.schema).parquet(paths["events"] + "_new")
         if "feed" in paths:
             _write_epoch(new, paths["feed"], epoch, ["org_id"])
         if "devices" in paths:
@@ -101,7 +113,7 @@ def ingest_stream(lines: DataFrame, paths: dict[str, str], checkpoint: str, inge
             touched = versions.join(latest.select(F.col("device_id").alias("id")), "id", "left_semi")
             known = latest_by(touched, ["id"], F.col("epoch")).drop("epoch")
             _write_epoch(upsert_devices(known, latest, at), paths["devices"], epoch)
-        done = stored.where(mine).select("event_id", "timestamp")
+        done = around(0).where(mine).select("event_id", "timestamp")          # of this batch's days only
         write_events(new.join(done, ["event_id", "timestamp"], "left_anti"), paths["events"])
 
     return _start(source, checkpoint, handle, every=every)
@@ -231,8 +243,10 @@ def scan_stream(docs: DataFrame, rules, paths: dict[str, str], checkpoint: str,
         values = values_to_replace(found, session, order)
         vault = read_or_none(spark, paths["vault"])                  # the first batch has no vault yet
         existing = None if vault is None else vault.where(F.col("epoch") < epoch).drop("epoch")
-        known = store(build_vault(values, salt, session, order).withColumn("generation", F.lit(epoch))
-                      if existing is None else extend_vault(values, salt, existing, epoch, session, order), "vault")
+        entries = (build_vault(values, salt, session, order).withColumn("generation", F.lit(epoch))
+                   if existing is None else extend_vault(values, salt, existing, epoch, session, order))
+        entries.write.mode("overwrite").parquet(paths["vault"] + "_known")           # the next batch overwrites it
+        known = spark.read.schema(entries.schema).parquet(paths["vault"] + "_known")
         _write_epoch(known.where(F.col("generation") == epoch), paths["vault"], epoch)
         planned = plan(anonymize(found, known, salt, id_col, text_col, session), text_col)
         _write_epoch(planned.select(id_col, session, "decision", "outcome", "result"), paths["out"], epoch)
