@@ -13,9 +13,12 @@ Candidates are verified by an alignment within the band of shifts that the
 threshold allows.
 
 Texts with the same words are one class and only its first document takes part.
-In a band's bucket each member is compared with one hub, chosen anew for each
-round, and members whose components still differ afterwards are all compared in
-the last round, so large groups cost their size and no link is lost.
+In a band's bucket each member is compared with one hub; members whose components
+still differ afterwards are all compared. In buckets of more than ``SMALL``
+members that happens in blocks: a unit of two blocks counts common shingles
+for all its pairs at once, aligns only those that can reach the threshold and are
+not yet connected, and returns the links that connect something, never all pairs.
+No link between components is lost.
 """
 
 from __future__ import annotations
@@ -24,18 +27,20 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm import text as T
 from veilspark.llm.components import components
+from veilspark.llm.tables import small_batches
 from veilspark.session import store
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, SKETCHES = 20, 3
-HUB_ROUNDS = 2
+SMALL, BLOCK = 64, 256
 
 _SCHEMA = pa.schema([("id", pa.int64()), ("version", pa.int64()), ("same_1", pa.int64()), ("same_2", pa.int64()), ("n_words", pa.int32()),
                      ("bands", pa.list_(pa.int64()))])
@@ -203,14 +208,58 @@ def _verify(threshold: float):
     return run
 
 
+def _occurrences(values: np.ndarray) -> np.ndarray:
+    """Values of one sequence with their occurrence number, so that equal ones are told apart."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    start = np.maximum.accumulate(np.where(np.concatenate([[True], ordered[1:] != ordered[:-1]]), np.arange(len(ordered)), 0))
+    number = np.empty(len(values), np.int64)
+    number[order] = np.arange(len(values)) - start
+    return (values.astype(np.int64) << 32) | number
+
+
+def _unit(threshold: float):
+    """Links between two blocks that connect something not yet connected."""
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        _, first, second = key
+        own = frame[frame["block"] == first]
+        other = own if first == second else frame[frame["block"] == second]
+        seqs, seqs2 = list(own["seq"]), list(other["seq"])
+        ids, ids2 = own["id"].tolist(), other["id"].tolist()
+        group, group2 = own["component"].tolist(), other["component"].tolist()
+        parent = {c: c for c in [*group, *group2]}
+
+        def find(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        marked = np.concatenate([_occurrences(x) for x in seqs])
+        row = np.repeat(np.arange(len(seqs)), [len(x) for x in seqs])
+        order = np.argsort(marked, kind="stable")
+        marked, row = marked[order], row[order]
+        size = np.array([len(x) for x in seqs])
+        links = []
+        for j, x in enumerate(seqs2):
+            mine = _occurrences(x)
+            low, high = np.searchsorted(marked, mine), np.searchsorted(marked, mine, side="right")
+            n = high - low
+            at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+            common = np.bincount(row[at], minlength=len(seqs))
+            can = np.flatnonzero(common * (1 + threshold) >= threshold * (size + len(x)) - 1e-9)
+            for i in can[np.argsort(-common[can], kind="stable")].tolist():
+                a, b = find(group[i]), find(group2[j])
+                if a != b and similar(seqs[i].tolist(), x.tolist(), threshold):
+                    parent[b] = a
+                    links.append((ids[i], ids2[j]))
+        return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+    return run
+
+
 def _links(pairs: DataFrame, sequences: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (u, v) that are similar. Sequences of very different length are not brought together."""
-    sizes = sequences.select(F.col("id"), F.col("n"))
-    close = (pairs.join(sizes.select(F.col("id").alias("u"), F.col("n").alias("nu")), "u")
-             .join(sizes.select(F.col("id").alias("v"), F.col("n").alias("nv")), "v")
-             .where(F.least("nu", "nv") >= F.lit(threshold) * F.greatest("nu", "nv") - 1e-9).select("u", "v"))
-    close = store(close, "pairs")
-    both = (close.join(sequences.select(F.col("id").alias("u"), F.col("seq").alias("a")), "u")
+    """The pairs (u, v) that are similar."""
+    both = (store(pairs, "pairs").join(sequences.select(F.col("id").alias("u"), F.col("seq").alias("a")), "u")
             .join(sequences.select(F.col("id").alias("v"), F.col("seq").alias("b")), "v").select("u", "v", "a", "b"))
     return both.mapInArrow(_verify(threshold), "u long, v long")
 
@@ -229,6 +278,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that share an id are one document with several texts, linked if one of
     them is. Other columns are not looked at.
     """
+    small_batches(docs)
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("version"),
@@ -241,32 +291,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = worded.join(first.select(*same, "first"), same).where("id != first").select(F.col("first").alias("u"), _ids("v"))
 
     one = first.select(F.col("first").alias("id"), "version")
-    entries = worded.join(one, ["id", "version"], "left_semi").select("id", F.posexplode("bands").alias("band", "value"))
-    entries = entries.select("id", F.xxhash64("band", "value").alias("bucket"))
+    n = F.greatest(F.col("n_words") - (shingle - 1), F.lit(1)).alias("n")         # how many shingles
+    entries = worded.join(one, ["id", "version"], "left_semi").select("id", n, F.posexplode("bands").alias("band", "value"))
+    entries = entries.select("id", "n", F.xxhash64("band", "value").alias("bucket"))
     shared = store(entries.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a != b").select("bucket"), "buckets")
     members = store(entries.join(shared, "bucket").distinct(), "members")
 
     wanted = one.join(members.select("id").distinct(), "id", "left_semi")
     texts = rows.join(wanted.hint("shuffle_hash"), ["id", "version"], "left_semi").select("id", "text")
-    sequences = store(texts.mapInArrow(_sequences(shingle), "id long, seq array<int>").withColumn("n", F.size("seq")), "sequences")
-
-    links = copies.limit(0)
-    part = members.withColumn("component", F.col("id"))
-    for turn in range(HUB_ROUNDS):
-        order = F.struct(F.xxhash64("id", F.lit(turn)), "id", "component")
-        hubs = part.groupBy("bucket").agg(F.min(order).alias("hub"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-        hubs = store(hubs.where("c0 != c1").select("bucket", F.col("hub.id").alias("hub"), F.col("hub.component").alias("c")), "hubs")
-        pairs = (part.join(hubs, "bucket").where("component != c")
-                 .select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct())
-        links = store(links.union(_links(pairs, sequences, threshold)), "links")
-        part = store(members.join(components(links), "id", "left").select("id", "bucket", F.coalesce("component", "id").alias("component")), "parts")
-    # Whatever is still apart in a bucket is compared: pairs of components first, then their members.
-    apart = store(part.select("bucket", "component").distinct(), "apart")
-    sides = apart.withColumnRenamed("component", "cu").join(apart.withColumnRenamed("component", "cv"), "bucket").where("cu < cv")
-    pairs = (sides.join(part.select("bucket", F.col("component").alias("cu"), _ids("u")), ["bucket", "cu"])
-             .join(part.select("bucket", F.col("component").alias("cv"), _ids("v")), ["bucket", "cv"])
-             .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    links = store(links.union(_links(pairs, sequences, threshold)).union(copies), "links")
+    sequences = store(texts.mapInArrow(_sequences(shingle), "id long, seq array<int>"), "sequences")
+
+    def near(a: str, b: str) -> Column:
+        """Sequences of very different length need no comparison."""
+        return F.least(a, b) >= F.lit(threshold) * F.greatest(a, b) - 1e-9
+
+    first_of = F.min(F.struct(F.xxhash64("id"), "id", "n"))
+    hubs = store(members.groupBy("bucket").agg(first_of["id"].alias("hub"), first_of["n"].alias("hub_n")), "hubs")
+    pairs = (members.join(hubs, "bucket").where((F.col("id") != F.col("hub")) & near("n", "hub_n"))
+             .select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct())
+    links = store(_links(pairs, sequences, threshold), "links")
+    part = store(members.join(components(links), "id", "left").select("id", "n", "bucket", F.coalesce("component", "id").alias("component")), "parts")
+    # Whatever is still apart in a bucket is compared.
+    mixed = part.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    mixed = store(mixed.where("c0 != c1").select("bucket", "size"), "mixed")
+    rest = store(part.join(mixed, "bucket"), "rest")
+    few, many = rest.where(F.col("size") <= SMALL), rest.where(F.col("size") > SMALL)
+    pairs = (few.select("bucket", _ids("u"), F.col("n").alias("nu"), F.col("component").alias("cu"))
+             .join(few.select("bucket", _ids("v"), F.col("n").alias("nv"), F.col("component").alias("cv")), "bucket")
+             .where(F.expr("u < v AND cu != cv") & near("nu", "nv")).select("u", "v").distinct())
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    placed = many.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    units = placed.select("bucket", "id", "component", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
+    close = (units.join(sequences.select("id", "seq"), "id").groupBy("bucket", "first", "second")
+             .applyInPandas(_unit(threshold), "u long, v long"))
+    links = store(links.union(_links(pairs, sequences, threshold)).union(close).union(copies), "links")
     groups = components(links).select(_ids("member"), "component")
     group = F.coalesce("component", "id")
     return (sketched.select("id").join(groups, F.col("id") == F.col("member"), "left")
