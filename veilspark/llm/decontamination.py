@@ -27,6 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilspark.llm import text as T
+from veilspark.llm.tables import small_batches
 from veilspark.session import store
 
 WINDOW = 13
@@ -144,6 +145,7 @@ def _filter(items: DataFrame) -> np.ndarray:
 def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
          item_text_col: str = "text", window: int = WINDOW, k: int = K) -> tuple[DataFrame, DataFrame]:
     """(documents: id, row, n_words; hits: row, item, first, last) with word positions, last exclusive."""
+    small_batches(docs)
     if not 1 <= k <= window:
         raise ValueError("k must be from 1 to window")
     benchmark = items.select(F.col(item_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"),

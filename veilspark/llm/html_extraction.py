@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.llm.tables import small_batches
 from veilspark.session import store
 
 PER_HOST = 8
@@ -318,6 +319,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     Null and empty pages give an empty text; pages without a host share one
     wrapper. Repeated rows are extracted each for itself; other columns are not looked at.
     """
+    small_batches(pages)
     known = wrappers(pages, id_col, url_col, html_col, per_host).where(F.size("fixed") > 0).select(F.col("host").alias("known_host"), "fixed")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"),
                         F.col(html_col).cast("string").alias("page"), _host(url_col).alias("host"))

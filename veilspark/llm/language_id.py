@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm import text as T
+from veilspark.llm.tables import small_batches
 
 BUCKETS = 1 << 12
 SAMPLE_ROWS = 2400
@@ -198,6 +199,7 @@ def identify(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_
     any, every text is ``und``. Repeated rows are predicted each for itself. A tie between
     languages goes to the first in alphabetical order.
     """
+    small_batches(docs)
     model = fit(training, text_col, lang_col, id_col, sample_rows)
     new = ["lang_pred", "score", "ambiguous"]
     kept = [c for c in docs.columns if c not in new]

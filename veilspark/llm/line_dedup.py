@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
+from veilspark.llm.tables import small_batches
 from veilspark.session import store
 
 MIN_WORDS = 50
@@ -85,6 +86,7 @@ def _select(min_words: int):
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    min_words: int = MIN_WORDS) -> DataFrame:
     """(id, version, first, last): line ranges that repeat an earlier run. version is xxhash64 of the text."""
+    small_batches(docs)
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("version"),
                         F.col(text_col).alias("text")).where("text IS NOT NULL AND id IS NOT NULL")
     found = store(keyed.mapInArrow(_select(min_words), _FOUND), "line-fingerprints")

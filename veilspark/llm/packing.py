@@ -28,6 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilspark.llm import text as T
+from veilspark.llm.tables import small_batches
 from veilspark.session import store
 
 LENGTH = 2048
@@ -213,6 +214,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     text is empty: its document is the end token alone. Repeated rows, and rows
     that share an id or have none, are packed each for itself. Other columns are not looked at.
     """
+    small_batches(docs)
     if not 0 < size < 1 << 20:
         raise ValueError("size must be from 1 to 1048575")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"),

@@ -51,8 +51,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learned from labelled documents outside the held-out fifth."""
     docs = table(spark, sf_dir, "documents").withColumn("held_out", bucket("doc_id", 5) == 0)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    training = docs.where("NOT held_out").select("doc_id", "text", "lang").join(labels, "doc_id")
-    return toxicity.score_documents(docs, training).select("doc_id", "held_out", "score", "predicted")
+    return toxicity.score_documents(docs, docs.where("NOT held_out"), labels).select("doc_id", "held_out", "score", "predicted")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm import text as T
+from veilspark.llm.tables import small_batches
 
 try:                                    # the public name since Python 3.11 is re._parser
     from re import _constants as _c
@@ -214,6 +215,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, id_col: str =
     overlap, and spans are in order of start, then of the rules. Null texts are
     empty and have no spans. Repeated rows are scanned each for itself; other columns are not read.
     """
+    small_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     found = rows.mapInArrow(_scan(tuple(rules)), "id long, found array<struct<kind: string, start: int, end: int>>")
     return found.select(F.col("id").alias(id_col), "found")

@@ -10,6 +10,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+TEXTS_PER_BATCH = 512     # of texts handed to a Python worker at once; by default it would be 10,000, however long they are
+
+
+def small_batches(df: DataFrame) -> None:
+    """Bounds the memory of Python workers that read texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS_PER_BATCH))
+
+
 def bucket(column: str, parts: int) -> Column:
     """crc32 of the id as text, modulo parts."""
     return F.crc32(F.col(column).cast("string")) % parts
