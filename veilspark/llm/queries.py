@@ -99,4 +99,19 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op2_decontamination": _OP2}
+_OP9 = """
+WITH RECURSIVE vectors AS (
+    SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS size
+    FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+    WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+links AS (
+    SELECT a.vec_id AS u, b.vec_id AS v FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE a.size > 0 AND b.size > 0 AND list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.98),
+reached AS (
+    SELECT vec_id, vec_id AS other FROM embeddings
+    UNION SELECT reached.vec_id, links.v FROM reached JOIN links ON reached.other = links.u),
+parts AS (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id)
+SELECT vec_id, (SELECT count(*) FROM links WHERE u = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM parts
+"""
+
+SQL: dict[str, str] = {"op2_decontamination": _OP2, "op9_vector_dedup": _OP9}
