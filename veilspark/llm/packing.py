@@ -32,7 +32,7 @@ from veilspark.llm.tables import small_batches
 from veilspark.session import store
 
 LENGTH = 2048
-CACHED_WORDS = 300_000      # token ids kept for so many different words in each Python worker
+CACHED_WORDS = 200_000      # token ids kept for up to twice so many different words in each Python worker
 
 _SCHEMA = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
                      ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -97,6 +97,7 @@ class Encoder:
 
 def _pieces(path: str, end_id: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()       # a worker that served an earlier stage gives back what that took
         encoder = Encoder(path)
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
