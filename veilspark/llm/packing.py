@@ -32,7 +32,7 @@ from veilspark.llm.tables import small_batches
 from veilspark.session import store
 
 LENGTH = 2048
-CACHED_WORDS = 200_000      # token ids kept for up to twice so many different words in each Python worker
+CACHED_WORDS = 300_000      # token ids kept for up to twice so many different words in each Python worker
 
 _SCHEMA = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
                      ("length", pa.int64()), ("ids_crc32", pa.int64())])
