@@ -66,6 +66,17 @@ def test_other_sizes(frame, spark, window, k):
     assert digest(rows) == {i: (a, b, c, e) for i, (a, b, c, _, e) in brute(docs, items, window).items()}
 
 
+def test_short_items_of_every_length_are_found_everywhere(frame, spark):
+    """Also those of exactly k words, which winnowing would keep at window minima only."""
+    items = [(n, " ".join(f"s{n}_{j}" for j in range(n))) for n in range(1, 14)]
+    docs = [(100 * n + pad, " ".join([*(f"p{j}" for j in range(pad)), text, *(f"q{j}" for j in range(pad))]))
+            for n, text in items for pad in (0, 1, 3, 40)]
+    docs.append((9000, items[5][1] + " x " + items[5][1]))
+    rows = D.contamination(frame(docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert digest(rows) == {i: (a, b, c, e) for i, (a, b, c, _, e) in brute(docs, items).items()}
+    assert all(r["n_items"] == 1 for r in rows)
+
+
 def test_repeated_rows_clashing_columns_and_no_rows(frame, spark):
     items = spark.createDataFrame([(1, ITEM, "a")], "item_id long, text string, hash string")
     rows = [(1, ITEM, "r", "i"), (1, ITEM, "r", "i"), (None, ITEM, None, None)]

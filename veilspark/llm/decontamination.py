@@ -9,8 +9,9 @@ the one with the smallest hash is kept, so that every shared span of ``window``
 words holds a kept k-gram. Kept k-grams are joined with all k-grams of the items
 and each match is extended word by word in both directions, which also checks
 it; an extension of at least ``window`` words is a hit. Items too short for the
-guarantee are joined by the hash of their whole text instead, of which there are
-as many kinds as there are such lengths.
+guarantee are joined by the hash of their whole text instead, at every position
+of a document, of which there are as many kinds as there are such lengths. Their
+hashes are salted apart from those of k-grams, also where they have k words.
 
 Before the join, a bit table of fixed size over the items' hashes drops document
 k-grams that no item can match. It only saves work: a false bit costs a row.
@@ -59,24 +60,27 @@ def _grams(words: T.Words, lengths: list[int], k: int, window: int, winnow: bool
     """(hash, first word, number of words) of the grams to look up; lengths are those of whole short items."""
     owner = T.owners(words.bounds)
     found = []
-    for n in sorted({k, *lengths}):
+    for n, short in [(k, False), *((n, True) for n in sorted(set(lengths)))]:
         value = T.grams(words.hash, n)
         if not len(value):
             continue
         inside = owner[:len(value)] == owner[n - 1:n - 1 + len(value)]
-        if n == k and winnow:
+        if winnow and not short:
             at = kept(np.where(inside, value, np.uint64(2**64 - 1)), _grams_owner(owner, inside), window - k + 1)
             at = at[inside[at]]
-        elif n == k or winnow:
-            at = np.flatnonzero(inside)
         else:
-            continue
-        found.append((value[at] + np.uint64(n), at, np.full(len(at), n)))
+            at = np.flatnonzero(inside)
+        found.append((value[at] + _salt(n, window if short else 0), at, np.full(len(at), n)))
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(parts) for parts in zip(*found, strict=True))
 
 
+def _salt(n: int, kind: int) -> np.uint64:
+    """Keeps the hashes of k-grams (kind 0) and of whole short items (kind: the window) apart."""
+    return np.uint64(n + kind)
+
+
 def _grams_owner(owner: np.ndarray, inside: np.ndarray) -> np.ndarray:
     return np.where(inside, owner[:len(inside)], -1 - np.arange(len(inside)))
 
@@ -124,7 +128,7 @@ def _item_grams(k: int, window: int):
                 parts = [(value[long], at[long], size[long])]
                 for t in np.flatnonzero((counts > 0) & (counts < window)):
                     n, first = int(counts[t]), int(words.bounds[t])
-                    short.append((int(T.grams(words.hash[first:first + n], n)[0] + np.uint64(n)), first, n))
+                    short.append((int(T.grams(words.hash[first:first + n], n)[0] + _salt(n, window)), first, n))
                 if short:
                     parts.append((np.array([s[0] for s in short], np.uint64), np.array([s[1] for s in short]), np.array([s[2] for s in short])))
                 value, at, size = (np.concatenate(p) for p in zip(*parts, strict=True))
