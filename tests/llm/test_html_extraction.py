@@ -66,3 +66,13 @@ def test_frames(spark):
     assert len(got) == len(rows)
     assert {r["page_id"]: r["text"] for r in got if r["page_id"] is not None} == {**{i: f"text {i}" for i in range(30)}, 30: "", 31: ""}
     assert H.main_text(made.limit(0)).count() == 0
+
+
+def test_names_count_whole_and_never_on_what_holds_the_article():
+    for page in ('<body class="single-post has-sidebar"><div id="content" class="with-sidebar"><article class="post comment-open"><p>All</p></article></div>',
+                 '<body class="has-sidebar"><p>All</p>', '<html class="cookie"><body id="form"><main class="no-banner"><p>All</p></main>',
+                 '<body><div class="widget"><article class="comment"><p>All</p></article></div>', '<body><div id="main-nav">x</div><div><p>All</p></div>'):
+        assert H.extract(page) == "All", page
+    assert H.extract('<article><p>All</p></article><div id="comments"><article>First!</article></div>') == "All"
+    assert H.extract('<div><p>A story</p></div><div id="comments"><article>First!</article></div>') == "A story"
+    assert H.extract('<div><p>All</p></div><div class="site-footer">x</div><div class="share-buttons">x</div><div class="x sidebar">x</div>') == "All"

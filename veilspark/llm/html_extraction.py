@@ -20,6 +20,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -53,7 +54,11 @@ _OUTSIDE_NAMES = frozenset(
     "alert popup modal overlay newsletter subscribe subscription signup login search social share sharing comment comments disqus reply "
     "replies respond discussion related recommended recommendations widget pagination pager skip copyright legal disclaimer complementary "
     "contentinfo form".split())
-_MAIN_NAMES = frozenset("main article articlebody".split())
+# What a class name may have beside those: site-header, share-buttons; but not has-sidebar or comment-open.
+_BESIDE = frozenset("site page top bottom left right main global primary secondary box bar wrap wrapper container inner outer list links "
+                    "link buttons button icons area block section item items mobile desktop post posts articles stories news".split())
+_NEVER_OUTSIDE = frozenset("html body main article".split())
+_MAIN_NAMES = frozenset("main article article-body articlebody article-content article-text main-content main-text main-article".split())
 
 
 @dataclass
@@ -71,8 +76,8 @@ def _signature(name: str, attributes: str) -> str:
     names = []
     for m in _ATTRIBUTE.finditer(attributes):
         if m[1].lower() in ("class", "id", "role", "itemprop"):
-            names += re.findall(r"[a-z]+", (m[2] or m[3] or m[4] or "").lower())
-    return name + "".join("." + n for n in dict.fromkeys(names))
+            names += ["-".join(re.findall(r"[a-z]+", n)) for n in (m[2] or m[3] or m[4] or "").lower().split()]
+    return name + "".join("." + n for n in dict.fromkeys(names) if n)
 
 
 def tokens(page: str) -> Iterator[tuple[str, str]]:
@@ -223,12 +228,19 @@ def expression(node: Node) -> str:
     return f"({inner}){mark}" if mark else inner
 
 
+@lru_cache(maxsize=10_000)
 def outside(signature: str) -> bool:
-    """Whether an element is no part of an article, by its names."""
+    """Whether an element is no part of an article, by its names: whole class names, never those of main elements."""
     name, *classes = signature.split(".")
-    return name in _OUTSIDE or bool(_OUTSIDE_NAMES.intersection(classes))
+    if name in _OUTSIDE:
+        return True
+    if name in _NEVER_OUTSIDE:
+        return False
+    parts = [set(c.split("-")) for c in classes]
+    return any(p & _OUTSIDE_NAMES and p <= _OUTSIDE_NAMES | _BESIDE for p in parts)
 
 
+@lru_cache(maxsize=10_000)
 def main(signature: str) -> bool:
     name, *classes = signature.split(".")
     return name in ("article", "main") or bool(_MAIN_NAMES.intersection(classes))
@@ -250,36 +262,41 @@ def template_paths(wrapper: Node) -> list[str]:
 
 
 def extract(page: str | None, fixed: frozenset[str] = frozenset()) -> str:
-    """The main text of a page: its article elements, or where it has none what is neither outside nor fixed in the template."""
+    """The main text of a page: its article elements, or where it has none what is neither outside nor fixed.
+
+    The names of what surrounds an article count only where other articles, or more text, stand outside such surroundings.
+    """
     if not page:
         return ""
     inside: list[list[str]] = [[]]
+    enclosed: list[list[str]] = [[]]
     other: list[list[str]] = [[]]
     has_main = False
-    checked: dict[str, tuple[bool, bool]] = {}
     for kind, stack, value in walk(page):
         if kind == "text":
-            drop = article = False
+            drop = around = article = False
             for s in stack:
-                flags = checked.get(s)
-                if flags is None:
-                    flags = checked[s] = (outside(s), main(s))
-                drop |= flags[0]
-                article |= flags[1]
-            if drop:
+                if main(s):
+                    around, article, drop = around or drop, True, False
+                elif not drop:
+                    drop = outside(s)
+            if drop or (fixed and not article and ''.join('>' + s for s in stack) in fixed):
                 continue
-            if article:
-                has_main = True
-                inside[-1].append(value)
-            elif not fixed or "".join(">" + s for s in stack) not in fixed:
-                other[-1].append(value)
+            (other if not article else enclosed if around else inside)[-1].append(value)
+            has_main |= article and not around
         elif kind == "raw" or value.split(".", 1)[0] not in _INLINE:
-            inside.append([])
-            other.append([])
+            for blocks in (inside, enclosed, other):
+                blocks.append([])
             if kind == "start" and main(value):
                 has_main = has_main or not any(outside(s) for s in stack)
-    blocks = (_SPACE.sub(" ", "".join(b)).strip() for b in (inside if has_main else other))
-    return " ".join(b for b in blocks if b)
+    if has_main:
+        return _joined_text(inside)
+    return max(_joined_text(other), _joined_text(enclosed), key=len)
+
+
+def _joined_text(blocks: list[list[str]]) -> str:
+    found = (_SPACE.sub(" ", "".join(b)).strip() for b in blocks)
+    return " ".join(b for b in found if b)
 
 
 def _wrapper(frame: pd.DataFrame) -> pd.DataFrame:
