@@ -76,3 +76,21 @@ def test_names_count_whole_and_never_on_what_holds_the_article():
     assert H.extract('<article><p>All</p></article><div id="comments"><article>First!</article></div>') == "All"
     assert H.extract('<div><p>A story</p></div><div id="comments"><article>First!</article></div>') == "A story"
     assert H.extract('<div><p>All</p></div><div class="site-footer">x</div><div class="share-buttons">x</div><div class="x sidebar">x</div>') == "All"
+
+
+def extracted(spark, pages, parts=3):
+    made = spark.createDataFrame([(i, "http://h/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in sorted(H.main_text(made.repartition(parts)).collect(), key=lambda r: r["page_id"])]
+
+
+def test_a_template_needs_all_pages_and_equal_texts(spark):
+    page = "<div><h2>T</h2><p>one paragraph</p></div>"
+    assert extracted(spark, [page] * 2) == ["T one paragraph"] * 2
+    assert extracted(spark, [f"<!-- {k} --><nav>menu {k}</nav>{page}" for k in range(20)]) == ["T one paragraph"] * 20    # copies
+    # A heading that differs on few of many pages stays everywhere; a motto that never does goes.
+    pages = [f"<h2>{'Same' if k < 50 else f'Heading {k}'}</h2><b>Motto</b><div><p>Story {k}</p></div>" for k in range(62)]
+    pages = [p.replace("<b>Motto</b>", "<div class='x'>Motto</div>") for p in pages]
+    want = [f"{'Same' if k < 50 else f'Heading {k}'} Story {k}" for k in range(62)]
+    assert extracted(spark, pages) == want == extracted(spark, pages, 11)
+    deep = "<div>" * 3000 + "deep"
+    assert extracted(spark, [deep, *pages])[0] == "deep"

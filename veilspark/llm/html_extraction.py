@@ -1,16 +1,17 @@
 """Main text of web pages by wrappers inferred for each host.
 
 Method: union-free regular-expression inference. A page's token stream is read
-as nested elements; runs of alike siblings become one repeated group. The
-streams of a host's sample pages are aligned one after another with the wrapper
-so far: equal tokens stay, different texts become text slots, and tokens that
-one side lacks become optional groups. The wrapper says which parts hold the
-article and which only the text of the template; it is then applied to every
-page of the host.
-
-The sample is bounded: at most ``per_host`` pages of each host, chosen by a hash
-of the id. Parts of a page that its host's wrapper has not seen are judged by
-their element and class names alone.
+as nested elements; runs of alike siblings become one repeated group, which
+keeps a digest of what it held. The streams of all pages of a host are aligned
+with the wrapper so far: equal tokens stay, different texts become text slots,
+and tokens that one side lacks become optional groups. Partial wrappers of the
+parts of the input are merged in a tree.
+
+A group is template where it has the same content on every page that has it, or
+one of at most ``VARIANTS`` contents, and each content stands on at least
+``SUPPORT`` pages that differ in their other text; copies of a page count once.
+A page loses a group only where its content is the template's. Groups that the
+wrapper does not settle are judged by their element and class names.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from hashlib import blake2b
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +32,11 @@ from pyspark.sql import functions as F
 from veilspark.llm.tables import small_batches
 from veilspark.session import store
 
-PER_HOST = 8
+SUPPORT = 3
+VARIANTS = 8
+WIDE = 64           # longer lists of children lose their order: one group for each name
+DEPTH = 100         # elements further down are compared only as a whole
+SALTS = 16
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*"|'[^']*'|[^>"'])*+)>""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
@@ -70,6 +75,10 @@ class Node:
     value: str | None = None
     optional: bool = False
     repeated: bool = False
+    #: Content digest -> the smallest SUPPORT digests of pages that have it; None: too many contents.
+    seen: dict[str, list[str]] | None = field(default_factory=dict)
+    digest: str = ""
+    number: int = -1        # of a text, in page order
 
 
 def _signature(name: str, attributes: str) -> str:
@@ -147,6 +156,7 @@ def parse(page: str) -> Node:
     """The page as nested elements with texts, white space collapsed."""
     root = Node("")
     open_nodes = [root]
+    number = -1
     for kind, stack, value in walk(page):
         del open_nodes[len(stack) + (kind != "start"):]
         if kind == "start":
@@ -155,9 +165,10 @@ def parse(page: str) -> Node:
             open_nodes[-1].children.append(node)
             open_nodes.append(node)
         elif kind == "text":
+            number += 1
             text = _SPACE.sub(" ", value).strip()
             if text:
-                open_nodes[-1].children.append(Node("", value=text))
+                open_nodes[-1].children.append(Node("", value=text, number=number))
         elif kind == "void":
             open_nodes[-1].children.append(Node(value))
     return root
@@ -167,11 +178,62 @@ def _key(node: Node) -> str:
     return node.name or "#"
 
 
+def _digest(parts) -> str:
+    return blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
+def _sign(root: Node) -> None:
+    """Sets the digest of every node: its name and all that it holds."""
+    for node in _leaves_first(root):
+        node.digest = _digest([node.name, node.value or "", *(c.digest for c in node.children)])
+
+
+def _leaves_first(root: Node) -> list[Node]:
+    out, todo = [], [root]
+    while todo:
+        out.append(todo.pop())
+        todo += out[-1].children
+    return out[::-1]
+
+
+def _runs(children: list[Node]) -> Iterator[tuple[list[Node], str]]:
+    """Neighbours of one name, with the digest of the whole run."""
+    at = 0
+    while at < len(children):
+        end = at + 1
+        while end < len(children) and _key(children[end]) == _key(children[at]):
+            end += 1
+        yield children[at:end], children[at].digest if end == at + 1 else _digest(c.digest for c in children[at:end])
+        at = end
+
+
+def _essence(root: Node) -> str:
+    """Digest of the texts that the names leave: pages that differ only in menus or adverts are copies."""
+    texts, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.value is not None:
+            texts.append(node.value)
+        elif not node.name or not outside(node.name):
+            todo += node.children[::-1]
+    return _digest(texts)
+
+
+def _together(a: dict | None, b: dict | None) -> dict | None:
+    if a is None or b is None:
+        return None
+    out = dict(a)
+    for content, pages in b.items():
+        out[content] = sorted({*out.get(content, ()), *pages})[:SUPPORT]
+    return out if len(out) <= VARIANTS else None
+
+
 def merge(a: Node, b: Node) -> Node:
     """The least general wrapper of two nodes with the same name."""
+    optional, repeated, seen = a.optional or b.optional, a.repeated or b.repeated, _together(a.seen, b.seen)
     if not a.name and not a.children and not b.children:
-        return Node("", value=a.value if a.value == b.value else None, optional=a.optional or b.optional, repeated=a.repeated or b.repeated)
-    return Node(a.name, align(a.children, b.children), None, a.optional or b.optional, a.repeated or b.repeated)
+        return Node("", [], a.value if a.value == b.value else None, optional, repeated, seen)
+    return Node(a.name, align(a.children, b.children), None, optional, repeated, seen)
 
 
 def collapse(node: Node) -> Node:
@@ -183,40 +245,85 @@ def collapse(node: Node) -> Node:
             out[-1].repeated = True
         else:
             out.append(child)
-    return Node(node.name, out, node.value, node.optional, node.repeated)
+    return Node(node.name, out, node.value, node.optional, node.repeated, node.seen)
 
 
 def align(a: list[Node], b: list[Node]) -> list[Node]:
     """Children of both in one order: matched ones merged, the others optional (a longest common subsequence by name)."""
+    left, right = [_key(x) for x in a], [_key(x) for x in b]
+    if left == right:
+        return [merge(x, y) for x, y in zip(a, b, strict=True)]
     n, m = len(a), len(b)
-    best = np.zeros((n + 1, m + 1), dtype=np.int32)
+    if max(n, m) > WIDE:
+        return _unordered(a + b)
+    best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
+        row, below = best[i], best[i + 1]
         for j in range(m - 1, -1, -1):
-            best[i, j] = best[i + 1, j + 1] + 1 if _key(a[i]) == _key(b[j]) else max(best[i + 1, j], best[i, j + 1])
+            row[j] = below[j + 1] + 1 if left[i] == right[j] else max(below[j], row[j + 1])
     out, i, j = [], 0, 0
     while i < n or j < m:
-        if i < n and j < m and _key(a[i]) == _key(b[j]):
+        if i < n and j < m and left[i] == right[j]:
             out.append(merge(a[i], b[j]))
             i, j = i + 1, j + 1
-        elif j >= m or (i < n and best[i + 1, j] >= best[i, j + 1]):
-            out.append(Node(a[i].name, a[i].children, a[i].value, True, a[i].repeated))
+        elif j >= m or (i < n and best[i + 1][j] >= best[i][j + 1]):
+            out.append(_optional(a[i]))
             i += 1
         else:
-            out.append(Node(b[j].name, b[j].children, b[j].value, True, b[j].repeated))
+            out.append(_optional(b[j]))
             j += 1
-    return out
+    return out if len(out) <= WIDE else _unordered(out)
+
+
+def _optional(node: Node) -> Node:
+    return Node(node.name, node.children, node.value, True, node.repeated, node.seen)
+
+
+def _unordered(nodes: list[Node]) -> list[Node]:
+    """One optional repeated group for each name, in the order of names."""
+    groups: dict[str, Node] = {}
+    for node in nodes:
+        known = groups.get(_key(node))
+        groups[_key(node)] = _optional(node if known is None else merge(known, node))
+        groups[_key(node)].repeated |= known is not None
+    return [groups[k] for k in sorted(groups)]
+
+
+def _stream(page: str) -> Node:
+    """A page's elements with every run of alike siblings as one group that knows its content."""
+    root = parse(page)
+    _sign(root)
+    page_digest = _essence(root)
+    level = [root]
+    for _ in range(DEPTH):
+        level = [c for node in level for c in node.children]
+    for node in level:
+        node.children = []
+    for node in _leaves_first(root):
+        out = []
+        for run, digest in _runs(node.children):
+            group = run[0]
+            for other in run[1:]:
+                group = merge(group, other)
+            group.repeated = len(run) > 1
+            group.seen = {digest: [page_digest]}
+            out.append(group)
+        node.children = out
+    return root
 
 
 def infer(pages: list[str]) -> Node:
     """The wrapper of some pages of one host, aligned one after another."""
     wrapper = None
     for page in pages:
-        stream = collapse(parse(page))
-        wrapper = stream if wrapper is None else merge(wrapper, stream)
-        wrapper = collapse(wrapper)
+        wrapper = _joined(wrapper, _stream(page))
     return wrapper if wrapper is not None else Node("")
 
 
+def _joined(wrapper: Node | None, other: Node) -> Node:
+    return other if wrapper is None else collapse(merge(wrapper, other))
+
+
 def expression(node: Node) -> str:
     """A wrapper as a regular expression: # is a text slot, other texts are quoted."""
     if not node.name and not node.children:
@@ -246,41 +353,72 @@ def main(signature: str) -> bool:
     return name in ("article", "main") or bool(_MAIN_NAMES.intersection(classes))
 
 
+def _phrase(node: Node) -> bool:
+    return not node.name or node.name.split(".", 1)[0] in _INLINE
+
+
 def template_paths(wrapper: Node) -> list[str]:
-    """Paths of texts that are the same on all sample pages and lie outside any article."""
-    fixed, free = set(), set()
+    """Path and content of every group that belongs to the template.
 
-    def visit(node: Node, path: str) -> None:
+    Texts and inline elements count only together with all others of their element: a sentence is not cut.
+    """
+    found = set()
+    todo = [(wrapper, "")]
+    while todo:
+        node, path = todo.pop()
+        constant = [c for c in node.children if c.seen and all(len(p) >= SUPPORT for p in c.seen.values())]
+        sure = set(map(id, constant))
+        whole = all(id(c) in sure for c in node.children if _phrase(c))
         for child in node.children:
-            if child.name:
-                if not main(child.name):
-                    visit(child, f"{path}>{child.name}")
-            else:
-                (free if child.value is None else fixed).add(path)
-    visit(wrapper, "")
-    return sorted(fixed - free)
+            if id(child) in sure and (whole or not _phrase(child)):
+                found.update(f"{path}>{_key(child)}={content}" for content in child.seen)
+            elif not _phrase(child):
+                todo.append((child, f"{path}>{_key(child)}"))
+    return sorted(found)
+
+
+def template_texts(page: str, fixed: frozenset[str]) -> set[int]:
+    """Numbers of the page's texts that lie in groups of the template."""
+    root = parse(page)
+    _sign(root)
+    gone: set[int] = set()
+    todo = [(root, "")]
+    while todo:
+        node, path = todo.pop()
+        runs = [(run, f"{path}>{_key(run[0])}", digest) for run, digest in _runs(node.children)]
+        whole = all(f"{at}={digest}" in fixed for run, at, digest in runs if _phrase(run[0]))
+        for run, at, digest in runs:
+            if f"{at}={digest}" in fixed and (whole or not _phrase(run[0])):
+                gone.update(x.number for top in run for x in _leaves_first(top) if x.number >= 0)
+            elif not _phrase(run[0]):
+                todo += [(x, at) for x in run]
+    return gone
 
 
 def extract(page: str | None, fixed: frozenset[str] = frozenset()) -> str:
-    """The main text of a page: its article elements, or where it has none what is neither outside nor fixed.
+    """The main text of a page without its template: its article elements, or where it has none what is not outside.
 
     The names of what surrounds an article count only where other articles, or more text, stand outside such surroundings.
     """
     if not page:
         return ""
+    gone = template_texts(page, fixed) if fixed else ()
     inside: list[list[str]] = [[]]
     enclosed: list[list[str]] = [[]]
     other: list[list[str]] = [[]]
-    has_main = False
+    has_main, number = False, -1
     for kind, stack, value in walk(page):
         if kind == "text":
+            number += 1
+            if number in gone:
+                continue
             drop = around = article = False
             for s in stack:
                 if main(s):
                     around, article, drop = around or drop, True, False
                 elif not drop:
                     drop = outside(s)
-            if drop or (fixed and not article and ''.join('>' + s for s in stack) in fixed):
+            if drop:
                 continue
             (other if not article else enclosed if around else inside)[-1].append(value)
             has_main |= article and not around
@@ -299,22 +437,53 @@ def _joined_text(blocks: list[list[str]]) -> str:
     return " ".join(b for b in found if b)
 
 
+def _pack(node: Node) -> list:
+    return [node.name, node.value, node.optional, node.repeated, node.seen, [_pack(c) for c in node.children]]
+
+
+def _unpack(row: list) -> Node:
+    return Node(row[0], [_unpack(c) for c in row[5]], row[1], row[2], row[3], row[4])
+
+
+def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Wrappers of the pages of each host in a part of the input."""
+    found: dict[str, Node] = {}
+
+    def emit() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"host": list(found), "part": [json.dumps(_pack(w)) for w in found.values()]},
+                                          schema=pa.schema([("host", pa.string()), ("part", pa.string())]))
+    for batch in batches:
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found[host] = _joined(found.get(host), _stream(page))
+        if len(found) > 256:
+            yield emit()
+            found.clear()
+    if found:
+        yield emit()
+
+
+def _merged(frame: pd.DataFrame) -> Node:
+    wrapper = None
+    for part in sorted(frame["part"]):
+        wrapper = _joined(wrapper, _unpack(json.loads(part)))
+    return wrapper
+
+
+def _part(frame: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"host": frame["host"].iloc[:1], "part": [json.dumps(_pack(_merged(frame)))]})
+
+
 def _wrapper(frame: pd.DataFrame) -> pd.DataFrame:
-    ordered = frame.sort_values("id", kind="stable")
-    wrapper = infer([p for p in ordered["page"] if p])
-    fixed = template_paths(wrapper) if len(ordered) > 1 else []
-    return pd.DataFrame({"host": frame["host"].iloc[:1], "expression": expression(wrapper), "fixed": [fixed]})
+    wrapper = _merged(frame)
+    return pd.DataFrame({"host": frame["host"].iloc[:1], "expression": expression(wrapper), "fixed": [template_paths(wrapper)]})
 
 
-def wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", per_host: int = PER_HOST) -> DataFrame:
-    """(host, expression, fixed): the wrapper of each host from at most per_host of its pages."""
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), _host(url_col).alias("host"), F.col(html_col).cast("string").alias("page")
-                        ).where("page IS NOT NULL AND id IS NOT NULL")
-    dice = F.xxhash64("id")
-    picked = rows.groupBy("host", F.pmod(dice, F.lit(per_host)).alias("n")).agg(F.min(F.struct(dice.alias("dice"), "id")).alias("first"))
-    picked = store(picked.select("host", F.col("first.id").alias("id")), "sample-pages")
-    sample = rows.join(picked.hint("shuffle_hash"), ["host", "id"], "left_semi").dropDuplicates(["host", "id"])
-    return store(sample.groupBy("host").applyInPandas(_wrapper, "host string, expression string, fixed array<string>"), "wrappers")
+def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, expression, fixed): the wrapper of each host from all of its pages, and its template."""
+    rows = pages.select(_host(url_col).alias("host"), F.col(html_col).cast("string").alias("page")).where("page != ''")
+    parts = rows.mapInArrow(_partial, "host string, part string").withColumn("salt", F.pmod(F.xxhash64("part"), F.lit(SALTS)))
+    parts = parts.groupBy("host", "salt").applyInPandas(_part, "host string, part string")
+    return store(parts.groupBy("host").applyInPandas(_wrapper, "host string, expression string, fixed array<string>"), "wrappers")
 
 
 def _host(url_col: str):
@@ -330,14 +499,14 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["id", "url", "text", "n_chars"])
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", per_host: int = PER_HOST) -> DataFrame:
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, text, n_chars (code points of the text).
 
     Null and empty pages give an empty text; pages without a host share one
     wrapper. Repeated rows are extracted each for itself; other columns are not looked at.
     """
     small_batches(pages)
-    known = wrappers(pages, id_col, url_col, html_col, per_host).where(F.size("fixed") > 0).select(F.col("host").alias("known_host"), "fixed")
+    known = wrappers(pages, url_col, html_col).where(F.size("fixed") > 0).select(F.col("host").alias("known_host"), "fixed")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"),
                         F.col(html_col).cast("string").alias("page"), _host(url_col).alias("host"))
     joined = rows.join(known, F.col("host") == F.col("known_host"), "left").select("id", "url", "page", "fixed")
