@@ -94,3 +94,14 @@ def test_a_template_needs_all_pages_and_equal_texts(spark):
     assert extracted(spark, pages) == want == extracted(spark, pages, 11)
     deep = "<div>" * 3000 + "deep"
     assert extracted(spark, [deep, *pages])[0] == "deep"
+
+
+def test_groups_of_the_template_go_whatever_their_names():
+    def pages(body):
+        return [body.format(k=k, n=k * k, menu="<ul><li>Home<li>News<li>Shop</ul>" if k % 2 else "<ul><li>Home<li>Sport</ul>") for k in range(12)]
+    for body, want in (('<div class="x7">{menu}</div><div><h2>Head {k}</h2><p>First {n}<p>Second {k}</div>', "Head {k} First {n} Second {k}"),
+                       ('<article><div class="x7">{menu}</div><h2>Head {k}</h2><p>First {n}<p>Same</article>', "Head {k} First {n} Same"),
+                       ('<article><p>A <b>bold</b> word {k}</p><div><i>Rate</i> <i>Print</i></div></article>', "A bold word {k}")):
+        made = pages(body)
+        fixed = frozenset(H.template_paths(H.infer(made)))
+        assert [H.extract(p, fixed) for p in made] == [want.format(k=k, n=k * k) for k in range(12)]
