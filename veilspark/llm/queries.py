@@ -10,6 +10,7 @@ from veilspark.llm import (
     html_extraction,
     language_id,
     line_dedup,
+    mixing,
     near_dedup,
     packing,
     secret_scan,
@@ -69,9 +70,17 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; those labelled good or bad weigh more or less where only a part of a source is taken."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count("text").alias("size"))
+    weights = mixing.quality_weights(table(spark, sf_dir, "labels"))
+    mixed = mixing.mix(docs.join(weights, "doc_id", "left"), weight_col="weight")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_near_dedup, op2_decontamination, op3_line_dedup, op4_html_extraction, op5_best_fit_packing, op6_url_filter, op7_toxicity,
-    op8_language_id, op9_vector_dedup, op10_secret_scan)}
+    op8_language_id, op9_vector_dedup, op10_secret_scan, op11_mixing)}
 
 _OP2 = r"""
 WITH d AS (
@@ -114,4 +123,34 @@ parts AS (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id
 SELECT vec_id, (SELECT count(*) FROM links WHERE u = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM parts
 """
 
-SQL: dict[str, str] = {"op2_decontamination": _OP2, "op9_vector_dedup": _OP9}
+_OP11 = r"""
+WITH known AS (SELECT doc_id, max(CASE quality WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 END)::DOUBLE AS weight FROM labels GROUP BY doc_id),
+docs AS (
+    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+           -ln((('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+               / coalesce(weight, 1.0) AS k
+    FROM documents LEFT JOIN known USING (doc_id)),
+sources AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS s,
+           CAST([3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS w
+    FROM docs GROUP BY source),
+levels AS (
+    SELECT *, row_number() OVER (ORDER BY s / w, source NULLS LAST) AS i,
+           1.5 * sum(s) OVER () - 2.0 * coalesce(sum(s) OVER (ORDER BY s / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+               AS rest_size,
+           sum(w) OVER (ORDER BY s / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_w
+    FROM sources),
+opened AS (SELECT i, rest_size, rest_w FROM levels WHERE w * rest_size < 2.0 * s * rest_w ORDER BY i LIMIT 1),
+goals AS (
+    SELECT source, s, CASE WHEN i < coalesce((SELECT i FROM opened), 2147483647) THEN 2.0 * s
+                           ELSE w * (SELECT rest_size FROM opened)::DOUBLE / (SELECT rest_w FROM opened) END::DOUBLE AS target FROM levels),
+summed AS (
+    SELECT doc_id, size, s, target, CASE WHEN s > 0 THEN floor(target / s) ELSE 0 END AS epochs,
+           sum(size) OVER (PARTITION BY docs.source ORDER BY k, CAST(doc_id AS VARCHAR), size ROWS UNBOUNDED PRECEDING) - size AS before
+    FROM docs JOIN goals ON docs.source IS NOT DISTINCT FROM goals.source)
+SELECT doc_id, size, s AS source_size, target,
+       CAST(size * (epochs + CASE WHEN 2 * (target - epochs * s - before) > size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM summed
+"""
+
+SQL: dict[str, str] = {"op2_decontamination": _OP2, "op9_vector_dedup": _OP9, "op11_mixing": _OP11}
