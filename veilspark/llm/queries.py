@@ -9,6 +9,7 @@ from veilspark.llm import (
     decontamination,
     html_extraction,
     language_id,
+    lexical_search,
     line_dedup,
     mixing,
     near_dedup,
@@ -17,6 +18,7 @@ from veilspark.llm import (
     toxicity,
     url_filter,
     vector_dedup,
+    whitening,
 )
 from veilspark.llm.tables import bucket, table
 
@@ -78,9 +80,19 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for each benchmark item."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_near_dedup, op2_decontamination, op3_line_dedup, op4_html_extraction, op5_best_fit_packing, op6_url_filter, op7_toxicity,
-    op8_language_id, op9_vector_dedup, op10_secret_scan, op11_mixing)}
+    op8_language_id, op9_vector_dedup, op10_secret_scan, op11_mixing, op12_lexical_search,
+    op13_whitening)}
 
 _OP2 = r"""
 WITH d AS (
@@ -153,4 +165,27 @@ SELECT doc_id, size, s AS source_size, target,
 FROM summed
 """
 
-SQL: dict[str, str] = {"op2_decontamination": _OP2, "op9_vector_dedup": _OP9, "op11_mixing": _OP11}
+_OP12 = r"""
+WITH words AS (
+    SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+sizes AS (SELECT CAST(count(*) FILTER (len(w) > 0) AS BIGINT) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM words),
+items AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+posted AS (
+    SELECT r, doc_id, term, CAST(count(*) AS BIGINT) AS tf, CAST(any_value(n) AS BIGINT) AS n
+    FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM words) WHERE term IN (SELECT term FROM items) GROUP BY ALL),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln((2.0 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+    FROM posted, sizes GROUP BY term),
+scored AS (
+    SELECT item_id, r, doc_id,
+           CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // terms)))) AS BIGINT) AS score
+    FROM items JOIN weights USING (term) JOIN posted USING (term), sizes GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 50
+"""
+
+SQL: dict[str, str] = {"op2_decontamination": _OP2, "op9_vector_dedup": _OP9, "op11_mixing": _OP11, "op12_lexical_search": _OP12}
