@@ -196,6 +196,12 @@ walk AS (
 _BLOCKS = f"WITH {_LIMITER} SELECT ip, opened AS window_start, ts AS blocked_at FROM walk WHERE failures = 3"
 _ROLLUP = _with(DET) + """SELECT epoch_us(date_trunc('day', "timestamp")) AS day, org_id, llm, action, count(*) AS n,
   CAST(sum(prompt_length) AS BIGINT) AS total_prompt_length FROM det GROUP BY 1, 2, 3, 4"""
+_CLOCK = _with(DET) + f"""SELECT org_id, CAST(critical AS BIGINT) AS critical, critical >= 20 AND f IS NOT NULL AS active,
+    CASE WHEN critical >= 20 THEN epoch_us(f) END AS triggered_at,
+    CASE WHEN critical >= 20 THEN epoch_us(f + INTERVAL 72 HOURS) END AS deadline FROM (
+      SELECT org_id, coalesce(sum(f_count) FILTER ("timestamp" >= TIMESTAMP '2024-01-30 12:30:07' - INTERVAL 7 DAYS), 0) AS critical,
+        min("timestamp") FILTER ("timestamp" >= TIMESTAMP '2024-01-30 12:30:07' - INTERVAL 72 HOURS) AS f
+      FROM det WHERE f_type IN ({_lit(co.BREACH_TYPES)[1:-1]}) GROUP BY 1)"""
 _AUDIT = """audit AS (SELECT *, (['/v1/stats','/v1/events','/v1/devices','/v1/health','/actuator/info'])[event_id % 5 + 1] AS path,
   CASE WHEN event_type = 'error' THEN 429 ELSE 200 END AS status, 'jwt:user' || user_id AS principal,
   event_id % 97 AS latency FROM events WHERE event_id % 5 < 3)"""
@@ -457,12 +463,17 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT count(*), 'rejected' FROM events WHERE NOT ({_VALID})""",
         "stream_daily_rollup": _ROLLUP,
         "stream_action_counters": _with(DET) + """SELECT epoch_us(date_trunc('day', "timestamp")) AS day, action, count(*) AS n FROM det GROUP BY 1, 2""",
-        "stream_breach_clock": _with(DET) + f"""SELECT org_id, CAST(critical AS BIGINT) AS critical, critical >= 20 AND f IS NOT NULL AS active,
-            CASE WHEN critical >= 20 THEN epoch_us(f) END AS triggered_at,
-            CASE WHEN critical >= 20 THEN epoch_us(f + INTERVAL 72 HOURS) END AS deadline FROM (
-              SELECT org_id, coalesce(sum(f_count) FILTER ("timestamp" >= TIMESTAMP '2024-01-30 12:30:07' - INTERVAL 7 DAYS), 0) AS critical,
-                min("timestamp") FILTER ("timestamp" >= TIMESTAMP '2024-01-30 12:30:07' - INTERVAL 72 HOURS) AS f
-              FROM det WHERE f_type IN ({_lit(co.BREACH_TYPES)[1:-1]}) GROUP BY 1)""",
+        "stream_breach_clock": _CLOCK,
+        "stream_breach_clock_state": _CLOCK,
+        "stream_ingest_rows": _with(DET) + f"""SELECT event_id, epoch_us(date_trunc('milliseconds', "timestamp")) AS "timestamp", org_id, llm, action,
+            CAST(prompt_length AS BIGINT) AS prompt_length FROM det WHERE {_VALID}""",
+        "stream_device_rows": _with(DET) + f"""SELECT device_id AS id, org_id, extension_version, epoch_us({_NOW}) AS last_seen_at, count(*) AS events
+            FROM det WHERE {_VALID} GROUP BY 1, 2, 3""",
+        "stream_rollup_refreshed": _with(DET) + f"""SELECT CAST(CAST("timestamp" AS DATE) AS VARCHAR) AS day, org_id, llm, action, count(*) AS n,
+            CAST(sum(prompt_length) AS BIGINT) AS total_prompt_length, CAST("timestamp" AS DATE) = DATE '2024-01-10' AS refreshed_again
+            FROM det WHERE {_VALID} AND CAST("timestamp" AS DATE) >= {_NOW} - INTERVAL 30 DAYS
+              AND CAST("timestamp" AS DATE) + INTERVAL 1 DAY <= {_NOW} - INTERVAL 1 HOUR GROUP BY 1, 2, 3, 4, 7""",
+        "stream_auth_blocks_ordered": _BLOCKS,
         "stream_auth_blocks": _BLOCKS,
         "stream_scan": _with(HIDDEN) + "SELECT doc_id, md5(anonymized) AS digest FROM hidden",
     }

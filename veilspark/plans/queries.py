@@ -21,7 +21,8 @@ from veilspark.plans.derived import NOW, table
 from veilspark.rules import compile_rules, default_rules
 from veilspark.session import new_path, store
 from veilspark.sources import readers, writers
-from veilspark.streaming import jobs
+from veilspark.sources.versioned import read_table
+from veilspark.streaming import jobs, rollup, stateful
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])    # the stand-in model runs in tasks
 
@@ -804,6 +805,47 @@ def stream_devices_and_feed(spark, sf):
     return devices.unionByName(feed).unionByName(rejected)
 
 
+def _ingested(spark, sf, *parts):
+    """Wire JSON through versioned ingest: one batch for each part (a condition on its rows) in turn; the paths of the tables."""
+    source, root = new_path(spark, "wire"), new_path(spark, "ingest")
+    paths = {name: f"{root}/{name}" for name in ("events", "rejected", "devices", "feed", "invalidated")}
+    wire = store(derived.wire_lines(spark, sf), "wire-rows")
+    for part in parts:
+        wire.where(part).select("value").coalesce(2).write.mode("append").text(source)
+        _finish(jobs.ingest_stream(spark.readStream.text(source), paths, f"{root}/checkpoint", ingested_at=NOW, versioned=True, buckets=16))
+        yield paths
+
+
+@query
+def stream_ingest_rows(spark, sf):
+    """Three batches that overlap, through the id store: every accepted event once, row by row."""
+    *_, paths = _ingested(spark, sf, "event_id % 3 = 0", "event_id % 3 = 1 OR event_id % 9 = 0", "event_id % 3 = 2 OR event_id % 7 = 0")
+    return read_table(spark, paths["events"]).select(
+        F.substring("event_id", 25, 12).cast("bigint").alias("event_id"), _us("timestamp"), "org_id", "llm", "action", F.col("prompt_length").cast("bigint").alias("prompt_length"))
+
+
+@query
+def stream_device_rows(spark, sf):
+    """The devices of two batches, merged into one row each, and how many events of the feed each has."""
+    *_, paths = _ingested(spark, sf, "event_id % 2 = 0", "event_id % 2 = 1")
+    feed = read_table(spark, paths["feed"]).groupBy("device_id").agg(F.count("*").alias("events"))
+    devices = jobs.latest_rows(spark, paths["devices"], "id")
+    return devices.join(feed, F.col("id") == F.col("device_id")).select(
+        F.substring("id", 25, 12).cast("bigint").alias("id"), "org_id", "extension_version", _us("last_seen_at"), "events")
+
+
+@query
+def stream_rollup_refreshed(spark, sf):
+    """The rollup after two refreshes: events of one day that come late refresh that day alone."""
+    late = f"get_json_object(value, '$.timestamp') LIKE '2024-01-10%' AND event_id % 3 = 0"
+    days, out = [], new_path(spark, "rollup")
+    for paths in _ingested(spark, sf, f"NOT ({late})", late):
+        days = rollup.refresh(spark, paths["events"], paths["invalidated"], out, NOW)
+    again = F.col("day").isin(days)
+    return rollup.rolled_up(spark, out).select(F.col("day").cast("string").alias("day"), "org_id", "llm", "action", "n", "total_prompt_length",
+                                               again.alias("refreshed_again"))
+
+
 @query
 def stream_daily_rollup(spark, sf):
     root = new_path(spark, "rollup")
@@ -828,6 +870,34 @@ def stream_breach_clock(spark, sf):
     return jobs.breach_clocks(counted, "2024-01-30 12:30:07", time_range="7d").select("org_id", "critical", "active", _us("triggered_at"), _us("deadline"))
 
 
+@query
+def stream_breach_clock_state(spark, sf):
+    """The breach clock from state with timers, an organisation in several parts."""
+    root = new_path(spark, "breach")
+    _finish(stateful.breach_state_stream(_det_stream(spark, sf), f"{root}/out", f"{root}/checkpoint", time_range="7d", salts=4))
+    counted = jobs.latest_rows(spark, f"{root}/out", "second", "org_id", "salt")
+    return jobs.breach_clocks(counted, "2024-01-30 12:30:07", time_range="7d").select("org_id", "critical", "active", _us("triggered_at"), _us("deadline"))
+
+
+@query
+def stream_auth_blocks_ordered(spark, sf):
+    """Attempts in two batches, the later half first; one far in the future ends the waiting."""
+    root, source = new_path(spark, "limiter"), new_path(spark, "attempts")
+    log = table(spark, sf, "events").where(F.col("event_type").isin("error", "signup")).select(
+        F.col("user_id").cast("string").alias("ip"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("failed"))
+    last = spark.range(1).select(F.lit("last").alias("ip"), F.lit("2025-01-01").cast("timestamp").alias("ts"), F.lit(False).alias("failed"))
+    middle = F.lit("2024-01-15").cast("timestamp")
+    for part in (log.where(F.col("ts") >= middle), log.where(F.col("ts") < middle), last):
+        part.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(log.schema).parquet(source)
+        with stateful.rocksdb(spark):
+            blocks = stateful.auth_blocks_ordered(stream, limit=3, window_seconds=7 * 86400, lateness="40 days")
+            _finish(blocks.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
+                    .trigger(availableNow=True).start())
+    return spark.read.schema("ip string, window_start timestamp, blocked_at timestamp").parquet(f"{root}/out").select(
+        "ip", _us("window_start"), _us("blocked_at"))
+
+
 @query
 def stream_auth_blocks(spark, sf):
     root = new_path(spark, "limiter")

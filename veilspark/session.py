@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,24 +35,48 @@ def local_session(cores: int | str = 8, memory: str = "12g", partitions: int = 8
     return spark
 
 
+_folders: dict[str, str] = {}      # of sessions on one machine that have no shared folder, by application
+_scratch: list[list[str]] = []     # paths handed out inside each open ``scratch`` block
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: the session's ``spark.checkpoint.dir``.
 
     Where none is configured, a session on one machine gets a folder of its own;
-    on a cluster that would lose rows, so it is an error.
+    on a cluster that would lose rows, so it is an error. (The setting itself
+    cannot be changed once a session runs.)
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        master = spark.conf.get("spark.master", "")
-        if not re.fullmatch(r"local(\[.*\])?", master):
-            raise RuntimeError(f"spark.checkpoint.dir is not set: {master or 'this cluster'} needs a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir is not set: {master or 'this cluster'} needs a folder that all executors share")
+    application = spark.sparkContext.applicationId
+    if application not in _folders:
+        _folders[application] = tempfile.mkdtemp(prefix="spark-")
+    return _folders[application]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_dir(spark), "veilspark", f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), "veilspark", f"{name}-{uuid.uuid4().hex}")
+    for paths in _scratch:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end every table stored inside it. Results must be written or collected before: they still read them."""
+    paths: list[str] = []
+    _scratch.append(paths)
+    try:
+        yield
+    finally:
+        _scratch.remove(paths)
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def store(df: DataFrame, name: str = "stage", partition_by: list[str] | None = None) -> DataFrame:

@@ -16,9 +16,13 @@ def write_events(df: DataFrame, path: str) -> None:
     statistics prune organisation and time filters.
     """
     rows = one_per_key(df) if "position" in df.columns else df
-    dated = rows.drop("position").withColumn("event_date", F.to_date("timestamp"))
-    (dated.hint("rebalance", F.col("event_date")).sortWithinPartitions("event_date", "org_id", "timestamp")
-     .write.mode("append").partitionBy("event_date").parquet(path))
+    by_day(rows.drop("position")).write.mode("append").partitionBy("event_date").parquet(path)
+
+
+def by_day(df: DataFrame) -> DataFrame:
+    """Rows with their day, laid out for a table partitioned by it."""
+    dated = df.withColumn("event_date", F.to_date("timestamp"))
+    return dated.hint("rebalance", F.col("event_date")).sortWithinPartitions("event_date", "org_id", "timestamp")
 
 
 def ropa_lines(ropa: DataFrame, org: str, day: str, product: str = "veilspark") -> DataFrame:

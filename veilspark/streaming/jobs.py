@@ -1,7 +1,9 @@
 """Structured Streaming jobs.
 
 Sinks write one folder per micro-batch (``epoch=N``, overwritten on a retry),
-so a batch that is run twice after a failure leaves the same data.
+so a batch that is run twice after a failure leaves the same data.  With
+``versioned=True`` they are versioned tables instead: small batches are merged as
+the stream goes on, and readers see one version (:mod:`veilspark.sources.versioned`).
 """
 
 from __future__ import annotations
@@ -13,7 +15,6 @@ from datetime import timedelta
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -27,8 +28,10 @@ from veilspark.operators.events import (
 )
 from veilspark.operators.scan import evaluate
 from veilspark.operators.vault import anonymize, build_vault, extend_vault, plan, values_to_replace
+from veilspark.sources.idstore import BUCKETS, IdStore
 from veilspark.sources.readers import parse_events, split_valid
-from veilspark.sources.writers import write_events
+from veilspark.sources.versioned import VersionedTable, read_table
+from veilspark.sources.writers import by_day, write_events
 
 # Task functions of this module travel inside the plan: workers need no install.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -36,20 +39,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LATENESS = "30 days"
 
 
-def read_or_none(spark: SparkSession, path: str, ddl: str | None = None) -> DataFrame | None:
-    """A table, or None if it was never written; any other problem is an error."""
-    try:
-        return (spark.read.schema(ddl) if ddl else spark.read).parquet(path)
-    except AnalysisException as err:
-        if err.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
 def read_or_empty(spark: SparkSession, path: str, shape: dict[str, str], **more: str) -> DataFrame:
-    ddl = schema.ddl(shape, **more)
-    found = read_or_none(spark, path, ddl)
-    return spark.createDataFrame([], ddl) if found is None else found
+    found = read_table(spark, path)
+    return spark.createDataFrame([], schema.ddl(shape, **more)) if found is None else found
 
 
 def _start(stream: DataFrame, checkpoint: str, handle, mode: str = "append", every: str | None = None) -> StreamingQuery:
@@ -61,8 +53,34 @@ def _write_epoch(df: DataFrame, path: str, epoch: int, partition_by: list[str] |
     df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(os.path.join(path, f"epoch={epoch}"))
 
 
+class Sink:
+    """Where the batches of a query go: ``epoch=N`` folders, or a versioned table."""
+
+    def __init__(self, spark: SparkSession, path: str, checkpoint: str, versioned: bool, keys: tuple[str, ...] = (),
+                 partition_by: list[str] | None = None) -> None:
+        self.path, self.checkpoint, self.partition_by, self.spark = path, checkpoint, partition_by, spark
+        fold = (lambda df: latest_by(df, list(keys), F.col("epoch"))) if keys else None
+        self.table = VersionedTable(spark, path, partition_by, fold) if versioned else None
+
+    def put(self, df: DataFrame, epoch: int) -> None:
+        """Writes a batch; in place of an earlier attempt at it."""
+        if self.table is None:
+            _write_epoch(df, self.path, epoch, self.partition_by)
+        else:
+            self.table.append(df, self.checkpoint, epoch)
+            self.table.maintain()
+
+    def before(self, epoch: int, shape: dict[str, str]) -> DataFrame:
+        """What earlier batches have put."""
+        if self.table is None:
+            return read_or_empty(self.spark, self.path, shape, epoch="bigint").where(F.col("epoch") < epoch)
+        found = self.table.read(without=(self.checkpoint, epoch))
+        return self.spark.createDataFrame([], schema.ddl(shape, epoch="bigint")) if found is None else found
+
+
 def ingest_stream(lines: DataFrame, paths: dict[str, str], checkpoint: str, ingested_at=None,
-                  dedup_within: str | None = None, every: str | None = None, resent_within_days: int | None = None) -> StreamingQuery:
+                  dedup_within: str | None = None, every: str | None = None, resent_within_days: int | None = None,
+                  versioned: bool = False, buckets: int = BUCKETS) -> StreamingQuery:
     """Idempotent ingest of event JSON (``value`` column).
 
     ``paths``: ``events`` (day-partitioned table), ``rejected``, and optionally
@@ -71,7 +89,10 @@ def ingest_stream(lines: DataFrame, paths: dict[str, str], checkpoint: str, inge
     with ``resent_within_days``, against the days of the batch and so many before and after
     them, which prunes the table's partitions: an event keeps its time when it is sent again.
     ``dedup_within`` adds stream-side de-duplication, which drops events later
-    than that bound.
+    than that bound.  ``versioned`` tables also keep the ids of all events in ``buckets`` with Bloom filters (in ``paths["ids"]``,
+    by default beside the events), so that a batch opens only what may hold its ids instead of the whole
+    table; and with ``paths["invalidated"]`` the days that a batch has changed are logged for
+    :func:`veilspark.streaming.rollup.refresh`.
     """
     source = lines
     if dedup_within:
@@ -83,65 +104,92 @@ def ingest_stream(lines: DataFrame, paths: dict[str, str], checkpoint: str, inge
     def handle(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         at = ingested_at or pd.Timestamp.now(tz="UTC").to_pydatetime()
+
+        def sink(name: str, keys: tuple[str, ...] = (), partition_by: list[str] | None = None) -> Sink:
+            return Sink(spark, paths[name], checkpoint, versioned, keys, partition_by)
+
         # Parsed once, then read back per use; the next batch overwrites it.
         staged_path = paths["events"] + "_staged"
         parse_events(batch).withColumn("position", F.monotonically_increasing_id()).write.mode("overwrite").parquet(staged_path)
         valid, rejected = split_valid(spark.read.parquet(staged_path))
-        _write_epoch(rejected, paths["rejected"], epoch)
+        sink("rejected").put(rejected, epoch)
         tag = f"{checkpoint}#{epoch}"
         staged = to_stored(valid, at, "position", ingest_id=tag)
-        stored = read_or_empty(spark, paths["events"], schema.EVENTS)
-        days = staged.agg(F.min(F.to_date("timestamp")), F.max(F.to_date("timestamp"))).first()      # two dates
-
-        def around(more: int) -> DataFrame:
-            if days[0] is None or "event_date" not in stored.columns:
-                return stored
-            return stored.where(F.col("event_date").between(days[0] - timedelta(more), days[1] + timedelta(more)))
-
-        # Rows an earlier attempt of this very batch appended do not count as stored.
-        mine = F.coalesce("ingest_id", F.lit("")) == tag
-        known_ids = stored if resent_within_days is None else around(resent_within_days)
-        fresh = one_per_key(split_new(staged, known_ids.where(~mine))[0]).drop("position")
+        if versioned:
+            days = None
+            if resent_within_days is not None:
+                first, last = staged.agg(F.min(F.to_date("timestamp")), F.max(F.to_date("timestamp"))).first()      # two dates
+                days = None if first is None else (first - timedelta(resent_within_days), last + timedelta(resent_within_days))
+            ids = IdStore(spark, paths.get("ids", paths["events"] + "_ids"), buckets)
+            known = ids.known(staged, without=(checkpoint, epoch), days=days)
+            fresh = one_per_key(staged.join(known, "event_id", "left_anti")).drop("position")
+        else:
+            fresh = unstored(spark, staged, tag)
         fresh.write.mode("overwrite").parquet(paths["events"] + "_new")
         new = spark.read.schema(fresh.schema).parquet(paths["events"] + "_new")
         if "feed" in paths:
-            _write_epoch(new, paths["feed"], epoch, ["org_id"])
+            sink("feed", partition_by=["org_id"]).put(new, epoch)
         if "devices" in paths:
             # Only the devices of this batch are read, merged and written.
             latest = latest_per_device(staged)
-            versions = read_or_empty(spark, paths["devices"], schema.DEVICES, epoch="bigint").where(F.col("epoch") < epoch)
-            touched = versions.join(latest.select(F.col("device_id").alias("id")), "id", "left_semi")
-            known = latest_by(touched, ["id"], F.col("epoch")).drop("epoch")
-            _write_epoch(upsert_devices(known, latest, at), paths["devices"], epoch)
-        done = around(0).where(mine).select("event_id", "timestamp")          # of this batch's days only
-        write_events(new.join(done, ["event_id", "timestamp"], "left_anti"), paths["events"])
+            devices = sink("devices", ("id",))
+            touched = devices.before(epoch, schema.DEVICES).join(latest.select(F.col("device_id").alias("id")), "id", "left_semi")
+            known_devices = latest_by(touched, ["id"], F.col("epoch")).drop("epoch")
+            devices.put(upsert_devices(known_devices, latest, at), epoch)
+        if versioned:
+            sink("events", partition_by=["event_date"]).put(by_day(new), epoch)
+            ids.append(new, checkpoint, epoch)
+            if "invalidated" in paths:
+                sink("invalidated").put(new.select(F.to_date("timestamp").alias("day")).distinct(), epoch)
+        else:
+            done = days_of(spark, staged, 0).where(mine(tag)).select("event_id", "timestamp")          # of this batch's days only
+            write_events(new.join(done, ["event_id", "timestamp"], "left_anti"), paths["events"])
+
+    # Without versions the table itself is read for ids.
+    def mine(tag: str) -> Column:
+        return F.coalesce("ingest_id", F.lit("")) == tag
+
+    def days_of(spark: SparkSession, staged: DataFrame, more: int | None) -> DataFrame:
+        stored = read_or_empty(spark, paths["events"], schema.EVENTS)
+        if more is None or "event_date" not in stored.columns:
+            return stored
+        first, last = staged.agg(F.min(F.to_date("timestamp")), F.max(F.to_date("timestamp"))).first()      # two dates
+        return stored if first is None else stored.where(F.col("event_date").between(first - timedelta(more), last + timedelta(more)))
+
+    def unstored(spark: SparkSession, staged: DataFrame, tag: str) -> DataFrame:
+        # Rows an earlier attempt of this very batch appended do not count as stored.
+        stored = days_of(spark, staged, resent_within_days)
+        return one_per_key(split_new(staged, stored.where(~mine(tag)))[0]).drop("position")
 
     return _start(source, checkpoint, handle, every=every)
 
 
 def live_feed(spark: SparkSession, path: str, org: str, newest: int = 200) -> DataFrame:
     """Newest accepted events of one organisation (reads that partition only)."""
-    feed = spark.read.parquet(path).where(F.col("org_id") == org)
+    feed = read_table(spark, path).where(F.col("org_id") == org)
     return keep_newest(feed, newest, "timestamp", "event_id")
 
 
-def _upserted(stream: DataFrame, path: str, checkpoint: str, every: str | None) -> StreamingQuery:
-    return _start(stream, checkpoint, lambda batch, epoch: _write_epoch(batch, path, epoch), "update", every)
+def _upserted(stream: DataFrame, path: str, checkpoint: str, every: str | None, versioned: bool, *keys: str) -> StreamingQuery:
+    def handle(batch: DataFrame, epoch: int) -> None:
+        Sink(batch.sparkSession, path, checkpoint, versioned, keys).put(batch, epoch)
+
+    return _start(stream, checkpoint, handle, "update", every)
 
 
 def latest_rows(spark: SparkSession, path: str, *keys: str) -> DataFrame:
     """Current state of an update-mode sink: the last version of every key."""
-    table = spark.read.parquet(path)
+    table = read_table(spark, path)
     return latest_by(table, list(keys), F.col("epoch")).drop("epoch")
 
 
-def daily_rollup_stream(ev: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+def daily_rollup_stream(ev: DataFrame, path: str, checkpoint: str, every: str | None = None, versioned: bool = False) -> StreamingQuery:
     """Day × organisation × service × action, kept current for 30 days back."""
     rolled = (ev.withWatermark("timestamp", LATENESS)
               .groupBy(F.window("timestamp", "1 day"), "org_id", "llm", "action")
               .agg(F.count("*").alias("n"), F.sum("prompt_length").alias("total_prompt_length"))
               .select(F.col("window.start").alias("day"), "org_id", "llm", "action", "n", "total_prompt_length"))
-    return _upserted(rolled, path, checkpoint, every)
+    return _upserted(rolled, path, checkpoint, every, versioned, "day", "org_id", "llm", "action")
 
 
 def _bounded(stream: DataFrame, ts: str, lateness: str | None) -> DataFrame:
@@ -149,20 +197,22 @@ def _bounded(stream: DataFrame, ts: str, lateness: str | None) -> DataFrame:
 
 
 def counters_stream(detections: DataFrame, path: str, checkpoint: str, every: str | None = None,
-                    lateness: str | None = None) -> StreamingQuery:
-    """Detections per day and action.  With a ``lateness``, later rows are dropped and old days leave the state."""
+                    lateness: str | None = None, versioned: bool = False) -> StreamingQuery:
+    """Detections per day and action.  With a ``lateness``, later rows are dropped and old days leave the state;
+    without, a count is kept for every day ever seen."""
     counted = (_bounded(detections, "ts", lateness).groupBy(F.window("ts", "1 day"), "action")
                .agg(F.count("*").alias("n")).select(F.col("window.start").alias("day"), "action", "n"))
-    return _upserted(counted, path, checkpoint, every)
+    return _upserted(counted, path, checkpoint, every, versioned, "day", "action")
 
 
 def breach_stream(ev: DataFrame, path: str, checkpoint: str, every: str | None = None,
-                  lateness: str | None = None) -> StreamingQuery:
+                  lateness: str | None = None, versioned: bool = False) -> StreamingQuery:
     """Critical findings per organisation and second.
 
     Kept as a partial aggregate rather than per-organisation state, so that the
     largest organisation is summed by every task instead of by one.  Seconds are
-    fine enough that a look-back never cuts one.  With a ``lateness``, later rows are dropped.
+    fine enough that a look-back never cuts one.  With a ``lateness``, later rows are dropped; without,
+    a count is kept for every second ever seen (:mod:`veilspark.streaming.breach` bounds it).
     """
     critical = F.filter("findings", lambda f: F.lower(f["type"]).isin(BREACH_TYPES))
     rows = ev.select("timestamp", "org_id", critical.alias("critical")).where(F.size("critical") > 0)
@@ -170,7 +220,7 @@ def breach_stream(ev: DataFrame, path: str, checkpoint: str, every: str | None =
     counted = (_bounded(rows, "timestamp", lateness).groupBy(F.window("timestamp", "1 second"), "org_id")
                .agg(F.sum(weight).alias("critical"), F.min("timestamp").alias("first"))
                .select(F.col("window.start").alias("second"), "org_id", "critical", "first"))
-    return _upserted(counted, path, checkpoint, every)
+    return _upserted(counted, path, checkpoint, every, versioned, "second", "org_id")
 
 
 def breach_clocks(counted: DataFrame, now, threshold: int = BREACH_THRESHOLD, time_range: str = "30d") -> DataFrame:
@@ -229,7 +279,7 @@ def auth_blocks_stream(log: DataFrame, limit: int = limiter.LIMIT, window_second
 
 def scan_stream(docs: DataFrame, rules, paths: dict[str, str], checkpoint: str, salt: str,
                 id_col: str = "doc_id", text_col: str = "text", session: str = "session", order: str = "order",
-                every: str | None = None) -> StreamingQuery:
+                every: str | None = None, versioned: bool = False) -> StreamingQuery:
     """Scan and pseudonymise a stream of texts.
 
     The scan needs no state.  The vault is an append-only table: a batch adds its
@@ -241,14 +291,19 @@ def scan_stream(docs: DataFrame, rules, paths: dict[str, str], checkpoint: str,
         evaluate(batch, text_col, rules).write.mode("overwrite").parquet(found_path)
         found = spark.read.parquet(found_path)
         values = values_to_replace(found, session, order)
-        vault = read_or_none(spark, paths["vault"])                  # the first batch has no vault yet
-        existing = None if vault is None else vault.where(F.col("epoch") < epoch).drop("epoch")
+        vault = Sink(spark, paths["vault"], checkpoint, versioned)
+        if versioned:
+            stored = vault.table.read(without=(checkpoint, epoch))
+        else:
+            stored = read_table(spark, paths["vault"])
+            stored = None if stored is None else stored.where(F.col("epoch") < epoch)
+        existing = None if stored is None else stored.drop("epoch")                  # the first batch has no vault yet
         entries = (build_vault(values, salt, session, order).withColumn("generation", F.lit(epoch))
                    if existing is None else extend_vault(values, salt, existing, epoch, session, order))
         entries.write.mode("overwrite").parquet(paths["vault"] + "_known")           # the next batch overwrites it
         known = spark.read.schema(entries.schema).parquet(paths["vault"] + "_known")
-        _write_epoch(known.where(F.col("generation") == epoch), paths["vault"], epoch)
+        vault.put(known.where(F.col("generation") == epoch), epoch)
         planned = plan(anonymize(found, known, salt, id_col, text_col, session), text_col)
-        _write_epoch(planned.select(id_col, session, "decision", "outcome", "result"), paths["out"], epoch)
+        Sink(spark, paths["out"], checkpoint, versioned).put(planned.select(id_col, session, "decision", "outcome", "result"), epoch)
 
     return _start(docs, checkpoint, handle, every=every)
