@@ -1,7 +1,9 @@
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from veilspark.functions.spans import FINDINGS_TYPE
 from veilspark.operators import ner
+from veilspark.plans.queries import dictionary_model
 
 TEXT = "Maître Dupont représente Acme à Lyon."
 PER, ORG, LOC = ("PER", "Dupont", 7, 13, 0.99), ("ORG", "Acme", 25, 29, 0.95), ("LOC", "Lyon", 32, 36, 0.97)
@@ -84,3 +86,25 @@ def test_detect_and_normalise(spark):
     offsets = ner.detect_entities(spark.createDataFrame([(long,)], "text string"), "text", factory).first().entities
     assert [e for e in offsets if e.entity == "ORG"][-1].value == "Acme"
     assert long[[e for e in offsets if e.entity == "ORG"][-1].start:].startswith("Acme")
+
+
+def test_long_texts_are_dealt_out_with_equal_entities(spark):
+    rows = [(1, "one the two les " * 9000), (2, "les the short"), (3, None), (4, " " * 90_000), (5, "x" * 80_000 + " the"), (1, "one the two les " * 9000)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    plain = ner.detect_entities(df, "text", dictionary_model)
+    dealt = ner.detect_entities_dealt(df, "text", dictionary_model)
+    assert sorted(map(str, dealt.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+    text = rows[0][1]
+    chunks = spark.createDataFrame([(text,)], "text string").select(ner.chunk_text(F.col("text")).alias("c")).first().c
+    assert [(c.offset, c.text) for c in chunks] == [(a, text[a:b]) for a, b in ner.cut_points(text)]
+
+
+def test_one_long_text_is_spread_over_tasks(spark):
+    def model():
+        task = TaskContext.get().partitionId()
+        return lambda chunk: [{"entity_group": f"P{task}", "word": chunk[:3], "start": 0, "end": 3, "score": 1.0}]
+
+    df = spark.createDataFrame([(1, "some words " * 100_000)], "id int, text string")
+    found = ner.detect_entities_dealt(df, "text", model).first()
+    assert len({e.entity for e in found.entities}) > 1 and found.entities_failed == 0
+    assert [e.start for e in found.entities] == sorted(e.start for e in found.entities) and len(found.entities) > 900

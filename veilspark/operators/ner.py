@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from veilspark.functions.spans import FINDINGS_TYPE, drop_overlaps, let, resolve_overlaps, union_findings
 from veilspark.operators.scan import decide, words_spans
+from veilspark.session import store
 
 # Task functions of this module travel inside the plan: workers need no install.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK_CHARS, MIN_CHARS = 1200, 12
+LONG_CHARS = 64 * CHUNK_CHARS       # from here on a text is dealt out
 ENTITIES_TYPE = "array<struct<entity:string,value:string,start:int,end:int,score:double>>"
 RAW_TYPE = "array<struct<group:string,word:string,start:int,end:int,score:double>>"
 # Default policy per entity group.
@@ -79,14 +81,8 @@ def normalize_entities(chunks: Column, raw: Column) -> Column:
     return F.flatten(F.zip_with(chunks, raw, one)).cast(ENTITIES_TYPE)
 
 
-def detect_entities(df: DataFrame, text_col: str, model_factory: Callable[[], Callable[[str], list[dict]]],
-                    min_chars: int = MIN_CHARS, into: str = "entities", fail: bool = False) -> DataFrame:
-    """Add model entities, and ``<into>_failed``: how many calls of the model failed.
-
-    The model is built once per Python worker and called per chunk.  A failed
-    call yields no entities, so a text with failed calls is incomplete; with
-    ``fail`` the first one ends the job.  Texts stay where they are.
-    """
+def _tagger(model_factory: Callable[[], Callable[[str], list[dict]]], fail: bool):
+    """Raw entities of each of a row's chunks; null for a call that failed."""
 
     @F.pandas_udf(f"array<{RAW_TYPE}>")
     def tag(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -104,15 +100,70 @@ def detect_entities(df: DataFrame, text_col: str, model_factory: Callable[[], Ca
         for batch in batches:
             yield batch.map(lambda chunks: [safe(c) for c in chunks])
 
+    return tag.asNondeterministic()
+
+
+def detect_entities(df: DataFrame, text_col: str, model_factory: Callable[[], Callable[[str], list[dict]]],
+                    min_chars: int = MIN_CHARS, into: str = "entities", fail: bool = False) -> DataFrame:
+    """Add model entities, and ``<into>_failed``: how many calls of the model failed.
+
+    The model is built once per Python worker and called per chunk.  A failed
+    call yields no entities, so a text with failed calls is incomplete; with
+    ``fail`` the first one ends the job.  Texts stay where they are.
+    """
+
     text = F.col(text_col)
     eligible = (F.length(text) >= min_chars) & (F.trim(text) != "")
     chunks = F.when(eligible, chunk_text(text)).otherwise(
         F.array().cast("array<struct<offset:int,text:string>>"))
-    tagged = df.withColumn("__chunks", chunks).withColumn("__raw", tag.asNondeterministic()(F.col("__chunks")["text"]))
+    tagged = df.withColumn("__chunks", chunks).withColumn("__raw", _tagger(model_factory, fail)(F.col("__chunks")["text"]))
     failed = F.size(F.filter("__raw", lambda entities: entities.isNull()))
     return tagged.withColumns({into: normalize_entities(F.col("__chunks"), F.col("__raw")), f"{into}_failed": failed}).drop("__chunks", "__raw")
 
 
+def cut_points(text: str, size: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
+    """(start, end) of the pieces of :func:`chunk_text`, in time proportional to the text."""
+    at, half = 0, size // 2
+    while at < len(text):
+        hard = min(at + size, len(text))
+        space = text.rfind(" ", at, at + size + 1)
+        end = space if hard < len(text) and space > at + half else hard
+        yield at, end
+        at = end
+
+
+def detect_entities_dealt(df: DataFrame, text_col: str, model_factory: Callable[[], Callable[[str], list[dict]]],
+                          min_chars: int = MIN_CHARS, into: str = "entities", fail: bool = False, long_chars: int = LONG_CHARS) -> DataFrame:
+    """:func:`detect_entities`, with texts of more than ``long_chars`` spread over tasks.
+
+    Short texts are tagged where they lie. A long one is cut into chunks that become rows and are dealt out evenly,
+    whatever text they come from; their entities come together again by offset, a list for each text. Only long texts move.
+    """
+    long = F.length(text_col) > long_chars
+    short = detect_entities(df.where(F.coalesce(~long, F.lit(True))), text_col, model_factory, min_chars, into, fail)
+    rows = store(df.where(long).select(F.struct("*").alias("row"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("n")), "long-texts")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for n, text in zip(batch["n"], batch["text"]):
+                if len(text.strip(" ")) > 0 and len(text) >= min_chars:
+                    points = list(cut_points(text))
+                    for first in range(0, len(points), 1000):
+                        some = points[first:first + 1000]
+                        yield pd.DataFrame({"n": n, "offset": [a for a, _ in some], "chunk": [text[a:b] for a, b in some]})
+
+    chunks = rows.select("n", "text").mapInPandas(cut, "n long, offset int, chunk string")
+    # A fixed number: adaptive execution would merge partitions by their bytes, but it is the model that takes the time.
+    dealt = chunks.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("n", "offset"))
+    piece = F.array(F.struct(F.col("offset"), F.col("chunk").alias("text")))
+    tagged = dealt.withColumn("raw", _tagger(model_factory, fail)(F.array("chunk")))
+    found = tagged.select("n", "offset", normalize_entities(piece, F.col("raw")).alias("entities"), F.col("raw")[0].isNull().cast("int").alias("failed"))
+    whole = found.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("offset", "entities"))).alias("parts"), F.sum("failed").cast("int").alias("failed"))
+    joined = rows.select("n", "row").join(whole, "n", "left").select(
+        "row.*", F.coalesce(F.flatten(F.col("parts")["entities"]), F.array().cast(ENTITIES_TYPE)).alias(into), F.coalesce("failed", F.lit(0)).alias(f"{into}_failed"))
+    return short.unionByName(joined)
+
+
 def merge_ner(df: DataFrame, text_col: str = "text", entities_col: str = "entities", policy: dict | None = None,
               whitelist: list[str] = (), enabled: bool = True) -> DataFrame:
     """Merge entities into ``findings``; rule findings and the whitelist win every overlap."""

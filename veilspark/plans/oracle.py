@@ -196,6 +196,9 @@ walk AS (
 _BLOCKS = f"WITH {_LIMITER} SELECT ip, opened AS window_start, ts AS blocked_at FROM walk WHERE failures = 3"
 _ROLLUP = _with(DET) + """SELECT epoch_us(date_trunc('day', "timestamp")) AS day, org_id, llm, action, count(*) AS n,
   CAST(sum(prompt_length) AS BIGINT) AS total_prompt_length FROM det GROUP BY 1, 2, 3, 4"""
+_LABELLED = """labelled AS (SELECT lang AS session, doc_id AS at_, source AS value, CASE WHEN doc_id % 3 = 0 THEN 'EVEN' ELSE 'ODD' END AS label
+  FROM documents)"""
+_DIGITS = _matches("digits", "[0-9]+", "true", "(SELECT * FROM documents WHERE length(text) >= 12)")
 _CLOCK = _with(DET) + f"""SELECT org_id, CAST(critical AS BIGINT) AS critical, critical >= 20 AND f IS NOT NULL AS active,
     CASE WHEN critical >= 20 THEN epoch_us(f) END AS triggered_at,
     CASE WHEN critical >= 20 THEN epoch_us(f + INTERVAL 72 HOURS) END AS deadline FROM (
@@ -419,11 +422,11 @@ def oracle_sql() -> dict[str, str]:
             FROM documents WHERE doc_id % 2 = 0""",
         "scan_overlaps": """SELECT doc_id, CASE WHEN regexp_matches(value, '[.-]') THEN 'wide' ELSE 'digits' END AS rule_id, value FROM (
             SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{3,}(?:[.-][0-9]+)?')) AS value FROM documents)""",
-        "texts_outcomes": _with(_WORDS) + """SELECT CASE WHEN length(text) > 20000 OR NOT regexp_matches(text, '[^\\s]') THEN 'unscanned'
+        "texts_outcomes": _with(_WORDS) + """SELECT CASE WHEN length(text) > 200000 OR (doc_id % 10 = 7 AND length(text) > 0) OR NOT regexp_matches(text, '[^\\s]') THEN 'unscanned'
               WHEN black > 0 THEN 'blocked' WHEN near > 0 THEN 'pseudonymised' WHEN arts > 0 THEN 'warned' ELSE 'clean' END AS outcome,
             count(*) AS docs FROM counted JOIN documents USING (doc_id) GROUP BY 1""",
         "scan_gated": _with(BUILTIN) + """SELECT f.doc_id, CAST(count(*) AS INTEGER) AS n FROM found f JOIN documents d USING (doc_id)
-            WHERE length(d.text) <= 20000 GROUP BY 1""",
+            WHERE length(d.text) <= 200000 AND doc_id % 10 <> 7 GROUP BY 1""",
         "scan_rollup_per_rule": _with(BUILTIN) + """SELECT doc_id, rule_id AS type, max(severity) AS severity, count(*) AS "count"
             FROM found GROUP BY 1, 2""",
         "scan_regex_spans": _with(_NUMBERS) + """SELECT doc_id, "start", "end", v AS value FROM numbers""",
@@ -474,6 +477,23 @@ def oracle_sql() -> dict[str, str]:
             FROM det WHERE {_VALID} AND CAST("timestamp" AS DATE) >= {_NOW} - INTERVAL 30 DAYS
               AND CAST("timestamp" AS DATE) + INTERVAL 1 DAY <= {_NOW} - INTERVAL 1 HOUR GROUP BY 1, 2, 3, 4, 7""",
         "stream_auth_blocks_ordered": _BLOCKS,
+        "audit_p95_sketched": _with(_AUDIT) + "SELECT path, count(*) AS requests, true AS within FROM audit GROUP BY 1",
+        "events_generated": "SELECT count(*) AS events, count(*) AS ids, true AS recent, count(*) AS valid, 0 AS rejected FROM events",
+        "vault_first_labels": _with(_LABELLED) + """SELECT session, value, arg_min(label, at_) AS label, CAST(count(DISTINCT label) AS INTEGER) AS labels,
+            count(*) AS uses FROM labelled GROUP BY 1, 2""",
+        "vault_collisions": _with(_LABELLED) + """SELECT session, value, label, base, CAST(row_number() OVER (
+              PARTITION BY session, label, base ORDER BY seen, value) AS INTEGER) AS number
+            FROM (SELECT session, value, arg_min(label, at_) AS label, substr(md5(value), 1, 1) AS base, min(at_) AS seen FROM labelled GROUP BY 1, 2)""",
+        "texts_planned_rows": _with(HIDDEN) + """SELECT doc_id, CASE WHEN EXISTS (SELECT 1 FROM found f WHERE f.doc_id = hidden.doc_id)
+            THEN 'pseudonymised' ELSE 'clean' END AS outcome, md5(anonymized) AS digest FROM hidden""",
+        "entities_beside_findings": _with(BUILTIN, _DIGITS) + """SELECT doc_id, rule_id, "start", "end", value FROM found
+            UNION ALL SELECT doc_id, 'ner:PER', "start", "end", v FROM digits n WHERE NOT EXISTS (
+              SELECT 1 FROM found f WHERE f.doc_id = n.doc_id AND f."start" < n."end" AND n."start" < f."end")""",
+        "entities_of_long_texts": f"""WITH long AS (SELECT doc_id, CASE WHEN doc_id % 10 = 7 AND length(text) > 0
+              THEN repeat(text, CAST(200000 // length(text) + 1 AS INTEGER)) ELSE text END AS text FROM documents),
+            words AS (SELECT doc_id, unnest(string_split_regex(text, '{WORD_SPLIT}')) AS word FROM long WHERE length(text) >= 12)
+            SELECT doc_id, CASE word WHEN 'the' THEN 'ORG' WHEN 'der' THEN 'LOC' ELSE 'PER' END AS entity, count(*) AS n
+            FROM words WHERE word IN ('the', 'les', 'der', 'with') GROUP BY 1, 2""",
         "stream_auth_blocks": _BLOCKS,
         "stream_scan": _with(HIDDEN) + "SELECT doc_id, md5(anonymized) AS digest FROM hidden",
     }

@@ -446,6 +446,30 @@ def audit_by_principal(spark, sf):
     return audit.audit_rollup(readers.read_audit(derived.audit_lines(spark, sf)), "principal").withColumn("p95_latency_ms", F.round("p95_latency_ms", 6))
 
 
+@query
+def audit_p95_sketched(spark, sf):
+    """The 95 % latency of each path from sketches by path and principal, which is within 1 % of that rank."""
+    log = store(readers.read_audit(derived.audit_lines(spark, sf)), "audit")
+    sketches = store(audit.latency_sketches(log, "path", "principal"), "sketches")
+    found = audit.latency_quantiles(sketches, "path")
+    ranks = log.join(found.select("path", F.col("latency_ms").alias("p95")), "path").groupBy("path").agg(
+        F.count("*").alias("requests"), F.count_if(F.col("latency_ms") < F.col("p95")).alias("under"),
+        F.count_if(F.col("latency_ms") <= F.col("p95")).alias("upto"))
+    n = F.col("requests")
+    return ranks.select("path", "requests", ((F.col("under") <= 0.96 * n) & (F.col("upto") >= 0.94 * n)).alias("within"))
+
+
+@query
+def events_generated(spark, sf):
+    """As many synthetic events as the table has: all valid, ids unique, within thirty days."""
+    made = store(readers.generate_events(spark, table(spark, sf, "events").count(), now=NOW), "generated")
+    lines = made.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    valid, rejected = readers.split_valid(readers.parse_events(lines))
+    return made.agg(F.count("*").alias("events"), F.count_distinct("eventId").alias("ids"),
+                    (F.min("timestamp") > F.lit(NOW).cast("timestamp") - F.expr("INTERVAL 30 DAYS")).alias("recent")).crossJoin(
+        F.broadcast(valid.agg(F.count("*").alias("valid")))).crossJoin(F.broadcast(rejected.agg(F.count("*").alias("rejected"))))     # one row each
+
+
 @query
 def auth_blocks(spark, sf):
     return limiter.auth_blocks(derived.auth_log(spark, sf), limit=3, window_seconds=7 * 86400).select(
@@ -524,10 +548,17 @@ def scan_default_pack_pages(spark, sf):
     return scan.finding_rollup(found, "page_id")
 
 
+def _some_too_long(spark, sf):
+    """Every tenth document is repeated until it is longer than the interactive gates let pass."""
+    times = F.floor(F.lit(scan.MAX_SCAN_CHARS) / F.greatest(F.length("text"), F.lit(1))).cast("int") + 1
+    text = F.when(F.col("doc_id") % 10 == 7, F.repeat("text", times)).otherwise(F.col("text"))
+    return _docs(spark, sf).select("doc_id", text.alias("text"))
+
+
 @query
 def scan_gated(spark, sf):
-    """Interactive gates: blank texts and texts over the caller's limit stay unscanned."""
-    found = scan.evaluate(_docs(spark, sf).select("doc_id", "text"), "text", builtin_rules(), max_chars=20_000)
+    """Interactive gates: blank texts and texts over the limit stay unscanned."""
+    found = scan.evaluate(_some_too_long(spark, sf), "text", builtin_rules(), max_chars=scan.MAX_SCAN_CHARS)
     return found.where(F.size("findings") > 0).select("doc_id", F.size("findings").alias("n"))
 
 
@@ -628,6 +659,26 @@ def vault_entries(spark, sf):
         "session", "value", "label", "placeholder", "uses")
 
 
+def _labelled(spark, sf):
+    """Values found under two labels: the sources of documents, by turns."""
+    return table(spark, sf, "documents").select(
+        F.col("lang").alias("session"), F.col("doc_id").alias("order"), F.lit(0).alias("start"), F.col("source").alias("value"),
+        F.when(F.col("doc_id") % 3 == 0, "EVEN").otherwise("ODD").alias("label"))
+
+
+@query
+def vault_first_labels(spark, sf):
+    """A value keeps the label that it was given first, whatever it is called later."""
+    return vt.first_label(_labelled(spark, sf)).select("session", "value", "label", F.size("labels").alias("labels"), "uses")
+
+
+@query
+def vault_collisions(spark, sf):
+    """Values that share label and hash (of one digit here) are numbered by first sight."""
+    entries = vt.first_label(_labelled(spark, sf)).withColumn("base", F.substring(F.md5("value"), 1, 1))
+    return vt.number_collisions(entries).select("session", "value", "label", "base", "number")
+
+
 @query
 def vault_capped(spark, sf):
     found = _found(spark, sf)
@@ -666,10 +717,17 @@ def texts_planned(spark, sf):
         (F.col("result") != F.col("text")).cast("int")).alias("changed"))
 
 
+@query
+def texts_planned_rows(spark, sf):
+    """Outcome and result text of every document under the built-in rules."""
+    found = _found(spark, sf)
+    return vt.plan(vt.anonymize(found, _vault(found), SALT)).select("doc_id", "outcome", F.md5("result").alias("digest"))
+
+
 @query
 def texts_outcomes(spark, sf):
     """All outcomes, texts over the limit among them."""
-    found = scan.evaluate(_docs(spark, sf).select("doc_id", "text"), "text", word_rules(), max_chars=20_000)
+    found = scan.evaluate(_some_too_long(spark, sf), "text", word_rules(), max_chars=scan.MAX_SCAN_CHARS)
     return found.groupBy(vt.outcome(F.col("decision"), F.col("findings"), F.col("scanned")).alias("outcome")).agg(F.count("*").alias("docs"))
 
 
@@ -709,6 +767,27 @@ def entities_merged(spark, sf):
     return scan.explode_findings(merged, "doc_id").groupBy("doc_id", "rule_id").agg(F.count("*").alias("n"))
 
 
+def number_model():
+    """A stand-in model that takes every run of digits for a person, also within findings."""
+    pattern = re.compile(r"[0-9]+")
+    return lambda text: [{"entity_group": "PER", "word": m.group(), "start": m.start(), "end": m.end(), "score": 0.9} for m in pattern.finditer(text)]
+
+
+@query
+def entities_beside_findings(spark, sf):
+    """Entities that touch a finding of a rule go, the others become findings."""
+    found = store(scan.evaluate(_docs(spark, sf).select("doc_id", "text"), "text", builtin_rules()), "findings")
+    merged = ner.merge_ner(ner.detect_entities(found, "text", number_model))
+    return scan.explode_findings(merged, "doc_id").select("doc_id", "rule_id", "start", "end", "value")
+
+
+@query
+def entities_of_long_texts(spark, sf):
+    """Entities of texts of which some are far longer than one call takes; those are spread over tasks."""
+    tagged = ner.detect_entities_dealt(_some_too_long(spark, sf), "text", dictionary_model)
+    return tagged.select("doc_id", F.explode("entities").alias("e")).groupBy("doc_id", F.col("e.entity").alias("entity")).agg(F.count("*").alias("n"))
+
+
 @query
 def texts_chunked(spark, sf):
     """Chunks put together again are the text, and none is too long."""
