@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilspark.llm import text as T
-from veilspark.llm.tables import small_batches
+from veilspark.llm.tables import lean, small_batches
 from veilspark.session import store
 
 WINDOW = 13
@@ -154,12 +154,12 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
         raise ValueError("k must be from 1 to window")
     benchmark = items.select(F.col(item_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"),
                              F.col(item_text_col).cast("string").alias("text")).where("id IS NOT NULL")
-    grams = store(benchmark.mapInArrow(_item_grams(k, window), _DDL)
+    grams = store(benchmark.mapInArrow(lean(_item_grams(k, window)), _DDL)
                   .select(F.col("id").alias("item"), "n_words", F.inline("grams")), "benchmark-grams")
     lengths = [r["n_words"] for r in grams.where(F.col("n_words") < window).select("n_words").distinct().collect()]   # under window of them
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"),
                        F.col(text_col).cast("string").alias("text"))
-    found = store(rows.mapInArrow(_document_grams(_filter(grams), lengths, k, window), _DDL), "document-grams")
+    found = store(rows.mapInArrow(lean(_document_grams(_filter(grams), lengths, k, window)), _DDL), "document-grams")
 
     # Equal contexts of items are one row with a list of items, and an item is listed once for each.
     contexts = (grams.groupBy("hash", "before", "after", F.least("n_words", F.lit(window)).alias("need"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm import text as T
-from veilspark.llm.tables import small_batches
+from veilspark.llm.tables import lean, small_batches
 
 BUCKETS = 1 << 12
 SAMPLE_ROWS = 2400
@@ -185,7 +185,7 @@ def _predict(model: Model | None):
 def predict(model: Model | None, text: Column) -> Column:
     """struct<lang_pred, score, ambiguous> of a text. Null and letterless texts are ``und`` with score 0."""
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        return _predict(model)(batches)
+        return lean(_predict(model))(batches)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return F.pandas_udf(run, "lang_pred string, score double, ambiguous boolean")(text)

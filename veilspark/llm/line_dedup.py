@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
-from veilspark.llm.tables import small_batches
+from veilspark.llm.tables import lean, small_batches
 from veilspark.session import store
 
 MIN_WORDS = 50
@@ -89,7 +89,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small_batches(docs)
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("version"),
                         F.col(text_col).alias("text")).where("text IS NOT NULL AND id IS NOT NULL")
-    found = store(keyed.mapInArrow(_select(min_words), _FOUND), "line-fingerprints")
+    found = store(keyed.mapInArrow(lean(_select(min_words)), _FOUND), "line-fingerprints")
     # The same fingerprint twice in one document is one row with several windows.
     shared = store(found.groupBy("fingerprint").agg(F.sum(F.size("windows")).alias("n")).where("n > 1")
                    .select("fingerprint"), "line-shared")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm import text as T
 from veilspark.llm.components import components
-from veilspark.llm.tables import small_batches
+from veilspark.llm.tables import lean, small_batches
 from veilspark.session import store
 
 SHINGLE = 5
@@ -261,7 +261,7 @@ def _links(pairs: DataFrame, sequences: DataFrame, threshold: float) -> DataFram
     """The pairs (u, v) that are similar."""
     both = (store(pairs, "pairs").join(sequences.select(F.col("id").alias("u"), F.col("seq").alias("a")), "u")
             .join(sequences.select(F.col("id").alias("v"), F.col("seq").alias("b")), "v").select("u", "v", "a", "b"))
-    return both.mapInArrow(_verify(threshold), "u long, v long")
+    return both.mapInArrow(lean(_verify(threshold)), "u long, v long")
 
 
 def _ids(column: str) -> Column:
@@ -283,7 +283,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("threshold must be above 0 and at most 1")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("version"),
                        F.col(text_col).cast("string").alias("text"))
-    sketched = store(rows.mapInArrow(_sketch(bands, per_band, shingle), _DDL), "sketches")
+    sketched = store(rows.mapInArrow(lean(_sketch(bands, per_band, shingle)), _DDL), "sketches")
     worded = sketched.where("n_words > 0 AND id IS NOT NULL")
     same = ["same_1", "same_2"]
     first = store(worded.groupBy(*same).agg(F.min(F.struct("id", "version")).alias("first"))
@@ -299,7 +299,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     wanted = one.join(members.select("id").distinct(), "id", "left_semi")
     texts = rows.join(wanted.hint("shuffle_hash"), ["id", "version"], "left_semi").select("id", "text")
-    sequences = store(texts.mapInArrow(_sequences(shingle), "id long, seq array<int>"), "sequences")
+    sequences = store(texts.mapInArrow(lean(_sequences(shingle)), "id long, seq array<int>"), "sequences")
 
     def near(a: str, b: str) -> Column:
         """Sequences of very different length need no comparison."""

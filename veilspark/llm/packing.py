@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilspark.llm import text as T
-from veilspark.llm.tables import small_batches
+from veilspark.llm.tables import lean, small_batches
 from veilspark.session import store
 
 LENGTH = 2048
@@ -97,7 +97,6 @@ class Encoder:
 
 def _pieces(path: str, end_id: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.default_memory_pool().release_unused()       # a worker that served an earlier stage gives back what that took
         encoder = Encoder(path)
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
@@ -221,7 +220,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"),
                        F.col(text_col).cast("string").alias("text"))
     schema = "id long, row long, piece int, start long, length long, ids_crc32 long"
-    pieces = store(rows.mapInArrow(_pieces(tokenizer, end_id, size), schema), "pieces")
+    pieces = store(rows.mapInArrow(lean(_pieces(tokenizer, end_id, size)), schema), "pieces")
     # Rank within a length: counts for each block of rows first, then a running sum over blocks.
     block = F.shiftright("row", 33)
     held = pieces.groupBy("length", block.alias("block")).agg(F.count("*").alias("n"))
@@ -230,6 +229,6 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     in_block = W.partitionBy("length", "block").orderBy("row", "piece")
     ranked = (pieces.withColumn("block", block)
               .withColumn("nth", F.row_number().over(in_block) - 1)
-              .join(before.select("length", "block", "before"), ["length", "block"])
+              .join(before.select("length", "block", "before").hint("merge"), ["length", "block"])     # grows with the tasks: no broadcast
               .withColumn("at", _place(best_fit(counts, size))(F.col("length"), F.col("before") + F.col("nth"))))
     return ranked.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset")
