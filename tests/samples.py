@@ -88,3 +88,20 @@ TRICKY = [
     "SIREN 123 456 789 012 345 678", chr(0x212A) + "BO 0123456789", "PROVIſION de 3 euros", "l'attention de Madame Lec", "swift code swift BIC DEUTDEFF500",
     "d'Anvers et De Cour", "localhost 127.0.0.1 127.0.0.2", "x" * 3000 + " bob@y.example", "Ladite SA et Quantis SA",
 ]
+
+# A whole note: twenty-one findings of sixteen rules.
+LEGAL_NOTE = """Bonjour,
+
+Voici le projet de note pour le dossier Claes c. Brasserie Horizon SPRL, audience du 3 mai.
+
+Mon client, Monsieur Victor Claes, ne le 02/11/1969 a Liege, habite Rue du Moulin 17 a 7000 Mons. Vous pouvez l'appeler au +32 486 11 22 33
+ou ecrire a victor.claes@claes-conseil.be. Son registre national est 69.11.02-123.45 et son IBAN est BE71 0961 2345 6769.
+
+L'autre partie est representee par Maitre Julie Peeters (j.peeters@etude-modele.be, tel. 02 513 44 55). La societe Brasserie Horizon SPRL est
+inscrite a la TVA BE 0999.888.777.
+
+La carte 4111 1111 1111 1111 a ete debitee deux fois. L'indemnisation reclamee est de 9.750 EUR. La reference client
+est CLI-2023-0077.
+
+Le serveur repond sur 10.1.2.3 et sur https://ged.etude.cabinet.local.
+"""

@@ -1,10 +1,11 @@
+from collections import Counter
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from model import Model
-from samples import FIRING, NOTE, TRICKY
+from samples import FIRING, LEGAL_NOTE, NOTE, TRICKY
 from veilspark.functions import spans
 from veilspark.functions.validators import ipv4_ok, jwt_ok, luhn_ok, mask_value
 from veilspark.operators import scan
@@ -53,6 +54,16 @@ def test_note(spark):
         "iban", "vat-be", "builtin-card", "case-financial-amount", "employee-or-client-id", "builtin-ip", "internal-host"}
 
 
+def test_whole_note_has_exactly_its_findings(spark):
+    found, decision, severity = run(spark, [LEGAL_NOTE], default_rules())[0]
+    assert (decision, severity) == ("anonymize", "critical")
+    assert Counter(f[0] for f in found) == {
+        "matter-name": 1, "person-title-fullname": 1, "birth-info": 1, "address-street-first": 1, "phone-be": 2, "email": 2, "nrn-be": 1,
+        "iban": 1, "person-context-explicit": 1, "company-legal-form": 1, "vat-be": 1, "builtin-card": 1, "case-financial-amount": 2,
+        "employee-or-client-id": 3, "builtin-ip": 1, "internal-host": 1}
+    assert len(found) == 21
+
+
 def test_clean_prose(spark):
     texts = ["la forêt se renouvelle ainsi en permanence ; le client reste responsable, la prédation est disputée.",
              "Peux-tu m'expliquer la difference entre une clause penale et des arrhes ?"]
