@@ -175,3 +175,22 @@ def test_lookup_with_hot_keys(spark):
 def test_replace_skips_overlaps(spark, text, spans, result):
     df = spark.createDataFrame([(text, spans)], "t string, s array<struct<start:int,end:int,put:string>>")
     assert df.select(vt.replace_spans(F.col("t"), F.col("s"))).first()[0] == result
+
+
+def test_stored_hidden_texts_do_not_move_when_revealed(spark):
+    docs = spark.createDataFrame([(i, "s", f"card [CARD_{i % 7:06x}] and [NO_000000]") for i in range(200)] + [(None, "s", "x"), (3, "s", "twice")],
+                                 "doc_id int, session string, anonymized string")
+    vault = spark.createDataFrame([("s", f"v{k}", f"[CARD_{k:06x}]", 30) for k in range(7)], "session string, value string, placeholder string, uses long")
+    hidden = vt.store_hidden(docs)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        back = vt.reveal(hidden, vault)
+        plan = back._jdf.queryExecution().executedPlan().toString()
+        rows = {(r.doc_id, r.revealed) for r in back.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert rows == {(i, f"card v{i % 7} and [NO_000000]") for i in range(200)} | {(None, "x"), (3, "twice")}
+    join = plan[plan.index("SortMergeJoin"):]
+    left = join[:join.index("Bucketed: true")]
+    assert "Exchange" not in left and "anonymized" in left

@@ -11,6 +11,8 @@ and what meets the texts again is the short list of documents with exceptions.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from veilspark.functions.placeholders import PLACEHOLDER, base_of, compose, mint
@@ -19,7 +21,7 @@ from veilspark.operators.events import newest_per_key
 from veilspark.operators.scan import finding_rollup
 from veilspark.rules.model import SEVERITIES
 from veilspark.schema import FINDING
-from veilspark.session import store
+from veilspark.session import new_path, store
 
 HOT_SHARE = 1000          # a key is hot above 1/1000 of all rows: at most 1000 such keys
 VAULT_CAP = 5000
@@ -194,6 +196,21 @@ def anonymize(docs: DataFrame, vault: DataFrame, salt: str | Column, id_col: str
         into, replace_spans(F.col(text_col), F.col("__spans"))).drop("__spans", "__special")
 
 
+def store_hidden(docs: DataFrame, name: str = "hidden", id_col: str = "doc_id", buckets: int | None = None) -> DataFrame:
+    """Stores hidden texts bucketed and sorted by document, for :func:`reveal`.
+
+    What a reveal joins them with, a short list for each document, is dealt into the same buckets, so the texts stay
+    where they are. ``buckets`` must not be under ``spark.sql.shuffle.partitions``, which it is by default: Spark would
+    deal both sides anew. Rows that share an id lie in one bucket; null ids too.
+    """
+    spark = docs.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    (docs.repartition(buckets, id_col).write.bucketBy(buckets, id_col).sortBy(id_col)
+     .option("path", new_path(spark, name)).saveAsTable(table))
+    return spark.table(table)
+
+
 def tokens_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(0))
 

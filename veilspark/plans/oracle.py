@@ -494,6 +494,8 @@ def oracle_sql() -> dict[str, str]:
             words AS (SELECT doc_id, unnest(string_split_regex(text, '{WORD_SPLIT}')) AS word FROM long WHERE length(text) >= 12)
             SELECT doc_id, CASE word WHEN 'the' THEN 'ORG' WHEN 'der' THEN 'LOC' ELSE 'PER' END AS entity, count(*) AS n
             FROM words WHERE word IN ('the', 'les', 'der', 'with') GROUP BY 1, 2""",
+        "texts_revealed_in_place": _with(BUILTIN) + """SELECT doc_id, md5(text) AS digest,
+            CAST((SELECT count(*) FROM found WHERE found.doc_id = documents.doc_id) AS INTEGER) AS hidden FROM documents""",
         "stream_auth_blocks": _BLOCKS,
         "stream_scan": _with(HIDDEN) + "SELECT doc_id, md5(anonymized) AS digest FROM hidden",
     }

@@ -701,6 +701,16 @@ def texts_revealed(spark, sf):
     return vt.reveal(hidden, vault).select("doc_id", F.md5("revealed").alias("digest"))
 
 
+@query
+def texts_revealed_in_place(spark, sf):
+    """The original texts again, from bucketed hidden ones that no join moves, and how many values were hidden in each."""
+    found = _found(spark, sf)
+    vault = _vault(found)
+    hidden = vt.store_hidden(vt.anonymize(found, vault, SALT).select("doc_id", "session", "anonymized"))
+    back = vt.reveal(hidden, vault)
+    return back.select("doc_id", F.md5("revealed").alias("digest"), F.size(vt.tokens_of(F.col("anonymized"))).alias("hidden"))
+
+
 @query
 def texts_reveal_counts(spark, sf):
     found = _found(spark, sf)
