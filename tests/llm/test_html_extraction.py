@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 from veilspark.llm import html_extraction as H
 from veilspark.llm.queries import QUERIES
@@ -105,3 +107,56 @@ def test_groups_of_the_template_go_whatever_their_names():
         made = pages(body)
         fixed = frozenset(H.template_paths(H.infer(made)))
         assert [H.extract(p, fixed) for p in made] == [want.format(k=k, n=k * k) for k in range(12)]
+
+
+RECIPE = """<html><body><div class="q1"><a href="/">Home</a> <a href="/all">All recipes</a></div><article><h1>{name}</h1><h2>Ingredients</h2>
+<ul><li>{k} eggs<li>{n} grams of flour</ul><h3>Method</h3><p>Mix for {k} minutes.</p><p>Serve warm.</p><div class="z"><a href="x">Print</a> <a href="y">Save</a></div>
+</article></body></html>"""
+INTERVIEW = "<article><h1>Talk {k}</h1><p>Q: What is your name?</p><p>A: I am number {n}.</p><div>Thank you all.</div></article>"
+
+
+def test_headings_and_sentences_of_articles_stay(spark):
+    recipes = [RECIPE.format(name=f"Cake {k}", k=k, n=k * 50) for k in range(12)]
+    want = [f"Cake {k} Ingredients {k} eggs {k * 50} grams of flour Method Mix for {k} minutes. Serve warm." for k in range(12)]
+    assert extracted(spark, recipes) == want
+    assert H.extract(recipes[3]) == want[3] + " Print Save"       # without the wrapper the buttons stay
+    talks = [INTERVIEW.format(k=k, n=k * k) for k in range(12)]
+    assert extracted(spark, talks) == [f"Talk {k} Q: What is your name? A: I am number {k * k}. Thank you all." for k in range(12)]
+
+
+def random_page(rng):
+    def part(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(["Home", "News", "Shop now", "Buy.", f"text {rng.randrange(40)}", "<a href=x>Link</a>"])
+        name = rng.choice(["div", "div class=a", "div class=b1", "ul", "p", "section", "b", "article", "h2"])
+        return f"<{name}>" + "".join(part(depth - 1) for _ in range(rng.randrange(1, 4))) + f"</{name.split()[0]}>"
+    return "".join(part(4) for _ in range(3))
+
+
+def test_texts_do_not_depend_on_how_pages_are_dealt(spark):
+    rng = random.Random(6)
+    bars = [f"<div class=t{rng.randrange(2)}><ul><li>{rng.choice(['Home', 'Start'])}<li>News</ul></div>" for _ in range(240)]
+    pages = [(i, f"http://h{i % 5}/", bars[i] + random_page(rng)) for i in range(240)]
+    made = spark.createDataFrame(pages, "page_id long, url string, html string")
+    template = {h: frozenset(H.template_paths(H.infer([p for _, u, p in pages if u == f"http://{h}/"]))) for h in {f"h{k}" for k in range(5)}}
+    want = {i: H.extract(p, template[u[7:-1]]) for i, u, p in pages}
+    assert want != {i: H.extract(p) for i, _, p in pages}
+    for parts in (1, 6, 40):
+        assert {r["page_id"]: r["text"] for r in H.main_text(made.repartition(parts)).collect()} == want
+
+
+def test_long_menus_with_many_variants_go():
+    def page(k):
+        menu = "".join(f"<li><a href='{j}'>Topic {j + k % 11}</a>" for j in range(90))
+        return f"<div class='m'><ul>{menu}</ul></div><div><h2>Head {k}</h2><p>Story {k * k}</p></div>"
+    pages = [page(k) for k in range(66)]            # eleven variants, each on six pages, of more than 64 entries
+    template = frozenset(H.template_paths(H.infer(pages)))
+    assert [H.extract(p, template) for p in pages] == [f"Head {k} Story {k * k}" for k in range(66)]
+
+
+def test_time_follows_the_length_of_a_page():
+    for piece in ("<div>x", "<b>x", "<p><b>x", "<li><i>y", "</p><a>", "<article>z", "<td><div>"):
+        page = piece * (1_000_000 // len(piece))
+        began = time.process_time()
+        H.extract(page)
+        assert time.process_time() - began < 12, piece

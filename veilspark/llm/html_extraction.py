@@ -1,17 +1,24 @@
 """Main text of web pages by wrappers inferred for each host.
 
 Method: union-free regular-expression inference. A page's token stream is read
-as nested elements; runs of alike siblings become one repeated group, which
-keeps a digest of what it held. The streams of all pages of a host are aligned
-with the wrapper so far: equal tokens stay, different texts become text slots,
-and tokens that one side lacks become optional groups. Partial wrappers of the
-parts of the input are merged in a tree.
-
-A group is template where it has the same content on every page that has it, or
-one of at most ``VARIANTS`` contents, and each content stands on at least
-``SUPPORT`` pages that differ in their other text; copies of a page count once.
-A page loses a group only where its content is the template's. Groups that the
-wrapper does not settle are judged by their element and class names.
+as nested groups: an element with its neighbours of the same name is one
+repeated group. The streams of a host's pages are aligned group by group, by
+the names from the root down: what differs in a text becomes a slot, a group
+that some pages lack becomes optional, one that stands several times repeated.
+Each group of the wrapper knows its contents and on how many pages, which differ
+in their other text, each of them stands; copies of a page count once. All of
+this is counting, so wrappers of parts of the input merge exactly, in any order:
+over a whole table it is one aggregation by host, path and content.
+
+A group is template where each of its contents stands on at least ``SUPPORT``
+such pages, and a page loses its template groups. Only containers go, never a
+heading, a paragraph or a sentence by itself; and within an article only
+containers that look like a menu or buttons: without paragraphs, headings or
+sentences, and with links or short labels alone. What the wrapper does not
+settle is judged by element and class names.
+
+A page is parsed once, in time proportional to its length: its texts and groups
+are stored, and the template decides over those.
 """
 
 from __future__ import annotations
@@ -24,19 +31,15 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 from hashlib import blake2b
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.tables import small_batches
+from veilspark.llm.tables import lean, small_batches
 from veilspark.session import store
 
 SUPPORT = 3
-VARIANTS = 8
-WIDE = 64           # longer lists of children lose their order: one group for each name
-DEPTH = 100         # elements further down are compared only as a whole
-SALTS = 16
+LABEL_WORDS = 3     # of a menu entry or button
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*"|'[^']*'|[^>"'])*+)>""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
@@ -62,25 +65,14 @@ _OUTSIDE_NAMES = frozenset(
 # What a class name may have beside those: site-header, share-buttons; but not has-sidebar or comment-open.
 _BESIDE = frozenset("site page top bottom left right main global primary secondary box bar wrap wrapper container inner outer list links "
                     "link buttons button icons area block section item items mobile desktop post posts articles stories news".split())
+# These go only with what holds them.
+_PARAGRAPHS = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre table figure dl".split())
+_PARTS = _PARAGRAPHS | frozenset("html body li dt dd tr td th thead tbody tfoot caption figcaption article main hr br".split())
+_SENTENCE = re.compile(r"[.!?\u2026\u3002][\"'\u201d\u2019)]*$")
 _NEVER_OUTSIDE = frozenset("html body main article".split())
 _MAIN_NAMES = frozenset("main article article-body articlebody article-content article-text main-content main-text main-article".split())
 
 
-@dataclass
-class Node:
-    """An element, or a text (no name). A text's value is None where it is a slot."""
-
-    name: str
-    children: list[Node] = field(default_factory=list)
-    value: str | None = None
-    optional: bool = False
-    repeated: bool = False
-    #: Content digest -> the smallest SUPPORT digests of pages that have it; None: too many contents.
-    seen: dict[str, list[str]] | None = field(default_factory=dict)
-    digest: str = ""
-    number: int = -1        # of a text, in page order
-
-
 def _signature(name: str, attributes: str) -> str:
     names = []
     for m in _ATTRIBUTE.finditer(attributes):
@@ -117,373 +109,339 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
         yield "text", html.unescape(page[at:])
 
 
-def walk(page: str) -> Iterator[tuple[str, list[str], str]]:
-    """tokens() with the open elements, after closing what HTML closes by itself: (kind, signatures of open elements, value)."""
-    stack: list[str] = []
-    names: list[str] = []
+@lru_cache(maxsize=10_000)
+def outside(signature: str) -> bool:
+    """Whether an element is no part of an article, by its names: whole class names, never those of main elements."""
+    name, *classes = signature.split(".")
+    if name in _OUTSIDE:
+        return True
+    if name in _NEVER_OUTSIDE:
+        return False
+    parts = [set(c.split("-")) for c in classes]
+    return any(p & _OUTSIDE_NAMES and p <= _OUTSIDE_NAMES | _BESIDE for p in parts)
 
-    def close(to: int) -> None:
-        del stack[to:], names[to:]
 
-    for kind, value in tokens(page):
-        if kind == "start":
-            name = value.split(".", 1)[0]
-            if name in _CLOSES_P and "p" in names:
-                last = len(names) - 1 - names[::-1].index("p")
-                if not any(n in _SCOPES for n in names[last + 1:]):
-                    close(last)
-            for k in range(len(names) - 1, -1, -1):
-                if names[k] in _CLOSES_SAME.get(name, ()):
-                    close(k)
-                    break
-                if names[k] in _SCOPES:
-                    break
-            stack.append(value)
-            names.append(name)
-            yield "start", stack, value
-        elif kind == "end":
-            if value in names:
-                last = len(names) - 1 - names[::-1].index(value)
-                close(last)
-            yield "end", stack, value
-        elif kind == "void" and value == "hr" and "p" in names:
-            yield "void", stack, value
-        else:
-            yield kind, stack, value
+@lru_cache(maxsize=10_000)
+def main(signature: str) -> bool:
+    name, *classes = signature.split(".")
+    return name in ("article", "main") or bool(_MAIN_NAMES.intersection(classes))
 
 
-def parse(page: str) -> Node:
-    """The page as nested elements with texts, white space collapsed."""
-    root = Node("")
-    open_nodes = [root]
-    number = -1
-    for kind, stack, value in walk(page):
-        del open_nodes[len(stack) + (kind != "start"):]
-        if kind == "start":
-            del open_nodes[len(stack):]
-            node = Node(value)
-            open_nodes[-1].children.append(node)
-            open_nodes.append(node)
-        elif kind == "text":
-            number += 1
-            text = _SPACE.sub(" ", value).strip()
-            if text:
-                open_nodes[-1].children.append(Node("", value=text, number=number))
-        elif kind == "void":
-            open_nodes[-1].children.append(Node(value))
-    return root
 
+def _number(*parts: bytes) -> int:
+    return int.from_bytes(blake2b(b"\0".join(parts), digest_size=8).digest(), "little", signed=True)
 
-def _key(node: Node) -> str:
-    return node.name or "#"
 
+def _bytes(number: int) -> bytes:
+    return number.to_bytes(8, "little", signed=True)
 
-def _digest(parts) -> str:
-    return blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
 
+INSIDE, ENCLOSED, OTHER, GONE = range(4)        # where a text lies: in an article, in one within surroundings, in none, outside
 
-def _sign(root: Node) -> None:
-    """Sets the digest of every node: its name and all that it holds."""
-    for node in _leaves_first(root):
-        node.digest = _digest([node.name, node.value or "", *(c.digest for c in node.children)])
 
+@dataclass
+class Group:
+    """An element, or neighbours of one name, as the page has it."""
 
-def _leaves_first(root: Node) -> list[Node]:
-    out, todo = [], [root]
-    while todo:
-        out.append(todo.pop())
-        todo += out[-1].children
-    return out[::-1]
+    path: int                   # number of the names from the root down
+    name: str
+    parent: int                 # place in the page's list of groups, -1 for the root
+    place: int = 0              # among the groups of its parent
+    size: int = 1
+    content: bytes = b""
+    whole: bool = False         # holds (part of) a main element
+    strict: bool = False        # lies in an article
+    paragraphs: bool = False    # holds a paragraph, heading or sentence
+    labels: bool = True         # all its texts are short
+    letters: int = 0
+    linked: int = 0             # letters in links
+
+    @property
+    def removable(self) -> bool:
+        if self.whole or self.name.split(".", 1)[0] in _PARTS | _INLINE:
+            return False
+        return not self.strict or (not self.paragraphs and (self.labels or 2 * self.linked >= self.letters))
 
 
-def _runs(children: list[Node]) -> Iterator[tuple[list[Node], str]]:
-    """Neighbours of one name, with the digest of the whole run."""
-    at = 0
-    while at < len(children):
-        end = at + 1
-        while end < len(children) and _key(children[end]) == _key(children[at]):
-            end += 1
-        yield children[at:end], children[at].digest if end == at + 1 else _digest(c.digest for c in children[at:end])
-        at = end
+@dataclass
+class Page:
+    """What a page's template and names decide over: texts with their block, kind and group, and the groups."""
 
+    texts: list[str] = field(default_factory=list)
+    block: list[int] = field(default_factory=list)
+    kind: list[int] = field(default_factory=list)
+    group: list[int] = field(default_factory=list)
+    groups: list[Group] = field(default_factory=list)
+    has_main: bool = False      # has an article element that counts even if it is empty
+    essence: int = 0            # of the texts that the names leave: pages that differ only in menus or adverts are copies
 
-def _essence(root: Node) -> str:
-    """Digest of the texts that the names leave: pages that differ only in menus or adverts are copies."""
-    texts, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        if node.value is not None:
-            texts.append(node.value)
-        elif not node.name or not outside(node.name):
-            todo += node.children[::-1]
-    return _digest(texts)
-
-
-def _together(a: dict | None, b: dict | None) -> dict | None:
-    if a is None or b is None:
-        return None
-    out = dict(a)
-    for content, pages in b.items():
-        out[content] = sorted({*out.get(content, ()), *pages})[:SUPPORT]
-    return out if len(out) <= VARIANTS else None
-
-
-def merge(a: Node, b: Node) -> Node:
-    """The least general wrapper of two nodes with the same name."""
-    optional, repeated, seen = a.optional or b.optional, a.repeated or b.repeated, _together(a.seen, b.seen)
-    if not a.name and not a.children and not b.children:
-        return Node("", [], a.value if a.value == b.value else None, optional, repeated, seen)
-    return Node(a.name, align(a.children, b.children), None, optional, repeated, seen)
-
-
-def collapse(node: Node) -> Node:
-    """The node with neighbouring children of one name merged into a repeated group, from the leaves up."""
-    out: list[Node] = []
-    for child in (collapse(c) for c in node.children):
-        if out and _key(out[-1]) == _key(child):
-            out[-1] = merge(out[-1], child)
-            out[-1].repeated = True
-        else:
-            out.append(child)
-    return Node(node.name, out, node.value, node.optional, node.repeated, node.seen)
-
-
-def align(a: list[Node], b: list[Node]) -> list[Node]:
-    """Children of both in one order: matched ones merged, the others optional (a longest common subsequence by name)."""
-    left, right = [_key(x) for x in a], [_key(x) for x in b]
-    if left == right:
-        return [merge(x, y) for x, y in zip(a, b, strict=True)]
-    n, m = len(a), len(b)
-    if max(n, m) > WIDE:
-        return _unordered(a + b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(m - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if left[i] == right[j] else max(below[j], row[j + 1])
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and left[i] == right[j]:
-            out.append(merge(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j >= m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            out.append(_optional(a[i]))
-            i += 1
-        else:
-            out.append(_optional(b[j]))
-            j += 1
-    return out if len(out) <= WIDE else _unordered(out)
-
-
-def _optional(node: Node) -> Node:
-    return Node(node.name, node.children, node.value, True, node.repeated, node.seen)
-
-
-def _unordered(nodes: list[Node]) -> list[Node]:
-    """One optional repeated group for each name, in the order of names."""
-    groups: dict[str, Node] = {}
-    for node in nodes:
-        known = groups.get(_key(node))
-        groups[_key(node)] = _optional(node if known is None else merge(known, node))
-        groups[_key(node)].repeated |= known is not None
-    return [groups[k] for k in sorted(groups)]
-
-
-def _stream(page: str) -> Node:
-    """A page's elements with every run of alike siblings as one group that knows its content."""
-    root = parse(page)
-    _sign(root)
-    page_digest = _essence(root)
-    level = [root]
-    for _ in range(DEPTH):
-        level = [c for node in level for c in node.children]
-    for node in level:
-        node.children = []
-    for node in _leaves_first(root):
-        out = []
-        for run, digest in _runs(node.children):
-            group = run[0]
-            for other in run[1:]:
-                group = merge(group, other)
-            group.repeated = len(run) > 1
-            group.seen = {digest: [page_digest]}
-            out.append(group)
-        node.children = out
-    return root
-
-
-def infer(pages: list[str]) -> Node:
-    """The wrapper of some pages of one host, aligned one after another."""
-    wrapper = None
-    for page in pages:
-        wrapper = _joined(wrapper, _stream(page))
-    return wrapper if wrapper is not None else Node("")
-
-
-def _joined(wrapper: Node | None, other: Node) -> Node:
-    return other if wrapper is None else collapse(merge(wrapper, other))
-
-
-def expression(node: Node) -> str:
-    """A wrapper as a regular expression: # is a text slot, other texts are quoted."""
-    if not node.name and not node.children:
-        inner = "#" if node.value is None else json.dumps(node.value, ensure_ascii=False)
-    else:
-        inner = "".join(map(expression, node.children))
-        inner = f"<{node.name}>{inner}</>" if node.name else inner
-    mark = {(False, False): "", (True, False): "?", (False, True): "+", (True, True): "*"}[node.optional, node.repeated]
-    return f"({inner}){mark}" if mark else inner
 
+@dataclass
+class _Open:
+    """An open element: what holds for all below it, and what closing it needs."""
 
-@lru_cache(maxsize=10_000)
-def outside(signature: str) -> bool:
-    """Whether an element is no part of an article, by its names: whole class names, never those of main elements."""
-    name, *classes = signature.split(".")
-    if name in _OUTSIDE:
-        return True
-    if name in _NEVER_OUTSIDE:
-        return False
-    parts = [set(c.split("-")) for c in classes]
-    return any(p & _OUTSIDE_NAMES and p <= _OUTSIDE_NAMES | _BESIDE for p in parts)
+    name: str
+    group: int
+    drop: bool
+    article: bool
+    around: bool
+    outside: bool
+    link: bool
+    parts: list[bytes] = field(default_factory=list)
+    last: str = ""              # name of the last child
+    last_group: int = -1
+    children: int = 0
+
+
+def parse(page: str) -> Page:
+    """Reads a page in one pass; what HTML closes by itself is closed."""
+    out = Page()
+    root = Group(0, "", -1)
+    out.groups.append(root)
+    stack = [_Open("", 0, False, False, False, False, False)]
+    at: dict[str, list[int]] = {}       # places of open elements, by name
+    scopes: list[int] = []
+    essence, block = blake2b(digest_size=8), 0
 
+    def close(to: int) -> None:
+        while len(stack) > to:
+            done = stack.pop()
+            at[done.name].pop()
+            if scopes and scopes[-1] == len(stack):
+                scopes.pop()
+            group, parent = out.groups[done.group], stack[-1]
+            digest = blake2b(b"\0".join([group.name.encode("utf-8", "surrogatepass"), *done.parts]), digest_size=8).digest()
+            parent.parts.append(digest)
+            group.content = digest if not group.content else blake2b(group.content + digest, digest_size=8).digest()
+            above = out.groups[parent.group]
+            if group.parent >= 0 and above is not group:
+                above.whole |= group.whole
+                above.paragraphs |= group.paragraphs
+                above.labels &= group.labels
+
+    def enter(signature: str) -> Group:
+        parent = stack[-1]
+        if parent.last == signature and parent.last_group >= 0:
+            group = out.groups[parent.last_group]
+            group.size += 1
+        else:
+            above = out.groups[parent.group]
+            group = Group(_number(_bytes(above.path), signature.encode("utf-8", "surrogatepass")), signature, parent.group, parent.children,
+                          strict=parent.article)
+            parent.children += 1
+            out.groups.append(group)
+            parent.last_group = len(out.groups) - 1
+        parent.last = signature
+        return group
 
-@lru_cache(maxsize=10_000)
-def main(signature: str) -> bool:
-    name, *classes = signature.split(".")
-    return name in ("article", "main") or bool(_MAIN_NAMES.intersection(classes))
+    for kind, value in tokens(page):
+        if kind == "text":
+            text = _SPACE.sub(" ", value)
+            top = stack[-1]
+            out.texts.append(value)
+            out.block.append(block)
+            out.group.append(top.group)
+            out.kind.append(GONE if top.drop else OTHER if not top.article else ENCLOSED if top.around else INSIDE)
+            if text and text != " ":
+                raw = text.strip().encode("utf-8", "surrogatepass")
+                top.parts.append(raw)
+                top.last = ""
+                group, words = out.groups[top.group], text.split()
+                group.labels &= len(words) <= LABEL_WORDS
+                group.paragraphs |= _SENTENCE.search(words[-1]) is not None
+                group.letters += len(text)
+                group.linked += len(text) if top.link else 0
+                if not top.drop:
+                    essence.update(raw + b"\0")
+            continue
+        name = value.split(".", 1)[0]
+        if name not in _INLINE or kind == "raw":
+            block += 1
+        if kind == "start":
+            if name in _CLOSES_P and at.get("p") and not (scopes and scopes[-1] > at["p"][-1]):
+                close(at["p"][-1])
+            same = _CLOSES_SAME.get(name)
+            if same:
+                last = max((at[n][-1] for n in same if at.get(n)), default=-1)
+                if last >= 0 and not any(k > last for k in scopes[-1:] if stack[k].name not in same):
+                    close(last)
+            parent, group = stack[-1], enter(value)
+            away = outside(value)
+            if main(value):
+                out.has_main |= not (parent.outside or away)
+                opened = _Open(name, parent.last_group, False, True, parent.around or parent.drop, parent.outside or away, parent.link)
+                group.whole = True
+            else:
+                opened = _Open(name, parent.last_group, parent.drop or away, parent.article, parent.around, parent.outside or away,
+                               parent.link or name == "a")
+            group.paragraphs |= name in _PARAGRAPHS
+            at.setdefault(name, []).append(len(stack))
+            if name in _SCOPES:
+                scopes.append(len(stack))
+            stack.append(opened)
+        elif kind == "end":
+            if at.get(value):
+                close(at[value][-1])
+        elif kind == "void":
+            if value == "hr" and at.get("p") and not (scopes and scopes[-1] > at["p"][-1]):
+                close(at["p"][-1])
+            stack[-1].parts.append(b"<" + value.encode() + b">")
+            enter(value).content = b"<>"
+    close(1)
+    for group in out.groups[:0:-1]:         # children stand behind their parents
+        above = out.groups[group.parent]
+        above.letters += group.letters
+        above.linked += group.linked
+    out.essence = int.from_bytes(essence.digest(), "little", signed=True)
+    return out
 
 
-def _phrase(node: Node) -> bool:
-    return not node.name or node.name.split(".", 1)[0] in _INLINE
+# ------------------------------------------------------------------ wrappers
 
+@dataclass
+class Wrapper:
+    """A group of a host's wrapper: the groups of all its pages that have one path."""
 
-def template_paths(wrapper: Node) -> list[str]:
-    """Path and content of every group that belongs to the template.
+    name: str
+    pages: int = 0
+    repeated: bool = False
+    places: int = 0             # sum over occurrences, of which there are ``count``: gives the order among the parent's groups
+    count: int = 0
+    seen: dict[int, set[int]] = field(default_factory=dict)     # content -> pages, told apart by their essence
+    removable: bool = False
+    texts: set[str] | None = field(default_factory=set)         # of a group without elements; None: a slot
+    inner: dict[int, Wrapper] = field(default_factory=dict)
+
+
+def infer(pages: list[str]) -> Wrapper:
+    """The wrapper of some pages of one host."""
+    top = Wrapper("")
+    for read in map(parse, pages):
+        top.pages += 1
+        made, counted = {0: top}, set()
+        own: dict[int, str] = {}
+        for text, at in zip(read.texts, read.group, strict=True):
+            if value := _SPACE.sub(" ", text).strip():
+                own[at] = f"{own[at]} {value}" if at in own else value
+        for k, group in enumerate(read.groups[1:], 1):
+            node = made[k] = made[group.parent].inner.setdefault(group.path, Wrapper(group.name))
+            node.pages += group.path not in counted
+            counted.add(group.path)
+            node.repeated |= group.size > 1
+            node.places, node.count = node.places + group.place, node.count + 1
+            node.removable |= group.removable
+            node.seen.setdefault(_content(group), set()).add(read.essence)
+            if k in own and node.texts is not None:
+                node.texts = {own[k]} if node.texts <= {own[k]} and group.size == 1 else None
+    return top
+
+
+def _content(group: Group) -> int:
+    return int.from_bytes(group.content[:8].ljust(8, b"\0"), "little", signed=True)
+
+
+def expression(node: Wrapper, pages: int | None = None) -> str:
+    """A wrapper as a regular expression: # is a text slot, other texts are quoted."""
+    pages = node.pages if pages is None else pages
+    text = "" if node.texts == set() else "#" if node.texts is None else json.dumps(next(iter(node.texts)), ensure_ascii=False)
+    inner = text + "".join(expression(c, node.pages) for c in sorted(node.inner.values(), key=lambda c: (c.places / c.count, c.name)))
+    inner = f"<{node.name}>{inner}</>" if node.name else inner
+    mark = {(False, False): "", (True, False): "?", (False, True): "+", (True, True): "*"}[node.pages < pages, node.repeated]
+    return f"({inner}){mark}" if mark else inner
 
-    Texts and inline elements count only together with all others of their element: a sentence is not cut.
-    """
-    found = set()
-    todo = [(wrapper, "")]
+
+def template_paths(wrapper: Wrapper) -> list[int]:
+    """Paths of the groups that belong to the template."""
+    found, todo = [], [wrapper]
     while todo:
-        node, path = todo.pop()
-        constant = [c for c in node.children if c.seen and all(len(p) >= SUPPORT for p in c.seen.values())]
-        sure = set(map(id, constant))
-        whole = all(id(c) in sure for c in node.children if _phrase(c))
-        for child in node.children:
-            if id(child) in sure and (whole or not _phrase(child)):
-                found.update(f"{path}>{_key(child)}={content}" for content in child.seen)
-            elif not _phrase(child):
-                todo.append((child, f"{path}>{_key(child)}"))
+        node = todo.pop()
+        for path, child in node.inner.items():
+            if child.removable and all(len(p) >= SUPPORT for p in child.seen.values()):
+                found.append(path)
+            todo.append(child)
     return sorted(found)
 
 
-def template_texts(page: str, fixed: frozenset[str]) -> set[int]:
-    """Numbers of the page's texts that lie in groups of the template."""
-    root = parse(page)
-    _sign(root)
-    gone: set[int] = set()
-    todo = [(root, "")]
-    while todo:
-        node, path = todo.pop()
-        runs = [(run, f"{path}>{_key(run[0])}", digest) for run, digest in _runs(node.children)]
-        whole = all(f"{at}={digest}" in fixed for run, at, digest in runs if _phrase(run[0]))
-        for run, at, digest in runs:
-            if f"{at}={digest}" in fixed and (whole or not _phrase(run[0])):
-                gone.update(x.number for top in run for x in _leaves_first(top) if x.number >= 0)
-            elif not _phrase(run[0]):
-                todo += [(x, at) for x in run]
-    return gone
+def wrappers(parsed: DataFrame) -> DataFrame:
+    """(host, template): of each host the paths of template groups, from all of its pages (rows of :func:`parse_pages`).
+
+    Pages are told apart by their essence before they are counted, so a host with any part of all pages is spread.
+    """
+    groups = parsed.select("host", "essence", F.inline(F.arrays_zip("path", "content", "removable")))
+    counted = groups.groupBy("host", "path", "content").agg(F.count_distinct("essence").alias("n"), F.max("removable").alias("removable"))
+    paths = counted.groupBy("host", "path").agg(F.min("n").alias("least"), F.max("removable").alias("removable"))
+    return paths.where((F.col("least") >= SUPPORT) & F.col("removable")).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("template"))
 
 
-def extract(page: str | None, fixed: frozenset[str] = frozenset()) -> str:
-    """The main text of a page without its template: its article elements, or where it has none what is not outside.
+# ------------------------------------------------------------------ texts
+
+def text_of(texts: list[str], block: list[int], kind: list[int], gone: list[bool], has_main: bool) -> str:
+    """The main text: that of article elements, or where there are none of what is not outside.
 
     The names of what surrounds an article count only where other articles, or more text, stand outside such surroundings.
     """
-    if not page:
-        return ""
-    gone = template_texts(page, fixed) if fixed else ()
-    inside: list[list[str]] = [[]]
-    enclosed: list[list[str]] = [[]]
-    other: list[list[str]] = [[]]
-    has_main, number = False, -1
-    for kind, stack, value in walk(page):
-        if kind == "text":
-            number += 1
-            if number in gone:
-                continue
-            drop = around = article = False
-            for s in stack:
-                if main(s):
-                    around, article, drop = around or drop, True, False
-                elif not drop:
-                    drop = outside(s)
-            if drop:
-                continue
-            (other if not article else enclosed if around else inside)[-1].append(value)
-            has_main |= article and not around
-        elif kind == "raw" or value.split(".", 1)[0] not in _INLINE:
-            for blocks in (inside, enclosed, other):
-                blocks.append([])
-            if kind == "start" and main(value):
-                has_main = has_main or not any(outside(s) for s in stack)
-    if has_main:
-        return _joined_text(inside)
-    return max(_joined_text(other), _joined_text(enclosed), key=len)
-
-
-def _joined_text(blocks: list[list[str]]) -> str:
-    found = (_SPACE.sub(" ", "".join(b)).strip() for b in blocks)
-    return " ".join(b for b in found if b)
-
-
-def _pack(node: Node) -> list:
-    return [node.name, node.value, node.optional, node.repeated, node.seen, [_pack(c) for c in node.children]]
-
-
-def _unpack(row: list) -> Node:
-    return Node(row[0], [_unpack(c) for c in row[5]], row[1], row[2], row[3], row[4])
-
-
-def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Wrappers of the pages of each host in a part of the input."""
-    found: dict[str, Node] = {}
-
-    def emit() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"host": list(found), "part": [json.dumps(_pack(w)) for w in found.values()]},
-                                          schema=pa.schema([("host", pa.string()), ("part", pa.string())]))
-    for batch in batches:
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found[host] = _joined(found.get(host), _stream(page))
-        if len(found) > 256:
-            yield emit()
-            found.clear()
-    if found:
-        yield emit()
+    blocks: list[list[str]] = [[], [], []]
+    last = [-1, -1, -1]
+    for text, b, k, out in zip(texts, block, kind, gone, strict=True):
+        if k == GONE or out:
+            continue
+        if k == INSIDE:
+            has_main = True
+        if b != last[k]:
+            blocks[k].append(text)
+            last[k] = b
+        else:
+            blocks[k][-1] += text
+    inside, enclosed, other = (" ".join(filter(None, (_SPACE.sub(" ", t).strip() for t in b))) for b in blocks)
+    return inside if has_main else max(other, enclosed, key=len)
 
 
-def _merged(frame: pd.DataFrame) -> Node:
-    wrapper = None
-    for part in sorted(frame["part"]):
-        wrapper = _joined(wrapper, _unpack(json.loads(part)))
-    return wrapper
+def extract(page: str | None, template: frozenset[int] = frozenset()) -> str:
+    """The main text of a page without the groups of its host's template."""
+    if not page:
+        return ""
+    read = parse(page)
+    removed = _removed([g.path for g in read.groups], [g.parent for g in read.groups], [g.removable for g in read.groups], template)
+    return text_of(read.texts, read.block, read.kind, [removed[g] for g in read.group], read.has_main)
 
 
-def _part(frame: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"host": frame["host"].iloc[:1], "part": [json.dumps(_pack(_merged(frame)))]})
+def _removed(path: list[int], parent: list[int], removable: list[bool], template: frozenset[int]) -> list[bool]:
+    """Of each group whether it lies in one that the page loses; parents stand before their children."""
+    out = [False]
+    for k in range(1, len(path)):
+        out.append(out[parent[k]] or (removable[k] and path[k] in template))
+    return out
 
 
-def _wrapper(frame: pd.DataFrame) -> pd.DataFrame:
-    wrapper = _merged(frame)
-    return pd.DataFrame({"host": frame["host"].iloc[:1], "expression": expression(wrapper), "fixed": [template_paths(wrapper)]})
+_PAGE = pa.schema([("id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("essence", pa.int64()), ("has_main", pa.bool_()),
+                   ("texts", pa.list_(pa.string())), ("block", pa.list_(pa.int32())), ("kind", pa.list_(pa.int32())), ("owner", pa.list_(pa.int32())),
+                   ("path", pa.list_(pa.int64())), ("parent", pa.list_(pa.int32())), ("content", pa.list_(pa.int64())), ("removable", pa.list_(pa.bool_()))])
+_PAGE_DDL = ("id long, url string, host string, essence long, has_main boolean, texts array<string>, block array<int>, kind array<int>, "
+             "owner array<int>, path array<bigint>, parent array<int>, content array<bigint>, removable array<boolean>")
+_AT_ONCE = 1 << 22      # letters of pages whose parts are put into one batch
 
 
-def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, expression, fixed): the wrapper of each host from all of its pages, and its template."""
-    rows = pages.select(_host(url_col).alias("host"), F.col(html_col).cast("string").alias("page")).where("page != ''")
-    parts = rows.mapInArrow(_partial, "host string, part string").withColumn("salt", F.pmod(F.xxhash64("part"), F.lit(SALTS)))
-    parts = parts.groupBy("host", "salt").applyInPandas(_part, "host string, part string")
-    return store(parts.groupBy("host").applyInPandas(_wrapper, "host string, expression string, fixed array<string>"), "wrappers")
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows, size = [], 0
+    for batch in batches:
+        for id_, url, host, page in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            read = parse(page or "")
+            groups = read.groups
+            # Texts outside stay in the groups' contents only.
+            kept = [i for i, k in enumerate(read.kind) if k != GONE]
+            rows.append((id_, url, host, read.essence, read.has_main, [read.texts[i].encode("utf-8", "replace").decode() for i in kept],
+                         [read.block[i] for i in kept], [read.kind[i] for i in kept], [read.group[i] for i in kept], [g.path for g in groups],
+                         [g.parent for g in groups], [_content(g) for g in groups], [g.removable for g in groups]))
+            size += len(page or "")
+            if size >= _AT_ONCE:
+                yield _batch(rows)
+                rows, size = [], 0
+    if rows:
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PAGE, strict=True)], schema=_PAGE)
 
 
 def _host(url_col: str):
@@ -492,22 +450,33 @@ def _host(url_col: str):
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fixed = [frozenset(f) if f else frozenset() for f in batch.column(3).to_pylist()]
-        texts = [extract(page, f) for page, f in zip(batch.column(2).to_pylist(), fixed, strict=True)]
+        texts = []
+        for has_main, pieces, block, kind, owner, path, parent, removable, template in zip(*(batch.column(k).to_pylist() for k in range(2, 11)), strict=True):
+            removed = _removed(path, parent, removable, frozenset(template)) if template else [False] * len(path)
+            texts.append(text_of(pieces, block, kind, [removed[g] for g in owner], has_main))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
             names=["id", "url", "text", "n_chars"])
 
 
+def parse_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """One row per page: its texts, with what is outside by name left out, and its groups."""
+    rows = pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), _host(url_col), F.col(html_col).cast("string"))
+    return rows.mapInArrow(lean(_parsed), _PAGE_DDL)
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, text, n_chars (code points of the text).
 
     Null and empty pages give an empty text; pages without a host share one
-    wrapper. Repeated rows are extracted each for itself; other columns are not looked at.
+    wrapper. Repeated rows are extracted each for itself, and count as one page in the
+    wrapper; other columns are not looked at. An empty table gives an empty result. Pages may be
+    of any length and nested to any depth: the time of one follows its length. Of equally long texts in and
+    outside surroundings the one outside counts.
     """
     small_batches(pages)
-    known = wrappers(pages, url_col, html_col).where(F.size("fixed") > 0).select(F.col("host").alias("known_host"), "fixed")
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"),
-                        F.col(html_col).cast("string").alias("page"), _host(url_col).alias("host"))
-    joined = rows.join(known, F.col("host") == F.col("known_host"), "left").select("id", "url", "page", "fixed")
-    return joined.mapInArrow(_texts, "id long, url string, text string, n_chars long").withColumnsRenamed({"id": id_col, "url": url_col})
+    parsed = store(parse_pages(pages, id_col, url_col, html_col), "pages-parsed")
+    known = store(wrappers(parsed), "wrappers").select(F.col("host").alias("known_host"), "template")
+    joined = parsed.join(known, F.col("host") == F.col("known_host"), "left").select(
+        "id", "url", "has_main", "texts", "block", "kind", "owner", "path", "parent", "removable", "template")
+    return joined.mapInArrow(lean(_texts), "id long, url string, text string, n_chars long").withColumnsRenamed({"id": id_col, "url": url_col})
