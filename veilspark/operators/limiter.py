@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from veilspark.session import store
+
 # Task functions of this module travel inside the plan: workers need no install.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -68,7 +70,7 @@ def auth_blocks(log: DataFrame, limit: int = LIMIT, window_seconds: int = WINDOW
         F.count_if(F.col("failed")).alias("failures"), F.max(~F.col("failed")).alias("success"))
     # Only addresses, and then chains, with enough failures can reach the limit; the others never leave the engine.
     likely = counted.groupBy("ip").agg(F.sum("failures").alias("n")).where(F.col("n") >= limit).select("ip")
-    chains = _chains(counted.join(likely, "ip", "left_semi"), window_seconds)
+    chains = store(_chains(counted.join(likely, "ip", "left_semi"), window_seconds), "chains")      # read twice: to count and to fold
     enough = chains.groupBy("ip", "chain").agg(F.sum("failures").alias("n")).where(F.col("n") >= limit).select("ip", "chain")
     chains = chains.join(enough, ["ip", "chain"], "left_semi")
     span = window_seconds * 1_000_000
