@@ -187,6 +187,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     contaminated: some word is hit and ``share * n_hit >= n_words``. Null and
     empty texts have no words and no hits; items without an id or words are left out, and
     items that share an id count once. Repeated rows are each judged for themselves. Other columns are not looked at.
+    Equal smallest hashes of a window are all kept. Texts may be of any length; an empty table gives an empty result.
     """
     rows, spans = hits(docs, items, id_col, text_col, item_col, item_text_col, window, k)
     spans = store(spans, "contamination-spans")

@@ -197,7 +197,7 @@ def identify(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_
 
     Languages are those of the training rows with a text and a language; without
     any, every text is ``und``. Repeated rows are predicted each for itself. A tie between
-    languages goes to the first in alphabetical order.
+    languages goes to the first in alphabetical order. Whole texts are read, of any length; an empty table gives an empty result.
     """
     small_batches(docs)
     model = fit(training, text_col, lang_col, id_col, sample_rows)

@@ -131,7 +131,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     than ``min_words`` words and rows without an id stay unchanged. Rows that
     share an id are ordered by line alone; rows equal in id and text count as
     one document and are treated alike. A clashing ``n_deleted_lines`` column is
-    replaced.
+    replaced. Texts may have any length and number of lines; an empty table gives
+    an empty result.
     """
     cut = (repeated_lines(docs, id_col, text_col, min_words)
            .groupBy("id", "version")

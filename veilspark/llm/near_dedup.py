@@ -276,7 +276,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept says that it is that document. Texts without words (null, empty) are
     alone in their group, and so are rows without an id (group null, kept).
     Rows that share an id are one document with several texts, linked if one of
-    them is. Other columns are not looked at.
+    them is. Other columns are not looked at. Texts of any length are compared
+    whole; equal sketches of different texts only make them candidates; an
+    empty table gives an empty result.
     """
     small_batches(docs)
     if not 0 < threshold <= 1:

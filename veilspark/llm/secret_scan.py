@@ -214,6 +214,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, id_col: str =
     Offsets are code points, the end exclusive; matches of one rule do not
     overlap, and spans are in order of start, then of the rules. Null texts are
     empty and have no spans. Repeated rows are scanned each for itself; other columns are not read.
+    Of matches of several rules at one place all are given. Texts may be of any length; an empty table gives an empty result.
     """
     small_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -113,6 +113,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
 
     Null URLs and those without :// have an empty host and path and are judged
     as such. Repeated rows are judged each for itself; other columns are not looked at.
+    A score of exactly the threshold blocks. URLs may be of any length; an empty table gives an empty result.
     """
     weights, bias = train(pages.sparkSession) if model is None else model
     host, path = host_and_path(F.col(url_col))

@@ -123,7 +123,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     directly; component_id is the smallest id reachable. Vectors that are null, empty, zero
     or hold a null or a number that is not finite, and vectors without a label or an
     id, have no links. Vectors of different lengths are never linked. Equal vectors are linked with each other; rows that
-    repeat an id with an equal vector count as one vector. Other columns are not looked at.
+    repeat an id with an equal vector count as one vector. Other columns are not looked at. Among equally near
+    pivots the first counts. An empty table gives an empty result.
     """
     if not 0 < shared <= nearest <= pivots <= 255:
         raise ValueError("0 < shared <= nearest <= pivots <= 255 is needed")
