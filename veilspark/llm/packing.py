@@ -57,18 +57,29 @@ class Encoder:
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         self.tokenizer, self.cached = _tokenizer(path), cached
+        self.marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, dtype="<u4").tobytes() for m in ".,;:!?"}
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}      # the table that was full last; words still in use move on from it
 
     def _learn(self, words: set[str]) -> None:
         known, before = self.known, self.before
-        new = []
+        new, marked = [], []
         for word in words:
             ids = before.get(word)
-            if ids is None:
-                new.append(word)
-            else:
+            if ids is not None:
                 known[word] = ids
+            elif word[-1:] in self.marks and word[:-1].isalpha() and max(word) <= "\xff":
+                marked.append(word)
+            else:
+                new.append(word)
+        if marked:          # letters and a mark are split before all else, so the word is mostly known without its mark
+            bare = {w[:-1] for w in marked}.difference(known, new)
+            for word in bare:
+                ids = before.get(word)
+                if ids is None:
+                    new.append(word)
+                else:
+                    known[word] = ids
         for at in range(0, len(new), 512):
             part = new[at:at + 512]
             starts = np.concatenate([[0], np.cumsum([len(w) + 1 for w in part])])
@@ -77,6 +88,8 @@ class Encoder:
             offsets = np.fromiter((a for a, _ in encoded.offsets), dtype=np.int64, count=len(ids) // 4)
             cuts = (4 * np.searchsorted(offsets, starts)).tolist()
             known.update(zip(part, map(ids.__getitem__, map(slice, cuts[:-1], cuts[1:])), strict=True))
+        for word in marked:
+            known[word] = known[word[:-1]] + self.marks[word[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of some texts; hand over a few at a time."""
@@ -213,6 +226,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     tokenizer is the path of a tokenizer file that executors can read. A null
     text is empty: its document is the end token alone. Repeated rows, and rows
     that share an id or have none, are packed each for itself. Other columns are not looked at.
+    Pieces of one length are placed in the order of rows; a text of any length is cut into pieces. An empty table gives an empty result.
     """
     small_batches(docs)
     if not 0 < size < 1 << 20:
