@@ -68,6 +68,7 @@ _BESIDE = frozenset("site page top bottom left right main global primary seconda
 # These go only with what holds them.
 _PARAGRAPHS = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre table figure dl".split())
 _PARTS = _PARAGRAPHS | frozenset("html body li dt dd tr td th thead tbody tfoot caption figcaption article main hr br".split())
+_NO_CONTAINERS = _PARTS | _INLINE
 _SENTENCE = re.compile(r"[.!?\u2026\u3002][\"'\u201d\u2019)]*$")
 _NEVER_OUTSIDE = frozenset("html body main article".split())
 _MAIN_NAMES = frozenset("main article article-body articlebody article-content article-text main-content main-text main-article".split())
@@ -156,9 +157,13 @@ class Group:
     letters: int = 0
     linked: int = 0             # letters in links
 
+    @property
+    def container(self) -> bool:
+        return self.parent >= 0 and self.name.split(".", 1)[0] not in _NO_CONTAINERS
+
     @property
     def removable(self) -> bool:
-        if self.whole or self.name.split(".", 1)[0] in _PARTS | _INLINE:
+        if self.whole or not self.container:
             return False
         return not self.strict or (not self.paragraphs and (self.labels or 2 * self.linked >= self.letters))
 
@@ -367,7 +372,7 @@ def wrappers(parsed: DataFrame) -> DataFrame:
 
     Pages are told apart by their essence before they are counted, so a host with any part of all pages is spread.
     """
-    groups = parsed.select("host", "essence", F.inline(F.arrays_zip("path", "content", "removable")))
+    groups = parsed.select("host", "essence", F.inline(F.arrays_zip("path", "content", "removable"))).where("path != 0")
     counted = groups.groupBy("host", "path", "content").agg(F.count_distinct("essence").alias("n"), F.max("removable").alias("removable"))
     paths = counted.groupBy("host", "path").agg(F.min("n").alias("least"), F.max("removable").alias("removable"))
     return paths.where((F.col("least") >= SUPPORT) & F.col("removable")).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("template"))
@@ -427,11 +432,12 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for id_, url, host, page in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             read = parse(page or "")
             groups = read.groups
-            # Texts outside stay in the groups' contents only.
+            # Texts outside stay in the groups' contents only; of groups that are no containers only their place is needed.
+            contained = [g.container for g in groups]
             kept = [i for i, k in enumerate(read.kind) if k != GONE]
             rows.append((id_, url, host, read.essence, read.has_main, [read.texts[i].encode("utf-8", "replace").decode() for i in kept],
-                         [read.block[i] for i in kept], [read.kind[i] for i in kept], [read.group[i] for i in kept], [g.path for g in groups],
-                         [g.parent for g in groups], [_content(g) for g in groups], [g.removable for g in groups]))
+                         [read.block[i] for i in kept], [read.kind[i] for i in kept], [read.group[i] for i in kept], [g.path if c else 0 for g, c in zip(groups, contained, strict=True)],
+                         [g.parent for g in groups], [_content(g) if c else 0 for g, c in zip(groups, contained, strict=True)], [g.removable for g in groups]))
             size += len(page or "")
             if size >= _AT_ONCE:
                 yield _batch(rows)
