@@ -47,7 +47,7 @@ def test_breach_state_and_table_forget_what_no_clock_reads(spark):
     days = {str(r.day) for r in read_table(spark, f"{root}/out").select(F.to_date("second").alias("day")).distinct().collect()}
     assert "2024-01-29" in days and min(days) >= "2024-01-15"
     counted = jobs.latest_rows(spark, f"{root}/out", "second", "org_id", "salt")
-    assert jobs.breach_clocks(counted, "2024-01-29 12:00:00", time_range="7d").first().critical == 10
+    assert jobs.breach_clocks(counted, "2024-01-29 12:00:00", time_range="7d").first().critical == 5
 
 
 LOG = "ip string, t double, failed boolean"
