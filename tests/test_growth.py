@@ -5,6 +5,7 @@ from collections import Counter
 import duckdb
 import pytest
 
+from veilspark.operators import ner
 from veilspark.plans import oracle
 from veilspark.plans import queries as q
 from veilspark.session import new_path
@@ -41,3 +42,18 @@ def test_addresses_are_those_of_the_sql_on_odd_texts(spark, name):
     duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{root}/documents.parquet/*.parquet'")
     want = duck.execute(oracle.oracle_sql()[name]).fetchall()
     assert Counter(map(tuple, q.QUERIES[name](spark, root).collect())) == Counter(want) and len(want) > 12
+
+
+def test_long_texts_are_not_stored_and_copies_are_tagged_once(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["the der " * 30_000, "the der " * 30_000, " " * 90_000, "les with " * 9_000, "the", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(2)
+    before = set(os.listdir(new_path(spark, "x").rsplit("/", 1)[0])) if os.path.exists(new_path(spark, "x").rsplit("/", 1)[0]) else set()
+    dealt = ner.detect_entities_dealt(df, "text", q.dictionary_model)
+    whole = ner.detect_entities(df, "text", q.dictionary_model)
+    found, want = ({r.id: (r.text, r.n, r.failed) for r in d.select("id", "text", F.hash("entities").alias("n"), F.col("entities_failed").alias("failed")).collect()}
+                   for d in (dealt, whole))
+    assert found == want and dealt.columns == whole.columns
+    folder = new_path(spark, "x").rsplit("/", 1)[0]
+    assert (set(os.listdir(folder)) if os.path.exists(folder) else set()) == before
