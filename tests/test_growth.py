@@ -4,11 +4,13 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from veilspark.operators import ner
 from veilspark.plans import oracle
 from veilspark.plans import queries as q
 from veilspark.session import new_path
+from veilspark.streaming import stateful
 
 
 def in_folders(spark, sf, *names):
@@ -45,8 +47,6 @@ def test_addresses_are_those_of_the_sql_on_odd_texts(spark, name):
 
 
 def test_long_texts_are_not_stored_and_copies_are_tagged_once(spark):
-    from pyspark.sql import functions as F
-
     texts = ["the der " * 30_000, "the der " * 30_000, " " * 90_000, "les with " * 9_000, "the", None]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(2)
     before = set(os.listdir(new_path(spark, "x").rsplit("/", 1)[0])) if os.path.exists(new_path(spark, "x").rsplit("/", 1)[0]) else set()
@@ -57,3 +57,44 @@ def test_long_texts_are_not_stored_and_copies_are_tagged_once(spark):
     assert found == want and dealt.columns == whole.columns
     folder = new_path(spark, "x").rsplit("/", 1)[0]
     assert (set(os.listdir(folder)) if os.path.exists(folder) else set()) == before
+
+
+def test_limiter_asks_for_state_by_bucket_and_slot(spark):
+    """Many addresses share the entries of few buckets, and one timer is pending for each."""
+    root, source = new_path(spark, "l"), new_path(spark, "src")
+    rows = [(str(i) if i else None, 10_000.0 + t, True) for i in range(300) for t in (0, 1, 2, 70)] + [("last", 99_999.0, False)]
+    for part in (rows[::2], rows[1::2]):
+        spark.createDataFrame(part, "ip string, t double, failed boolean").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("ip string, t double, failed boolean").parquet(source).select("ip", F.col("t").cast("timestamp").alias("ts"), "failed")
+        with stateful.rocksdb(spark):
+            found = stateful.auth_blocks_ordered(stream, limit=3, window_seconds=60, lateness="40 days", buckets=4)
+            (found.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp")
+             .trigger(availableNow=True).start().awaitTermination())
+    slots = spark.read.format("statestore").option("stateVarName", "slots").option("operatorId", 0).load(f"{root}/cp")
+    assert 0 < slots.count() <= 4 * 5
+    # a later batch far ahead ends the waiting
+    for t in (9e6, 9e6 + 1):
+        spark.createDataFrame([("end", t, False)], "ip string, t double, failed boolean").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("ip string, t double, failed boolean").parquet(source).select("ip", F.col("t").cast("timestamp").alias("ts"), "failed")
+        with stateful.rocksdb(spark):
+            found = stateful.auth_blocks_ordered(stream, limit=3, window_seconds=60, lateness="40 days", buckets=4)
+            (found.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp")
+             .trigger(availableNow=True).start().awaitTermination())
+    blocked = spark.read.schema("ip string, window_start timestamp, blocked_at timestamp").parquet(f"{root}/out")
+    assert sorted((r.ip or "0", r.s) for r in blocked.select("ip", F.unix_seconds("blocked_at").alias("s")).collect()) == sorted((str(i), 10_002) for i in range(300))
+
+
+def test_wire_lines_of_a_batch_are_written_by_all_tasks(spark, sf):
+    root = new_path(spark, "many")
+    spark.read.parquet(f"{sf}/events.parquet").repartition(6).write.parquet(f"{root}/events.parquet")
+    sources = []
+
+    def seen(spark, name, made=new_path):
+        path = made(spark, name)
+        sources.extend([path] if name == "wire" else [])
+        return path
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(q, "new_path", seen)
+        assert q.QUERIES["stream_ingest_rows"](spark, root).count() == q.QUERIES["stream_ingest_rows"](spark, sf).count()
+    assert sum(name.endswith(".txt") for name in os.listdir(sources[0])) > 3 * 2
