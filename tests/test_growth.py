@@ -98,3 +98,8 @@ def test_wire_lines_of_a_batch_are_written_by_all_tasks(spark, sf):
         patch.setattr(q, "new_path", seen)
         assert q.QUERIES["stream_ingest_rows"](spark, root).count() == q.QUERIES["stream_ingest_rows"](spark, sf).count()
     assert sum(name.endswith(".txt") for name in os.listdir(sources[0])) > 3 * 2
+
+
+def test_generated_events_are_parsed_once(spark, sf):
+    plan = q.QUERIES["events_generated"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("from_json(") <= 4

@@ -127,19 +127,23 @@ def _uuid_from(*parts):
 def generate_events(spark: SparkSession, n: int, seed: int = 42, now="2024-01-31 00:00:00", org: str = "default",
                     spread_days: int = 30, version: str = "2.0.0") -> DataFrame:
     """``n`` synthetic wire events; same seed, same rows, whatever the partitioning."""
-    def draw(name: str):
-        return F.pmod(F.xxhash64(F.lit(seed), F.lit(name), "id"), F.lit(1 << 40)) / float(1 << 40)
-
     types, severities, weights = zip(*FINDING_TYPES)
     severity_of = F.create_map(*[F.lit(x) for t, s in zip(types, severities) for x in (t, s)])
-    base = spark.range(n).select(
-        "id", _weighted(draw("llm"), *zip(*[(x[0], x[1]) for x in _LLMS])).alias("llm"),
-        _weighted(draw("action"), *zip(*_ACTIONS)).alias("action"), F.floor(draw("device") * _DEVICES).cast("int").alias("d"),
-        F.floor(draw("picks") * 3).cast("int").alias("more"))
+    # Every draw is a column, and so is every list that is read more than once: an expression is computed at each mention.
+    names = ["llm", "action", "device", "picks", "time", "length", *[f"{what}{i}" for i in range(3) for what in ("type", "count")]]
+    draws = spark.range(n).select("id", *[
+        (F.pmod(F.xxhash64(F.lit(seed), F.lit(name), "id"), F.lit(1 << 40)) / float(1 << 40)).alias(f"u_{name}") for name in names])
+
+    def draw(name: str):
+        return F.col(f"u_{name}")
+
     picks = F.array(*[F.struct(_weighted(draw(f"type{i}"), types, weights).alias("type"),
                                (F.floor(draw(f"count{i}") * 3) + 1).cast("int").alias("count")) for i in range(3)])
-    drawn = F.slice(picks, F.lit(1), F.col("more") + 1)
-    first_of_type = F.filter(drawn, lambda p, i: F.array_position(drawn["type"], p["type"]) == i + 1)
+    base = draws.select(
+        "id", _weighted(draw("llm"), *zip(*[(x[0], x[1]) for x in _LLMS])).alias("llm"),
+        _weighted(draw("action"), *zip(*_ACTIONS)).alias("action"), F.floor(draw("device") * _DEVICES).cast("int").alias("d"),
+        F.slice(picks, F.lit(1), F.floor(draw("picks") * 3).cast("int") + 1).alias("drawn"), draw("time"), draw("length"))
+    first_of_type = F.filter("drawn", lambda p, i: F.array_position(F.col("drawn")["type"], p["type"]) == i + 1)
     findings = F.when(F.col("action") == "CLEAN", F.array().cast(f"array<{schema.FINDING}>")).otherwise(
         F.transform(first_of_type, lambda p: F.struct(
             p["type"].alias("type"), severity_of[p["type"]].alias("severity"), p["count"].alias("count"))))
