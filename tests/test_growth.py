@@ -103,3 +103,8 @@ def test_wire_lines_of_a_batch_are_written_by_all_tasks(spark, sf):
 def test_generated_events_are_parsed_once(spark, sf):
     plan = q.QUERIES["events_generated"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < plan.count("from_json(") <= 4
+
+
+def test_patterns_ask_for_their_first_character_before_their_edges():
+    patterns = [p for m in (*q.builtin_rules().matchers, *q.word_rules().matchers) for group in m.conditions for p in group]
+    assert len(patterns) > 10 and all(p.startswith("(?=") for p in patterns)

@@ -228,4 +228,6 @@ def word_pattern(word: str) -> str:
             out.append("\\" + ch if ch in _LITERAL_SPECIAL else ch)
         else:
             out.append("[" + "".join("\\" + c if c in _CLASS_SPECIAL else c for c in same) + "]")
-    return _WORD_EDGE_BEFORE + "".join(out) + _WORD_EDGE_AFTER
+    # The first character is asked for before the edge: most positions are left after one comparison.
+    lead = f"(?={out[0]})" if out else ""
+    return lead + _WORD_EDGE_BEFORE + "".join(out) + _WORD_EDGE_AFTER
