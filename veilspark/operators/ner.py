@@ -32,25 +32,30 @@ _CANDIDATE = "struct<start:int,end:int,priority:int,value:string,entity:string>"
 def chunk_text(text: Column, size: int = CHUNK_CHARS) -> Column:
     """array<struct<offset,text>>: pieces of at most ``size`` characters, cut at
     the last space when that lies in the second half of the piece."""
+    # The length is counted once a text, not once a piece: counting reads the whole text.
+    return let(F.length(text), lambda length: _pieces(text, length, size))
+
+
+def _pieces(text: Column, length: Column, size: int) -> Column:
     half = size // 2
 
     def cut(state: Column, _: Column) -> Column:
         at = state["at"]
-        hard = F.least(at + size, F.length(text))
+        hard = F.least(at + size, length)
         window = F.substring(text, at + 1, F.lit(size + 1))
         space = at + F.length(window) - F.instr(F.reverse(window), " ")
-        soft = (hard < F.length(text)) & (F.instr(window, " ") > 0) & (space > at + half)
+        soft = (hard < length) & (F.instr(window, " ") > 0) & (space > at + half)
         end = F.when(soft, space).otherwise(hard)
-        return F.when(at >= F.length(text), state).otherwise(let(end, lambda e: F.struct(
+        return F.when(at >= length, state).otherwise(let(end, lambda e: F.struct(
             e.alias("at"), F.array_append(state["cuts"], F.struct(at.alias("a"), e.alias("b"))).alias("cuts"))))
 
-    steps = F.sequence(F.lit(0), F.floor(F.length(text) / half).cast("int"))
+    steps = F.sequence(F.lit(0), F.floor(length / half).cast("int"))
     none = F.array().cast("array<struct<a:int,b:int>>")
     cuts = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("cuts")), cut, lambda s: s["cuts"])
     many = F.transform(cuts, lambda c: F.struct(
         c["a"].alias("offset"), F.substring(text, c["a"] + 1, c["b"] - c["a"]).alias("text")))
     whole = F.array(F.struct(F.lit(0).alias("offset"), text.alias("text")))
-    return F.when(F.length(text) <= size, whole).otherwise(many)
+    return F.when(length <= size, whole).otherwise(many)
 
 
 def normalize_entities(chunks: Column, raw: Column) -> Column:
@@ -178,10 +183,9 @@ def merge_ner(df: DataFrame, text_col: str = "text", entities_col: str = "entiti
     def setting(key: str) -> Column:
         return F.create_map(*[F.lit(x) for group, s in active.items() for x in (group, s[key])])
 
-    length = F.length(text_col)
-    allowed = F.filter(entities_col, lambda e: e["entity"].isin(list(active)) & (
+    allowed = let(F.length(text_col), lambda length: F.filter(entities_col, lambda e: e["entity"].isin(list(active)) & (
         e["score"] >= F.element_at(setting("threshold"), e["entity"]))
-        & (e["end"] > e["start"]) & (e["end"] <= length))
+        & (e["end"] > e["start"]) & (e["end"] <= length)))
     candidates = F.transform(allowed, lambda e: F.struct(
         e["start"].alias("start"), e["end"].alias("end"),
         F.floor((1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), e["score"]))) * 1000 + 0.5).cast("int").alias("priority"),
