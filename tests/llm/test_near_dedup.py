@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import pytest
 
+from veilspark.llm import components as C
 from veilspark.llm import near_dedup as N
 from veilspark.llm.queries import QUERIES
 
@@ -112,3 +113,21 @@ def test_edges(frame):
     assert N.near_duplicates(frame([])).count() == 0
     with pytest.raises(ValueError):
         N.near_duplicates(frame([]), threshold=0)
+
+
+def test_components_of_few_links_need_no_steps(spark, monkeypatch):
+    rng = random.Random(3)
+    links = [(i, i + 1) for i in range(0, 200)] + [(rng.randint(300, 800), rng.randint(300, 800)) for _ in range(400)] + [(7, 7), (200, 0), (0, 200)]
+    least = {i: i for pair in links for i in pair}
+    for _ in range(len(least)):
+        for u, v in links:
+            least[u] = least[v] = min(least[u], least[v])
+    want = {(i, c) for i, c in least.items() if i != 7 or c != 7}
+    stored = []
+    monkeypatch.setattr(C, "store", lambda df, name="stage", made=C.store: stored.append(name) or made(df, name))
+    made = spark.createDataFrame(links, "u long, v long").repartition(7)
+    assert {tuple(r) for r in C.components(made).collect()} == want and len(stored) <= 2
+    monkeypatch.setattr(C, "PART", 50)                      # in parts, the rest by steps
+    found = [tuple(r) for r in C.components(made).collect()]
+    assert set(found) == want and len(found) == len(want)
+    assert C.components(made.where("u < 0")).count() == 0
