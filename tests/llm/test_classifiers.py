@@ -79,6 +79,26 @@ def test_toxicity_edges(frame):
     assert score([], train).count() == 0
 
 
+def test_toxicity_learns_from_all_labelled_rows(frame, monkeypatch):
+    """A word that few of many rows hold counts, in several parts as in one."""
+    rng = np.random.default_rng(1)
+    plain = lambda: " ".join(f"w{k}" for k in rng.integers(0, 60, 12))      # noqa: E731
+    train = [(i, plain() + (f" bad{i % 40}" if i % 4 == 0 else ""), "en", int(i % 4 == 0)) for i in range(1200)]
+    made = frame(train, "doc_id long, text string, lang string, toxic int")
+    model = X.fit(made.drop("toxic"), made.select("doc_id", "toxic"), part_rows=300)
+    held = frame([], "doc_id long, text string").sparkSession.createDataFrame([(str(r[0]),) for r in train], "id string")
+    held = held.selectExpr("int(id) AS i", "pmod(xxhash64(id, 5), 5) = 4 AS held").collect()
+    trained = [train[r["i"]][1] for r in held if not r["held"]]
+    words = next(T.words(pa.array([f"bad{k}" for k in range(0, 40, 4)])))
+    slots = X.slots(words)[:, 0]
+    assert all(sum(f" bad{k}" in text + " " for text in trained) >= 3 for k in range(0, 40, 4)) and (model.table[slots, 0] > 0).all()
+    scored = X.score_documents(frame([(k, f"w1 w2 bad{4 * k} w3") for k in range(10)] + [(99, "w1 w2 w3")], "doc_id long, text string"),
+                               made.drop("toxic"), made.select("doc_id", "toxic"), part_rows=300).collect()
+    assert [r["predicted"] for r in scored] == [1] * 10 + [0]
+    again = X.fit(made.drop("toxic").repartition(3), made.select("doc_id", "toxic"), part_rows=300)
+    assert (again.table == model.table).all() and (again.shift == model.shift).all()
+
+
 @pytest.mark.parametrize("texts", [["Hello, wörld x1", None, "", "a-b_c"], ["z" * 10, "z" * 10], []])
 def test_words_of_a_column(texts):
     import re
