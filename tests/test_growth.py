@@ -1,4 +1,5 @@
 """Larger tables: folders of files, long texts, and steps whose tasks must not grow with the whole table."""
+import json
 import os
 from collections import Counter
 
@@ -6,10 +7,12 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from test_events import VALID
 from veilspark.operators import ner
 from veilspark.plans import oracle
 from veilspark.plans import queries as q
 from veilspark.session import new_path
+from veilspark.sources import readers
 from veilspark.streaming import stateful
 
 
@@ -120,3 +123,22 @@ def test_generated_events_are_parsed_once(spark, sf):
 def test_patterns_ask_for_their_first_character_before_their_edges():
     patterns = [p for m in (*q.builtin_rules().matchers, *q.word_rules().matchers) for group in m.conditions for p in group]
     assert len(patterns) > 10 and all(p.startswith("(?=") for p in patterns)
+
+
+def test_plain_lines_are_parsed_once_with_the_same_errors(spark):
+    """A line without white space takes the short way, the same line with it the long one."""
+    finding, many = {"type": "email", "severity": "high", "count": 1}, [{"type": "e", "severity": "low", "count": 1}] * 3000
+    changes = [{}, {"x": 1}, {"findings": [{**finding, "x": 1}]}, {"findings": [finding, finding]}, {"findings": many}, {"findings": []}, {"findings": "[]"},
+               {"findings": None}, {"findings": [None]}, {"attachment": {"sha256": "ab", "truncated": True}}, {"attachment": {"zip": 1}}, {"attachment": {}},
+               {"timestamp": "2024-01-05T10:00:00"}, {"timestamp": "2024-01-05T10:00+01:00"}, {"timestamp": 5}, {"timestamp": None}, {"timestamp": "soon"},
+               {"hostname": 'a"b'}, {"hostname": "\u00e9"}, {"hostname": "x" * 5000}, {"promptLength": "12"}, {"promptLength": 1.5}, {"promptLength": -0}]
+    texts = [(i, json.dumps({**VALID, **change}, ensure_ascii=False, separators=between)) for i, change in enumerate(changes)
+             for between in ((",", ":"), (", ", " : "))]
+    whole = json.dumps(VALID, separators=(",", ":"))
+    broken = [whole[:-1], whole + "}", whole.replace(":12,", ":012,"), whole.replace(":12,", ":12"), whole.replace("{", "{,", 1), whole[:-1] + ",}", whole.replace("chat", "a\x01"), "{}", ""]
+    texts += [(100 + i, text) for i, line in enumerate(broken) for text in (line, line + "  ")]
+    rows = readers.parse_events(spark.createDataFrame(texts, "i int, value string")).drop("value").collect()
+    assert all(len(set(map(str, (r for r in rows if r.i == i)))) == 1 for i in {i for i, _ in texts})
+    plain = [bool(r.p) for r in spark.createDataFrame(texts, "i int, value string").select(F.col("value").rlike(readers._plain_line()).alias("p")).collect()]
+    assert plain[0] and not any(plain[1:2 * len(changes):2]) and sum(plain) >= 8
+    assert "filter(" not in readers.parse_events(spark.range(1).select(F.lit(whole).alias("value")))._jdf.queryExecution().analyzed().toString()

@@ -54,6 +54,12 @@ def page(df: DataFrame, org: str, time_range: str = "24h", llm: str | None = Non
     return rows if severity is None else has_severity(rows, severity)
 
 
+def without_nulls(*reasons: Column) -> Column:
+    """The reasons that hold, each once.  ``array_compact`` is a function of higher order, below which nothing is compiled:
+    every test would be interpreted for every row."""
+    return F.array_except(F.array(*reasons), F.array(F.lit(None).cast("string")))
+
+
 def validate_events(df: DataFrame) -> DataFrame:
     """Add ``errors``: one entry per broken constraint of a wire event."""
     c = F.col
@@ -96,7 +102,7 @@ def validate_events(df: DataFrame) -> DataFrame:
                   | (a["sizeBytes"] < 0) | (a["extractedChars"] < 0)))
     text("extensionVersion", 32, r"\A[0-9]+\.[0-9]+\.[0-9]+\z")
     tests.append(("schemaVersion: must be 1", c("schemaVersion").isNull() | (c("schemaVersion") != 1)))
-    return df.withColumn("errors", F.array_compact(F.array(*[F.when(bad, F.lit(why)) for why, bad in tests])))
+    return df.withColumn("errors", without_nulls(*[F.when(bad, F.lit(why)) for why, bad in tests]))
 
 
 def to_stored(df: DataFrame, ingested_at, *keep: str, ingest_id: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veilspark import schema
-from veilspark.operators.events import validate_events
+from veilspark.operators.events import validate_events, without_nulls
 
 _ALLOWED = list(schema.WIRE_EVENT)
 _FINDING_KEYS = ["type", "severity", "count"]
@@ -14,7 +14,23 @@ _ATTACHMENT_KEYS = ["sha256", "mimeType", "sizeBytes", "extractedChars", "trunca
 
 
 #: A time names a moment only with its offset.
-_TIME = r"\A[+-]?\d{4,9}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?(Z|[+-]\d{2}(:\d{2}){0,2})\z"
+_MOMENT = r"[+-]?\d{4,9}-\d{2}-\d{2}T\d{2}:\d{2}(?::\d{2}(?:[.,]\d{1,9})?)?(?:Z|[+-]\d{2}(?::\d{2}){0,2})"
+_TIME = rf"\A{_MOMENT}\z"
+
+
+def _plain_line() -> str:
+    """Lines written plainly (members in the declared order, no white space, no escapes), which cannot have the faults that
+    :func:`parse_events` looks for in the members as they are written: every name is declared and the time has its offset.
+    Its repeats are possessive, so that long lists need no stack."""
+    scalar = r'(?:"[^"\\\x00-\x1F]{0,4096}+"|-?(?:0|[1-9][0-9]{0,17}+)|null|true|false)'
+
+    def members(names: list[str], **own: str) -> str:
+        return r"\{" + "".join(rf'(?:"{name}":{own.get(name, scalar)}(?:,(?=")|(?=\}})))?+' for name in names) + r"\}"
+
+    finding = members(_FINDING_KEYS)
+    line = members(_ALLOWED, timestamp=f'"{_MOMENT}"', findings=rf"(?:\[(?:{finding}(?:,{finding})*+)?+\]|null)",
+                   attachment=f"(?:null|{members(_ATTACHMENT_KEYS)})")
+    return rf"\A{line}\z"
 
 
 def _unknown(keys, allowed):
@@ -27,23 +43,21 @@ def parse_events(lines: DataFrame, column: str = "value") -> DataFrame:
     raw = F.col(column)
     # One parse for the values, one for the members as they are written: the
     # names at the top come from the latter, deeper names from its short parts.
-    parsed = lines.withColumns({
-        "e": F.from_json(raw, schema.ddl(schema.WIRE_EVENT)), "__members": F.from_json(raw, "map<string,string>")})
+    # A plain line needs the first only.
+    marked = lines.withColumn("__plain", F.coalesce(raw.rlike(_plain_line()), F.lit(False)))
+    parsed = marked.withColumns({
+        "e": F.from_json(raw, schema.ddl(schema.WIRE_EVENT)),
+        "__members": F.when(~F.col("__plain"), F.from_json(raw, "map<string,string>"))})
     members = F.col("__members")
-    named = parsed.withColumns({
-        "__keys": F.map_keys(members),
-        "__finding_keys": F.flatten(F.transform(
-            F.from_json(members["findings"], "array<map<string,string>>"), lambda m: F.map_keys(m))),
-        "__attachment_keys": F.json_object_keys(members["attachment"]), "__time": members["timestamp"]}).drop("__members")
-    checked = validate_events(named.select("*", "e.*").drop("e"))
-    extra = F.array_compact(F.array(
-        F.when(F.col("__keys").isNull(), F.lit("not a JSON object")),
-        F.when(_unknown(F.col("__keys"), _ALLOWED), F.lit("unknown field")),
-        F.when(~F.col("__time").rlike(_TIME), F.lit("timestamp: no date, time and offset")),
-        F.when(_unknown(F.col("__finding_keys"), _FINDING_KEYS), F.lit("findings: unknown field")),
-        F.when(_unknown(F.col("__attachment_keys"), _ATTACHMENT_KEYS), F.lit("attachment: unknown field"))))
-    return checked.withColumn("errors", F.concat(extra, "errors")).drop(
-        "__keys", "__finding_keys", "__attachment_keys", "__time")
+    finding_keys = F.flatten(F.transform(F.from_json(members["findings"], "array<map<string,string>>"), lambda m: F.map_keys(m)))
+    extra = without_nulls(
+        F.when(members.isNull() & ~F.col("__plain"), F.lit("not a JSON object")),
+        F.when(_unknown(F.map_keys(members), _ALLOWED), F.lit("unknown field")),
+        F.when(~members["timestamp"].rlike(_TIME), F.lit("timestamp: no date, time and offset")),
+        F.when(_unknown(finding_keys, _FINDING_KEYS), F.lit("findings: unknown field")),
+        F.when(_unknown(F.json_object_keys(members["attachment"]), _ATTACHMENT_KEYS), F.lit("attachment: unknown field")))
+    checked = validate_events(parsed.select("*", "e.*").drop("e"))
+    return checked.withColumn("errors", F.concat(extra, "errors")).drop("__plain", "__members")
 
 
 def split_valid(parsed: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
