@@ -13,7 +13,7 @@ from veilspark.plans import oracle
 from veilspark.plans import queries as q
 from veilspark.session import new_path
 from veilspark.sources import readers
-from veilspark.streaming import stateful
+from veilspark.streaming import jobs, stateful
 
 
 def in_folders(spark, sf, *names):
@@ -142,3 +142,28 @@ def test_plain_lines_are_parsed_once_with_the_same_errors(spark):
     plain = [bool(r.p) for r in spark.createDataFrame(texts, "i int, value string").select(F.col("value").rlike(readers._plain_line()).alias("p")).collect()]
     assert plain[0] and not any(plain[1:2 * len(changes):2]) and sum(plain) >= 8
     assert "filter(" not in readers.parse_events(spark.range(1).select(F.lit(whole).alias("value")))._jdf.queryExecution().analyzed().toString()
+
+
+def test_ingest_moves_rows_only_if_some_of_them_go(spark):
+    root, source = new_path(spark, "i"), new_path(spark, "src")
+    paths = {n: f"{root}/{n}" for n in ("events", "rejected", "devices", "feed")}
+    events = [{**VALID, "eventId": f"00000000-0000-4000-8000-{i:012d}"} for i in range(40)]
+
+    def send(*lines):
+        spark.createDataFrame([(json.dumps(e),) for e in lines], "value string").coalesce(1).write.mode("append").text(source)
+        jobs.ingest_stream(spark.readStream.text(source), paths, f"{root}/cp", ingested_at="2024-02-01").awaitTermination()
+
+    send(*events[:20], {**VALID, "action": "HACK"})
+    assert not os.path.exists(paths["events"] + "_new") and spark.read.parquet(paths["events"]).count() == 20
+    staged = spark.read.parquet(paths["events"] + "_staged")
+    assert [(r.bad, r.texts, r.n) for r in staged.groupBy((F.size("errors") > 0).alias("bad")).agg(F.count("value").alias("texts"), F.count("*").alias("n")).orderBy("bad").collect()] == [
+        (False, 0, 20), (True, 1, 1)]
+    # known ids, an id twice (the last one stays) and new ones
+    send(*events[10:30], {**events[30], "promptLength": 1}, {**events[30], "promptLength": 2}, *events[31:])
+    stored = spark.read.parquet(paths["events"])
+    assert stored.count() == 40 and stored.select("event_id").distinct().count() == 40
+    assert [r.prompt_length for r in stored.where(F.col("event_id") == events[30]["eventId"]).collect()] == [2]
+    assert jobs.live_feed(spark, paths["feed"], "acme").count() == 40
+    assert spark.read.parquet(paths["events"] + "_new").count() == 20
+    send(*events)
+    assert spark.read.parquet(paths["events"]).count() == 40

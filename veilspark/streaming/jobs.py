@@ -24,7 +24,7 @@ from veilspark.operators import limiter
 from veilspark.operators.compliance import BREACH_THRESHOLD, BREACH_TYPES, BREACH_WINDOW
 from veilspark.operators.devices import upsert_devices
 from veilspark.operators.events import (
-    keep_newest, latest_by, latest_per_device, one_per_key, split_new, to_stored,
+    keep_newest, latest_by, latest_per_device, split_new, to_stored,
 )
 from veilspark.operators.scan import evaluate
 from veilspark.operators.vault import anonymize, build_vault, extend_vault, plan, values_to_replace
@@ -39,9 +39,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LATENESS = "30 days"
 
 
+def _empty(spark: SparkSession, shape: dict[str, str], **more: str) -> DataFrame:
+    """No rows; the planner knows it and leaves out joins with them."""
+    return spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in {**shape, **more}.items()]).limit(0)
+
+
 def read_or_empty(spark: SparkSession, path: str, shape: dict[str, str], **more: str) -> DataFrame:
     found = read_table(spark, path)
-    return spark.createDataFrame([], schema.ddl(shape, **more)) if found is None else found
+    return _empty(spark, shape, **more) if found is None else found
 
 
 def _start(stream: DataFrame, checkpoint: str, handle, mode: str = "append", every: str | None = None) -> StreamingQuery:
@@ -75,7 +80,7 @@ class Sink:
         if self.table is None:
             return read_or_empty(self.spark, self.path, shape, epoch="bigint").where(F.col("epoch") < epoch)
         found = self.table.read(without=(self.checkpoint, epoch))
-        return self.spark.createDataFrame([], schema.ddl(shape, epoch="bigint")) if found is None else found
+        return _empty(self.spark, shape, epoch="bigint") if found is None else found
 
 
 def ingest_stream(lines: DataFrame, paths: dict[str, str], checkpoint: str, ingested_at=None,
@@ -108,30 +113,40 @@ def ingest_stream(lines: DataFrame, paths: dict[str, str], checkpoint: str, inge
         def sink(name: str, keys: tuple[str, ...] = (), partition_by: list[str] | None = None) -> Sink:
             return Sink(spark, paths[name], checkpoint, versioned, keys, partition_by)
 
-        # Parsed once, then read back per use; the next batch overwrites it.
-        staged_path = paths["events"] + "_staged"
-        parse_events(batch).withColumn("position", F.monotonically_increasing_id()).write.mode("overwrite").parquet(staged_path)
-        valid, rejected = split_valid(spark.read.parquet(staged_path))
+        def kept(df: DataFrame, what: str) -> DataFrame:
+            """Computed once, then read back per use; the next batch overwrites it."""
+            path = f"{paths['events']}_{what}"
+            df.write.mode("overwrite").parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
+
+        # Of valid rows the text is not read again.
+        parsed = parse_events(batch).withColumns({"value": F.when(F.size("errors") > 0, F.col("value")), "position": F.monotonically_increasing_id()})
+        valid, rejected = split_valid(kept(parsed, "staged"))
         sink("rejected").put(rejected, epoch)
         tag = f"{checkpoint}#{epoch}"
         staged = to_stored(valid, at, "position", ingest_id=tag)
+        # Which rows are new is found from ids, times and positions alone; the rows themselves are joined with the
+        # positions only if some of them go.
+        keys = staged.groupBy("event_id", "timestamp").agg(F.max("position").alias("position"))          # the one written last
         if versioned:
             days = None
             if resent_within_days is not None:
                 first, last = staged.agg(F.min(F.to_date("timestamp")), F.max(F.to_date("timestamp"))).first()      # two dates
                 days = None if first is None else (first - timedelta(resent_within_days), last + timedelta(resent_within_days))
             ids = IdStore(spark, paths.get("ids", paths["events"] + "_ids"), buckets)
-            known = ids.known(staged, without=(checkpoint, epoch), days=days)
-            fresh = one_per_key(staged.join(known, "event_id", "left_anti")).drop("position")
+            fresh = keys.join(ids.known(keys, without=(checkpoint, epoch), days=days), "event_id", "left_anti")
+        else:
+            fresh = unstored(spark, staged, keys, tag)
+        positions = kept(fresh.select("position"), "positions")
+        if positions.count() == staged.count():
+            new = staged.drop("position")
         else:
-            fresh = unstored(spark, staged, tag)
-        fresh.write.mode("overwrite").parquet(paths["events"] + "_new")
-        new = spark.read.schema(fresh.schema).parquet(paths["events"] + "_new")
+            new = kept(staged.join(positions, "position", "left_semi").drop("position"), "new")
         if "feed" in paths:
             sink("feed", partition_by=["org_id"]).put(new, epoch)
         if "devices" in paths:
             # Only the devices of this batch are read, merged and written.
-            latest = latest_per_device(staged)
+            latest = kept(latest_per_device(staged.select("device_id", "org_id", "user_hint", "extension_version", "timestamp", "position")), "latest")
             devices = sink("devices", ("id",))
             touched = devices.before(epoch, schema.DEVICES).join(latest.select(F.col("device_id").alias("id")), "id", "left_semi")
             known_devices = latest_by(touched, ["id"], F.col("epoch")).drop("epoch")
@@ -142,7 +157,8 @@ def ingest_stream(lines: DataFrame, paths: dict[str, str], checkpoint: str, inge
             if "invalidated" in paths:
                 sink("invalidated").put(new.select(F.to_date("timestamp").alias("day")).distinct(), epoch)
         else:
-            done = days_of(spark, staged, 0).where(mine(tag)).select("event_id", "timestamp")          # of this batch's days only
+            # What an earlier attempt has written, of this batch's days only: seldom anything, and then known to be small.
+            done = kept(days_of(spark, staged, 0).where(F.col("ingest_id") == tag).select("event_id", "timestamp"), "done")
             write_events(new.join(done, ["event_id", "timestamp"], "left_anti"), paths["events"])
 
     # Without versions the table itself is read for ids.
@@ -156,10 +172,10 @@ def ingest_stream(lines: DataFrame, paths: dict[str, str], checkpoint: str, inge
         first, last = staged.agg(F.min(F.to_date("timestamp")), F.max(F.to_date("timestamp"))).first()      # two dates
         return stored if first is None else stored.where(F.col("event_date").between(first - timedelta(more), last + timedelta(more)))
 
-    def unstored(spark: SparkSession, staged: DataFrame, tag: str) -> DataFrame:
+    def unstored(spark: SparkSession, staged: DataFrame, keys: DataFrame, tag: str) -> DataFrame:
         # Rows an earlier attempt of this very batch appended do not count as stored.
         stored = days_of(spark, staged, resent_within_days)
-        return one_per_key(split_new(staged, stored.where(~mine(tag)))[0]).drop("position")
+        return split_new(keys, stored.where(~mine(tag)))[0]
 
     return _start(source, checkpoint, handle, every=every)
 
